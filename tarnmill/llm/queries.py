@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnmill.llm import chat, decontaminate, exact, jaccard, packing, quality, repeats, sharding
+from tarnmill.llm import chat, decontaminate, exact, jaccard, licenses, lmscore, packing, quality, repeats, sharding
 
 SHARDS = 24
 
@@ -52,6 +52,19 @@ def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"), sink="digest")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lmscore.score(_table(spark, sf_dir, "documents"), wanted)
+
+
+#: The documents as a tree of files: source / language / file; short ones are the licence files.
+FILE_PATH = "concat_ws('/', source, lang, if(length(text) <= 400, concat('LICENSE.', doc_id), concat(doc_id, '.txt')))"
+
+
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"), "doc_id", F.expr(FILE_PATH))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -61,7 +74,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_quality, op3_chat, op4_packing, op5_jaccard, op6_recompression, op9_exact_dedup, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_quality, op3_chat, op4_packing, op5_jaccard, op6_recompression, op7_lm_scoring, op8_license_scans, op9_exact_dedup, op10_decontamination)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
