@@ -10,7 +10,8 @@ that range of words occurs again, the symbol does.
    repeated symbols only. Which names repeat is told to all by a table of bits of fixed size (a full table would
    cost candidates, never results).
 2. Windows that hold no symbol of which there is but one are the candidates. They are compared across the corpus
-   by hashes of their words, in blocks; those met twice are repeats.
+   by hashes of their words, in blocks of a key that neighbouring windows mostly share: the least name of the
+   symbols near their starts. Those met twice are repeats.
 3. Each text, joined with its repeated windows, loses the words that they cover.
 """
 
@@ -23,6 +24,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,11 +89,15 @@ def _bit(name: np.ndarray) -> np.ndarray:
     return (mix(name ^ _SEEDS[31]) >> U64(64 - BITS)).astype(np.int64)
 
 
-def candidates(words: Words, repeated: np.ndarray, window: int, rounds: int) -> np.ndarray:
-    """First words of the windows that hold no symbol known to be single. repeated: the table, packed."""
+def candidates(words: Words, repeated: np.ndarray, window: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the windows that hold no symbol known to be single, and a key for each.
+
+    The key is the least name among the symbols near the window's start (all bits set if there is none): equal windows have
+    equal keys, and neighbouring windows mostly share theirs. repeated: the table, packed.
+    """
     n = len(words.hashes)
     if n < window:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, U64)
     name, low, high = recompress(words, rounds)
     used = (high - low <= window) & (low >= 0)
     name, low, high = name[used], low[used], high[used]
@@ -102,7 +108,21 @@ def candidates(words: Words, repeated: np.ndarray, window: int, rounds: int) ->
     np.add.at(edge, low[lone] + 1, -1)
     start = np.flatnonzero(np.cumsum(edge[:n]) == 0)
     ends = words.offsets[1:][words.docs()]
-    return start[start + window <= ends[start]]
+    start = start[start + window <= ends[start]]
+    # symbols of at most half a window that begin in its first half lie in it, whatever surrounds it
+    half = window // 2
+    key = np.full(n + window, ~U64(0))
+    short = high - low <= window - half
+    key[low[short]] = mix(name[short])
+    span, have, least = 1, half, None
+    for bit in range(half.bit_length()):
+        if half >> bit & 1:
+            done = half - have
+            least = key[done : done + n] if least is None else np.minimum(least, key[done : done + n])
+            have -= span
+        key = np.minimum(key[:-span], key[span:]) if 2 * span <= half else key
+        span *= 2
+    return start, least[start]
 
 
 def _name_blocks(rows: DataFrame, slices: int, window: int, rounds: int) -> DataFrame:
@@ -175,93 +195,105 @@ def _ranges(owner: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[byte
     return owner[head][first], [p.tobytes() for p in np.split(pairs, first[1:])]
 
 
-_BLOCK = "block int, h binary, at binary, doc binary, again binary, ka binary, kb binary, known_doc binary, known array<binary>"
+_BLOCK = "block int, batch long, h binary, at binary, doc binary, again binary, ka binary, kb binary, known_doc binary, known array<binary>"
 
 
 def _window_blocks(rows: DataFrame, table, blocks: int, window: int, rounds: int) -> DataFrame:
-    """Candidate windows by block. What repeats within a batch is known at once, and goes on once with a mark."""
+    """Candidate windows by block. What repeats within a batch is known at once, and goes on once with a mark.
+
+    One row of each batch, whichever comes first, carries its table of documents and what is known of them.
+    """
+    names = ["block", "batch", "h", "at", "doc", "again", "ka", "kb", "known_doc", "known"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
         held: list[tuple] = []
         keys: list[tuple] = []
+        label = TaskContext.get().partitionId() << 33
 
-        def flush() -> pa.RecordBatch:
-            h, side, at, doc = (np.concatenate(x) for x in zip(*held))
+        def flush(label: int) -> pa.RecordBatch:
+            h, key, at, doc = (np.concatenate(x) for x in zip(*held))
             ka, kb = (np.concatenate(x) for x in zip(*keys))
-            order = np.lexsort((side, h))
-            h, side, at, doc = h[order], side[order], at[order], doc[order]
-            same = (h[1:] == h[:-1]) & (side[1:] == side[:-1])
+            order = np.lexsort((key, h))
+            h, key, at, doc = h[order], key[order], at[order], doc[order]
+            same = (h[1:] == h[:-1]) & (key[1:] == key[:-1])
             again = np.append(same, False) | np.append(False, same)
             first = np.append(True, ~same)
             who, known = _ranges(doc[again], at[again])
-            of_known = (mix(ka[who].view(U64)) % U64(blocks)).astype(np.int64)
-            h, side, at, doc, again = h[first], side[first], at[first], doc[first], again[first]
-            block = (mix(side) % U64(blocks)).astype(np.int64)  # by a hash of its own: it tells windows of one h apart
+            h, key, at, doc, again = h[first], key[first], at[first], doc[first], again[first]
+            block = (mix(key) % U64(blocks)).astype(np.int64)
             order = np.lexsort((at, doc, block))
-            bounds = np.searchsorted(block[order], np.arange(blocks + 1))
-            out: list[list] = [[] for _ in range(9)]
-            for k in np.union1d(block, of_known):
-                own = order[bounds[k] : bounds[k + 1]]
-                mine = np.flatnonzero(of_known == k)
-                docs, local = np.unique(np.concatenate([doc[own], who[mine]]), return_inverse=True)
-                for x, v in zip(out, (int(k), h[own].tobytes(), at[own].astype("<u4").tobytes(), local[: len(own)].astype("<u4").tobytes(), np.packbits(again[own]).tobytes(), ka[docs].tobytes(), kb[docs].tobytes(), local[len(own) :].astype("<u4").tobytes(), [known[j] for j in mine])):
+            out: list[list] = [[] for _ in names]
+            for k, own in enumerate(np.split(order, np.flatnonzero(np.diff(block[order])) + 1)):
+                rest = (ka.tobytes(), kb.tobytes(), who.astype("<u4").tobytes(), known) if k == 0 else (b"", b"", b"", [])
+                for x, v in zip(out, (int(block[own[0]]), label, h[own].tobytes(), at[own].astype("<u4").tobytes(), doc[own].astype("<u4").tobytes(), np.packbits(again[own]).tobytes(), *rest)):
                     x.append(v)
             held.clear()
             keys.clear()
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:8]], pa.array(out[8], pa.list_(pa.binary()))], names=["block", "h", "at", "doc", "again", "ka", "kb", "known_doc", "known"])
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), *[pa.array(x, pa.binary()) for x in out[2:9]], pa.array(out[9], pa.list_(pa.binary()))], names=names)
 
-        amount = docs = 0
+        amount = docs = done = 0
         for b in batches:
             for words in scan(b.column(0), PLAIN_WORDS):
-                start = candidates(words, bits, window, rounds)
+                start, key = candidates(words, bits, window, rounds)
                 if not len(start):
                     continue
-                n = len(words.counts)
-                h = rolled(words.hashes, window)[start]
-                sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(words.hashes ^ _SEEDS[30]))])
                 doc = words.docs()[start]
-                held.append((h, sums[start + window] - sums[start], start - words.offsets[doc], doc + docs))
-                keys.append(tuple(b.column(c).slice(words.first, n).to_numpy(zero_copy_only=False) for c in (1, 2)))
-                docs += n
+                met, local = np.unique(doc, return_inverse=True)  # texts without candidates need no place
+                h = rolled(words.hashes, window)[start]
+                held.append((h, np.where(key == ~U64(0), h, key), start - words.offsets[doc], local + docs))
+                keys.append(tuple(b.column(c).slice(words.first, len(words.counts)).to_numpy(zero_copy_only=False)[met] for c in (1, 2)))
+                docs += len(met)
                 amount += len(start)
                 if amount >= BATCH:
-                    yield flush()
+                    yield flush(label + done)
                     amount = docs = 0
+                    done += 1
         if amount:
-            yield flush()
+            yield flush(label + done)
 
     return rows.select("_text", "ka", "kb").mapInArrow(run, _BLOCK)
 
 
+_FOUND = "batch long, doc binary, sizes binary, ranges binary, ka binary, kb binary"
+
+
 def _repeated_windows(blocks: DataFrame) -> DataFrame:
-    """ka, kb, starts (packed ranges) of the windows that are met twice."""
+    """ka, kb, starts (packed ranges) of the windows that are met twice: block by block, then batch by batch."""
+
+    def packed(who: np.ndarray, ranges: list[bytes]) -> tuple[bytes, bytes, bytes]:
+        return who.astype("<u4").tobytes(), np.array([len(r) for r in ranges], "<u4").tobytes(), b"".join(ranges)
 
     def count(table: pa.Table) -> pa.Table:
-        h, at, doc, again, ka, kb, done, docs = [], [], [], [], [], [], ([], []), 0
-        for r in zip(*(table.column(c) for c in ("h", "at", "doc", "again", "ka", "kb", "known_doc", "known"))):
-            a, s, d, g, x, y, k, known = (v.as_py() for v in r)
-            d = np.frombuffer(d, "<u4")
-            h.append(np.frombuffer(a, U64))
-            at.append(np.frombuffer(s, "<u4"))
-            doc.append(d.astype(np.int64) + docs)
-            again.append(np.unpackbits(np.frombuffer(g, np.uint8))[: len(d)] > 0)
-            ka.append(np.frombuffer(x, np.int64))
-            kb.append(np.frombuffer(y, np.int32))
-            done[0].append(np.frombuffer(k, "<u4").astype(np.int64) + docs)
-            done[1].extend(known)
-            docs += len(ka[-1])
-        h, at, doc, again, ka, kb = (np.concatenate(x) for x in (h, at, doc, again, ka, kb))
+        n = [len(x.as_py()) // 8 for x in table.column("h")]
+        h, at, doc = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(c)]) for c, kind in (("h", U64), ("at", "<u4"), ("doc", "<u4")))
+        again = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8))[:k] for x, k in zip(table.column("again"), n)]) > 0
+        row = np.repeat(np.arange(len(n)), n)
         order = np.argsort(h, kind="stable")
         same = h[order][1:] == h[order][:-1]
         # a mark stands for a window that its own batch has already reported: only news for others
         hit = order[np.append(same, False) | np.append(False, same)]
-        own = hit[~again[hit]]
-        who, ranges = _ranges(doc[own], at[own].astype(np.int64))
-        who = np.concatenate([who, *done[0]]).astype(np.int64)
-        return pa.table({"ka": pa.array(ka[who], pa.int64()), "kb": pa.array(kb[who], pa.int32()), "starts": pa.array([*ranges, *done[1]], pa.binary())})
-
-    return blocks.groupBy("block").applyInArrow(count, "ka long, kb int, starts binary")
+        own = np.sort(hit[~again[hit]])
+        out: list[tuple] = []
+        for k, mine in enumerate(np.split(own, np.searchsorted(row[own], np.arange(1, len(n))))):
+            who, ranges = _ranges(doc[mine].astype(np.int64), at[mine].astype(np.int64))
+            early = np.frombuffer(table.column("known_doc")[k].as_py(), "<u4")
+            out.append(packed(np.concatenate([who, early]), [*ranges, *table.column("known")[k].as_py()]))
+        columns = [pa.array(x, pa.binary()) for x in zip(*out)]
+        return pa.table(dict(zip(("batch", "doc", "sizes", "ranges", "ka", "kb"), (table.column("batch"), *columns, table.column("ka"), table.column("kb")))))
+
+    def gather(table: pa.Table) -> pa.Table:
+        doc, sizes, ka, kb = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(c)]) for c, kind in (("doc", "<u4"), ("sizes", "<u4"), ("ka", np.int64), ("kb", np.int32)))
+        raw = b"".join(x.as_py() for x in table.column("ranges"))
+        ends = np.cumsum(sizes.astype(np.int64))
+        starts: dict[int, list[bytes]] = {}
+        for d, a, b in zip(doc.tolist(), (ends - sizes).tolist(), ends.tolist()):
+            starts.setdefault(d, []).append(raw[a:b])
+        who = np.array(sorted(starts), np.int64)
+        return pa.table({"ka": pa.array(ka[who], pa.int64()), "kb": pa.array(kb[who], pa.int32()), "starts": pa.array([b"".join(starts[d]) for d in who.tolist()], pa.binary())})
+
+    found = blocks.groupBy("block").applyInArrow(count, _FOUND)
+    return found.groupBy("batch").applyInArrow(gather, "ka long, kb int, starts binary")
 
 
 def covered(n: int, starts: list[bytes], window: int) -> np.ndarray:
