@@ -44,10 +44,13 @@ class TurnReader:
 
     def __init__(self) -> None:
         self.held: list[str] = []
+        self.tail = ""
 
     def feed(self, chunk: str) -> Iterator[tuple[str, str]]:
         self.held.append(chunk)
-        if not _CONTROL.search(chunk):
+        seen = self.tail + chunk  # a control string may lie across chunks
+        self.tail = seen[-max(map(len, CONTROLS)) :]
+        if not _CONTROL.search(seen):
             return
         text, done, begun, role = "".join(self.held), 0, 0, ""
         for m in _CONTROL.finditer(text):

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnmill.llm.names import fresh
 from tarnmill.llm.wordscan import FOLDED_ALNUM, Words, plain_words, scan
 
 WINDOW = 10
@@ -170,21 +171,20 @@ def _mark(text: pa.Array, marks: pa.StructArray | None, q: Queries | None) -> pa
     return pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.string()))], ["_n", "_hit", "_items"])
 
 
-def _marked(df: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, window: int, block_words: int) -> DataFrame:
-    """df with a column _marks; one pass over the texts for each block of the benchmark (one, as a rule)."""
+def _marked(df: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, window: int, block_words: int, name: str = "_marks") -> DataFrame:
+    """df with a column of marks; one pass over the texts for each block of the benchmark (one, as a rule)."""
     sc = df.sparkSession.sparkContext
     blocks = [sc.broadcast(q) for q in _blocks(benchmark, item_col, item_text, window, block_words)] or [None]
-    k = df.columns.index(text_col)
+    k, width = df.columns.index(text_col), len(df.columns)
     out = df
     for block in blocks:
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             q = block.value if block is not None else None
             for b in batches:
-                old = b.column(b.num_columns - 1) if b.schema.names[-1] == "_marks" else None
-                kept = b.columns[: b.num_columns - (old is not None)]
-                yield pa.RecordBatch.from_arrays([*kept, _mark(b.column(k), old, q)], names=[*b.schema.names[: len(kept)], "_marks"])
+                old = b.column(width) if b.num_columns > width else None
+                yield pa.RecordBatch.from_arrays([*b.columns[:width], _mark(b.column(k), old, q)], names=[*b.schema.names[:width], name])
 
-        schema = T.StructType([*df.schema.fields, T.StructField("_marks", _MARKS)])
+        schema = T.StructType([*df.schema.fields, T.StructField(name, _MARKS)])
         out = out.mapInArrow(run, schema)
     return out
 
@@ -215,7 +215,8 @@ def ones(column: str):
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """df's rows in which no window of the benchmark occurs."""
-    return _marked(df, benchmark, text_col, item_col, item_text, window, block_words).where(F.col("_marks._hit").isNull()).drop("_marks")
+    marks = fresh(df, "_marks")
+    return _marked(df, benchmark, text_col, item_col, item_text, window, block_words, marks).where(F.col(f"{marks}._hit").isNull()).drop(marks)
 
 
 def longest_matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:

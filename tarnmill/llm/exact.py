@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnmill.llm.names import fresh
+
 
 def normalised(text: str | Column) -> Column:
     """Each run of ASCII white space becomes one space; null becomes the empty text."""
@@ -51,10 +53,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df's columns; of equal texts only the row with the smallest id (one of them, if rows repeat)."""
-    groups = duplicate_groups(df, id_col, text_col).select("_hash", "_sha", F.col("keep_id").alias("_keep"))
+    hash_, sha, keep, null = names = [fresh(df, n) for n in ("_hash", "_sha", "_keep", "_null")]
+    groups = duplicate_groups(df, id_col, text_col).select(F.col("_hash").alias(hash_), F.col("_sha").alias(sha), F.col("keep_id").alias(keep), F.col("keep_id").isNull().alias(null))
     norm = normalised(text_col)
-    rows = df.withColumns({"_hash": F.unhex(F.md5(norm)), "_sha": F.sha2(norm, 256), "_keep": F.col(id_col), "_null": F.col(id_col).isNull()})
-    keep = groups.withColumn("_null", F.col("_keep").isNull())
-    same = (rows["_hash"] == keep["_hash"]) & (rows["_sha"] == keep["_sha"]) & rows["_keep"].eqNullSafe(keep["_keep"]) & (rows["_null"] == keep["_null"])
-    met = rows.join(keep, same, "left_semi")
-    return met.dropDuplicates(["_hash", "_sha", "_keep", "_null"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.withColumns({hash_: F.unhex(F.md5(norm)), sha: F.sha2(norm, 256), keep: F.col(id_col), null: F.col(id_col).isNull()})
+    same = (rows[hash_] == groups[hash_]) & (rows[sha] == groups[sha]) & rows[keep].eqNullSafe(groups[keep]) & (rows[null] == groups[null])
+    return rows.join(groups, same, "left_semi").dropDuplicates(names).drop(*names)

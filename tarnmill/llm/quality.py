@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnmill.llm.names import fresh
 from tarnmill.llm.wordscan import FOLDED_WORDS, Words, mix, scan
 
 #: Labelled rows to learn from, at most (those with the smallest hashes of their ids).
@@ -220,4 +221,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """docs' rows that are not rejected."""
-    return with_score(docs, train(docs, labels, id_col, text_col, label_col), text_col, "_score").where(F.col("_score") >= threshold).drop("_score")
+    score = fresh(docs, "_score")
+    return with_score(docs, train(docs, labels, id_col, text_col, label_col), text_col, score).where(F.col(score) >= threshold).drop(score)
