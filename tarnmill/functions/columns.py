@@ -156,7 +156,7 @@ CARD_NAMESPACE = "a7b3c2d1-4e5f-6a7b-8c9d-0e1f2a3b4c5d"
 def card_id(key: Text, namespace: str = CARD_NAMESPACE) -> Column:
     """CARD- and the first 16 characters of the name-based UUID (version 5) of a key."""
     digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(col(key), "UTF-8")))
-    return F.concat(F.lit("CARD-"), F.substring(digest, 1, 8), F.lit("-"), F.substring(digest, 9, 4), F.lit("-5"), F.substring(digest, 14, 2))
+    return F.concat(F.lit("CARD-"), F.substring(digest, 1, 8), F.lit("-"), F.substring(digest, 9, 4), F.lit("-5"), F.substring(digest, 14, 1))
 
 
 def s_curve(s: Text, bands: int, rows: int) -> Column:

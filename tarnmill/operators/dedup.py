@@ -68,11 +68,19 @@ def signature(tokens: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least values of the hash family over a set; zeros for an empty one. Bounded memory, whatever the set."""
     if not len(tokens):
         return np.zeros(len(a), np.int64)
-    x = (tokens.view(np.uint64) % np.uint64(PRIME)).astype(np.int64)
-    out = np.full(len(a), PRIME, np.int64)
-    for at in range(0, len(x), 4096):
-        np.minimum(out, ((a[:, None] * x[None, at : at + 4096] + b[:, None]) % PRIME).min(axis=1), out=out)
-    return out
+    x = tokens.view(np.uint64) % np.uint64(PRIME)
+    a, b = a.astype(np.uint64)[:, None], b.astype(np.uint64)[:, None]
+    out, p, half = np.full(len(a), PRIME, np.uint64), np.uint64(PRIME), np.uint64(31)
+    for at in range(0, len(x), 256):
+        v = a * x[None, at : at + 256]
+        v += b
+        for _ in range(2):  # modulo 2**31 - 1 by folding the upper bits onto the lower
+            high = v >> half
+            v &= p
+            v += high
+        v[v == p] = 0
+        np.minimum(out, v.min(axis=1), out=out)
+    return out.astype(np.int64)
 
 
 def with_signatures(df: DataFrame, shingles: str = "shingles", out: str = "signature", m: int = HASHES, seed: int = SEED) -> DataFrame:

@@ -63,16 +63,21 @@ def measured(spark: SparkSession, sf_dir: str, capped: bool = True) -> DataFrame
     return both.select("id_a", "id_b", D.estimate("sa", "sb").alias("estimated"), D.sorted_overlap(F.col("ta"), F.col("tb")).alias("exact"))
 
 
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six decimals: engines interpolate in different orders."""
+    return df.withColumns({c: F.round(c, 6) for c, kind in df.dtypes if kind == "double"})
+
+
 def corpus_profile(spark, sf_dir):
     return V.column_profile(documents(spark, sf_dir), ["doc_id", "text", "lang", "source", "n_chars"])
 
 
 def length_distribution(spark, sf_dir):
-    return V.distribution(documents(spark, sf_dir).select(F.length("text").cast("long").alias("n")), "n")
+    return rounded(V.distribution(documents(spark, sf_dir).select(F.length("text").cast("long").alias("n")), "n"))
 
 
 def source_profile_percentiles(spark, sf_dir):
-    return V.distribution(documents(spark, sf_dir).select("source", F.length("text").cast("long").alias("n_text")), "n_text", ["source"], [50, 95])
+    return rounded(V.distribution(documents(spark, sf_dir).select("source", F.length("text").cast("long").alias("n_text")), "n_text", ["source"], [50, 95]))
 
 
 def conditional_counts(spark, sf_dir):
@@ -186,11 +191,11 @@ def per_notice(spark, sf_dir):
 
 
 def workload_skew(spark, sf_dir):
-    return V.workload(per_notice(spark, sf_dir), "candidates", "doc_id")
+    return rounded(V.workload(per_notice(spark, sf_dir), "candidates", "doc_id"))
 
 
 def workload_portals(spark, sf_dir):
-    return V.workload_by_portal(per_notice(spark, sf_dir), "candidates", "source")
+    return rounded(V.workload_by_portal(per_notice(spark, sf_dir), "candidates", "source"))
 
 
 def lorenz_curve(spark, sf_dir):
@@ -261,14 +266,14 @@ def _card(key: str) -> str:
     from tarnmill.functions.columns import CARD_NAMESPACE
 
     digest = f"sha1(from_hex('{CARD_NAMESPACE.replace('-', '')}') || encode({key}))"
-    return f"'CARD-' || substr({digest}, 1, 8) || '-' || substr({digest}, 9, 4) || '-5' || substr({digest}, 14, 2)"
+    return f"'CARD-' || substr({digest}, 1, 8) || '-' || substr({digest}, 9, 4) || '-5' || substr({digest}, 14, 1)"
 
 
 def _percentile(x: str, p: int) -> str:
-    return f"quantile_cont({x}, {p / 100}) AS p{p:02d}"
+    return f"round(quantile_cont({x}, {p / 100}), 6)::DOUBLE AS p{p:02d}"
 
 
-_STATS = "count({0}) AS n, avg({0}) AS mean, stddev_pop({0}) AS std, min({0}) AS min, max({0}) AS max"
+_STATS = "count({0}) AS n, round(avg({0}), 6) AS mean, round(stddev_pop({0}), 6) AS std, min({0}) AS min, max({0}) AS max"
 _SWEEP = f"""{_MEASURED}, {_store(4, 4, 'store4')}, {_store(2, 8, 'store2')}, found AS (
   SELECT 8 AS bands, 2 AS rows, * FROM ({_PAIRS.format('store')}) UNION ALL SELECT 4, 4, * FROM ({_PAIRS.format('store4')}) UNION ALL SELECT 2, 8, * FROM ({_PAIRS.format('store2')})),
 counted AS (SELECT c.bands, c.rows, sum((exact >= 0.5)::INT) AS true_pairs, sum((exact >= 0.5 AND f.id_a IS NOT NULL)::INT) AS true_found, sum((exact < 0.5)::INT) AS other_pairs, sum((exact < 0.5 AND f.id_a IS NOT NULL)::INT) AS other_found
@@ -304,7 +309,7 @@ ORACLES: dict[str, str] = {
     "scurve_table": " UNION ALL ".join(f"SELECT {b} AS bands, {r} AS rows, i / 20.0::DOUBLE AS similarity, round(1 - pow(1 - pow(i / 20.0::DOUBLE, {r}), {b}), 9) AS probability FROM range(21) t(i)" for b, r in ((64, 4), (32, 8), (16, 16), (8, 32))),
     "workload_skew": f"""WITH {_WORK} SELECT count(*) AS total_notices, sum(candidates)::BIGINT AS total_comparisons, round(avg(candidates), 1) AS mean, {', '.join(_percentile('candidates', p) for p in (50, 90, 95, 99))}, max(candidates) AS max,
         {', '.join(f'round(100.0 * sum(CASE WHEN place <= ceil(n * {p} / 100) THEN candidates ELSE 0 END) / max(w), 2)::DOUBLE AS top_{p}_pct_work' for p in (1, 5, 10, 20))} FROM placed, whole""",
-    "workload_portals": f"""WITH {_WORK} SELECT source AS portal_id, count(*) AS notices, round(avg(candidates), 1) AS mean_candidates, median(candidates) AS median_candidates, quantile_cont(candidates, 0.95) AS p95_candidates, max(candidates) AS max_candidates,
+    "workload_portals": f"""WITH {_WORK} SELECT source AS portal_id, count(*) AS notices, round(avg(candidates), 1) AS mean_candidates, median(candidates) AS median_candidates, round(quantile_cont(candidates, 0.95), 6)::DOUBLE AS p95_candidates, max(candidates) AS max_candidates,
         sum(candidates)::BIGINT AS total_candidate_work, round(100.0 * sum(candidates) / max(w), 2)::DOUBLE AS pct_of_total_work FROM per, whole GROUP BY source""",
     "lorenz_curve": f"WITH {_WORK} SELECT place, candidates AS work, round(100.0 * sum(candidates) OVER (ORDER BY place) / w, 6)::DOUBLE AS cumulative_pct FROM placed, whole",
     "retrieval_sweep": f"""WITH {_SWEEP} SELECT bands, rows, true_pairs::BIGINT AS true_pairs, true_found::BIGINT AS true_found, other_pairs::BIGINT AS other_pairs, other_found::BIGINT AS other_found, round(true_found / greatest(true_pairs, 1), 6)::DOUBLE AS recall,
