@@ -177,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     The bound is on labels alone: scoring covers every text. Null labels and labels without a document teach
     nothing; without two kinds of labels every score is the share of ones (one half without labels).
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y"))
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).distinct()
     chosen = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(rows)
     joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_y", "_text")  # at most `rows` rows of 16 bytes
 
