@@ -10,9 +10,14 @@ multiplied (with similarity at least t = NUM / DEN):
   shingles at most (n: of the larger one), and need t / (1 + t) * (n1 + n2). Pairs below are discarded; and a
   document leaves a bucket in which its own shared shingles could not suffice with any size present there.
 
+* Parities. Each shingle flips one of 1024 bits of its document; the bits in which two documents differ are no
+  more than the shingles in which they do, of which links allow (1 - t) / (1 + t) * (n1 + n2).
+
 Documents with equal sets are one class. No group is expanded into all its pairs: first each class is
-compared with one pivot, the bucket mate whose prefix is shared most; then, where a bucket still joins classes
-that are not connected, the pairs across components are. What remains is compared exactly, set by set.
+compared with one pivot, the bucket mate whose prefix is shared most. Then, where a bucket still joins classes
+that are not connected, the classes of the smaller component look for the others in their rarest buckets: as
+two linked classes share at least so many, all but so many less one are enough. What the bounds leave is
+compared exactly, set by set.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnmill.llm.names import fresh
 from tarnmill.llm.wordscan import FOLDED_WORDS, U64, Words, mix, plain_words, rolled, scan
 from tarnmill.operators.components import connected_components
 from tarnmill.runtime import materialise
@@ -37,6 +43,7 @@ SHINGLE = 5
 COUNTERS, PART = 1 << 20, 1 << 12
 #: Postings of a block, a mapper's batch, and a bucket before it is dealt to several blocks.
 BLOCK, BATCH, BUCKET = 2_000_000, 1_000_000, 50_000
+PARITY = 1024
 #: Members that are compared with one copy of a pivot.
 FAN = 500
 #: Rows of a lookup table that may be broadcast (of 48 bytes each); beyond, the texts are shuffled to it.
@@ -45,7 +52,14 @@ BROADCAST_ROWS = 500_000
 
 def needed(n: Column, m: Column, num: int = NUM, den: int = DEN) -> Column:
     """Prefix shingles that documents of n and m shingles must share, at least (see the bounds above)."""
-    return num * (n + m) / F.lit(num + den) - num * F.greatest(n, m) / F.lit(den) - 1e-6
+    return F.ceil(num * (n + m) / F.lit(num + den) - 1e-9) - F.ceil(num * F.greatest(n, m) / F.lit(den) - 1e-9) + 1
+
+
+def needed_within(n: Column, low: Column, high: Column, num: int = NUM, den: int = DEN) -> Column:
+    """The least of needed(n, m) over sizes m from low to high: it falls from m = n on either side."""
+    below = num * (n + low) / F.lit(num + den) - F.ceil(num * n / F.lit(den) - 1e-9) + 1
+    above = num * (n + high) / F.lit(num + den) - num * high / F.lit(den)
+    return F.least(below, above) - 1e-6
 
 
 def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +93,14 @@ def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return h, np.searchsorted(d, np.arange(len(counts) + 1))
 
 
+def parities(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of each set the parity of its shingles at each of PARITY bits, as 64-bit integers."""
+    n = len(offsets) - 1
+    bit = (mix(h ^ U64(0x5A5A5A5A5A5A5A5A)) & U64(PARITY - 1)).astype(np.int64)
+    counts = np.bincount(np.repeat(np.arange(n), np.diff(offsets)) * PARITY + bit, minlength=n * PARITY)
+    return np.packbits((counts & 1).astype(np.uint8).reshape(n, PARITY), axis=1).view(np.int64)
+
+
 def set_keys(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two numbers that name each set: 64 bits, and its size with 32 more bits."""
     n = np.diff(offsets)
@@ -104,16 +126,17 @@ def _survey(rows: DataFrame, size: int) -> DataFrame:
                 k1, nk = set_keys(h, offsets)
                 n = len(k1)
                 none = pa.nulls(n, pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(words.first, n), pa.array(k1), pa.array(nk), none, none, pa.nulls(n, pa.binary())], names=names)
+                bits = pa.FixedSizeListArray.from_arrays(pa.array(parities(h, offsets).ravel()), PARITY // 64).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(words.first, n), pa.array(k1), pa.array(nk), bits, none, none, pa.nulls(n, pa.binary())], names=names)
         if some:
             parts = COUNTERS // PART
             packed = [zlib.compress(c.astype("<u4").tobytes(), 1) for c in np.minimum(counts, 0xFFFFFFFF).reshape(parts, PART)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(parts, arrow_id), pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.int64()), pa.array([task] * parts, pa.int32()), pa.array(range(parts), pa.int32()), pa.array(packed, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(parts, arrow_id), pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.list_(pa.int64())), pa.array([task] * parts, pa.int32()), pa.array(range(parts), pa.int32()), pa.array(packed, pa.binary())], names=names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow_id = to_arrow_type(kind)
-    schema = T.StructType([T.StructField("_id", kind), T.StructField("k1", T.LongType()), T.StructField("nk", T.LongType()), T.StructField("task", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+    schema = T.StructType([T.StructField("_id", kind), T.StructField("k1", T.LongType()), T.StructField("nk", T.LongType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("task", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("counts", T.BinaryType())])
     names = schema.names
     return rows.mapInArrow(run, schema)
 
@@ -267,9 +290,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     survey = materialise(_survey(rows, size))
-    own = survey.where("part is null").select("_id", "k1", "nk")
+    own = survey.where("part is null").select("_id", "k1", "nk", "bits")
     classes = materialise(
-        own.where("nk >= 1L << 32").groupBy("k1", "nk").agg(F.min("_id").alias("rep")).withColumn("cid", F.monotonically_increasing_id())
+        own.where("nk >= 1L << 32").groupBy("k1", "nk").agg(F.min("_id").alias("rep"), F.max("bits").alias("bits")).withColumn("cid", F.monotonically_increasing_id())
     )
     prefix = F.shiftright("nk", 32) - F.ceil(num * F.shiftright("nk", 32) / F.lit(den)) + 1
     total = classes.agg(F.sum(prefix)).first()[0] or 0
@@ -298,11 +321,11 @@ def _components(rows: DataFrame, classes: DataFrame, counts, blocks: int, size:
     n, share = F.col("n"), F.col("c") / (F.col("n") - F.ceil(num * F.col("n") / F.lit(den)) + 1)
     buckets = mates.groupBy("h").agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("mates"),
-        F.max(F.struct(share.alias("s"), (-n).alias("n"), "cid", "c")).alias("p"),
-    ).where("mates > 1").drop("mates")
+        F.max(F.struct(share.alias("s"), "n", "cid", "c")).alias("p"),
+    ).where("mates > 1")
     low, high = F.greatest("low", F.ceil(num * n / F.lit(den))), F.least("high", F.floor(den * n / F.lit(num)))
-    possible = F.col("c") >= F.least(needed(n, low, num, den), needed(n, high, num, den))
-    joined = mates.join(buckets, "h").where(possible).select("h", "cid", "n", "c", F.col("p.cid").alias("b"), (-F.col("p.n")).alias("m"), F.col("p.c").alias("cb"))
+    need = needed_within(n, low, high, num, den)
+    joined = mates.join(buckets, "h").withColumn("need", need).where("c >= need").select("h", "cid", "n", "c", F.ceil("need").alias("need"), "mates", F.col("p.cid").alias("b"), F.col("p.n").alias("m"), F.col("p.c").alias("cb"))
     near = materialise(joined)
 
     def fits(n1: Column, n2: Column, c: Column) -> Column:
@@ -313,16 +336,25 @@ def _components(rows: DataFrame, classes: DataFrame, counts, blocks: int, size:
     links = materialise(_verify(rows, best, classes, size, num, den))
     first = materialise(connected_components(links, "a", "b"))
 
-    # what the pivots left apart: pairs across components, with all their shared prefix shingles counted
-    placed = near.select("h", "cid", "n", "c").join(first, near["cid"] == first["node"], "left").select("h", "cid", "n", "c", F.coalesce("component", "cid").alias("k"))
+    # what the pivots left apart: buckets that join several components
+    sizes = first.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    member = first.join(sizes, "component")
+    placed = near.join(member, near["cid"] == member["node"], "left")
+    placed = placed.select("h", "cid", "n", "c", "need", "mates", F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("component", "cid").alias("component")).alias("k"))
     placed = materialise(placed)
-    mixed = placed.groupBy("h").agg(F.min("k").alias("k1"), F.max("k").alias("k2")).where("k1 <> k2").select("h")
-    open_ = materialise(placed.join(mixed, "h"))
-    x, y = open_.alias("x"), open_.alias("y")
-    across = (F.col("x.h") == F.col("y.h")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.k") != F.col("y.k"))
-    met = x.join(y, across & fits(F.col("x.n"), F.col("y.n"), F.least("x.c", "y.c")))
-    rest = met.groupBy(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count(F.lit(1)).alias("c"))
-    rest = materialise(rest.where(fits(F.col("n"), F.col("m"), F.col("c"))).select("a", "b"))
+    mixed = placed.groupBy("h").agg(F.min("k").alias("k1"), F.max("k").alias("k2")).where("k1 <> k2")
+    own, rarest = Window.partitionBy("cid"), Window.partitionBy("cid").orderBy("mates", "h")
+    ranks = {"rank": F.row_number().over(rarest), "held": F.count(F.lit(1)).over(own), "least": F.greatest(F.min("need").over(own), F.lit(1))}
+    told = placed.join(mixed, "h").withColumns(ranks).select("h", "cid", "n", "c", "k", (F.col("k") > F.col("k1")).alias("sought"), ((F.col("k") < F.col("k2")) & (F.col("rank") <= F.col("held") - F.col("least") + 1)).alias("probing"))
+    told = materialise(told)
+    # only buckets in which someone looks matter; parities are joined to what is left of them
+    looked = told.join(told.where("probing").select("h").distinct(), "h").join(classes.select("cid", "bits"), "cid")
+    x, y = (looked.where(w).drop("sought", "probing").alias(t) for w, t in (("probing", "x"), ("sought", "y")))
+    differing = F.aggregate(F.zip_with("x.bits", "y.bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    alike = differing * (num + den) <= (F.col("x.n") + F.col("y.n")) * (den - num)
+    across = (F.col("x.h") == F.col("y.h")) & (F.col("x.k") < F.col("y.k"))
+    met = x.join(y, across & fits(F.col("x.n"), F.col("y.n"), F.least("x.c", "y.c")) & alike)
+    rest = materialise(met.select(F.col("y.cid").alias("a"), F.col("x.cid").alias("b")).distinct())
     if rest.isEmpty():
         return first
     more = materialise(_verify(rows, rest, classes, size, num, den))
@@ -339,9 +371,10 @@ def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     component of null ids.
     """
     found = near_duplicates(df, id_col, text_col, size, num, den)
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
+    keep = fresh(df, "_keep")
+    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(keep)).distinct()
     empty = F.coalesce(F.length(F.regexp_replace(text_col, r"[\x20\x09-\x0D]", "")), F.lit(0)) == 0
-    full = df.where(~empty).join(stay, F.col(id_col) == F.col("_keep"), "left_semi").dropDuplicates([id_col])
+    full = df.where(~empty).join(stay, F.col(id_col) == F.col(keep), "left_semi").dropDuplicates([id_col])
     return full.unionByName(df.where(empty)).unionByName(df.where(~empty & F.col(id_col).isNull()).dropDuplicates([text_col]))
 
 
