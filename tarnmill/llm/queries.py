@@ -90,6 +90,22 @@ def _escaped_length(x: str) -> str:
     return rf"length({x}) + length(regexp_extract_all({x}, '{controls}|\\'))"
 
 
+def _licence_sql() -> str:
+    """Every line against every template, without a first look."""
+    w = licenses.Weights(licenses.TEMPLATES)
+    idf = ", ".join(f"('{t}', {v!r}::DOUBLE)" for t, v in sorted(w.idf.items()))
+    weights = ", ".join(f"({k}, '{w.names[k]}', '{t}', {v * w.idf[t]!r}::DOUBLE)" for k, vector in enumerate(w.vectors) for t, v in sorted(vector.items()))
+    return rf"""WITH idf(term, idf) AS (VALUES {idf}), weights(template, license, term, weight) AS (VALUES {weights}),
+      files AS (SELECT doc_id, text, concat_ws('/', source, lang, CASE WHEN length(text) <= 400 THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END) AS path, concat_ws('/', source, lang) AS folder, source FROM documents),
+      held AS (SELECT DISTINCT doc_id, path, folder, line FROM (SELECT *, unnest(string_split(text, chr(10))) AS line FROM files)),
+      terms AS (SELECT line, term, count(*) AS tf FROM (SELECT line, unnest(regexp_extract_all(lower(line), '[a-z0-9]+(?:[.][0-9]+)*')) AS term FROM (SELECT DISTINCT line FROM held)) GROUP BY ALL),
+      norms AS (SELECT line, sqrt(sum((tf * coalesce(idf, {w.other!r}::DOUBLE)) * (tf * coalesce(idf, {w.other!r}::DOUBLE)))) AS norm FROM terms LEFT JOIN idf USING (term) GROUP BY line),
+      scored AS (SELECT line, template, license, round(sum(tf * weight) / norm, 6) AS score FROM terms JOIN weights USING (term) JOIN norms USING (line) GROUP BY line, template, license, norm),
+      own AS (SELECT doc_id, path, folder, license AS own_license, score AS own_score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, template) AS rn FROM held JOIN scored USING (line) WHERE score >= {licenses.THRESHOLD}) WHERE rn = 1),
+      declared AS (SELECT folder AS folder_at, arg_min(own_license, path) AS declared FROM own WHERE regexp_matches(path, '{licenses.LICENSE_FILE}') GROUP BY folder)
+      SELECT f.doc_id, f.path, own_license, own_score, coalesce(own_license, declared) AS license, CASE WHEN own_license IS NULL THEN folder_at END AS inherited_from FROM files f LEFT JOIN own USING (doc_id) LEFT JOIN declared ON folder_at = f.folder"""
+
+
 _SHINGLES = f"""words AS (SELECT doc_id, regexp_extract_all({_FOLD}, '{_SPACED}') AS w FROM documents),
 shingles AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
@@ -98,8 +114,18 @@ links AS (SELECT u, v FROM common JOIN sizes x ON x.doc_id = u JOIN sizes y ON y
 edges AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
 reach(node, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.v, r.seen FROM reach r JOIN edges e ON r.node = e.u)"""
 
-#: DuckDB SQL. Jump hashing needs a checksum that it lacks; trees, token ids and smoothed losses are beyond it.
+#: DuckDB SQL. Trees, token ids and smoothed losses are beyond it. It lacks CRC-32, so that is written out by bytes.
 ORACLES: dict[str, str] = {
+    "op1_sharding": f"""WITH RECURSIVE step(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8),
+      entries AS (SELECT list(c ORDER BY i) AS e FROM step WHERE k = 8),
+      raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+      bytes AS (SELECT doc_id, length(h) // 2 AS n, list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)) AS b FROM raw),
+      sums AS (SELECT doc_id, n, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, e[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM bytes, entries),
+      jump(doc_id, shards, k, b, j) AS (SELECT doc_id, shards, doc_id::HUGEINT, 0::BIGINT, 0::BIGINT FROM documents, (VALUES ({SHARDS}), ({SHARDS + 1})) v(shards)
+        UNION ALL SELECT doc_id, shards, k2, j, CAST(floor((j + 1) * (2147483648.0::DOUBLE / (k2 // 8589934592 + 1)::DOUBLE)) AS BIGINT)
+        FROM (SELECT *, (k * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS k2 FROM jump WHERE j < shards)),
+      placed AS (SELECT doc_id, max(CASE WHEN shards = {SHARDS} THEN b END)::INT AS shard, max(CASE WHEN shards = {SHARDS + 1} THEN b END)::INT AS grown_shard FROM jump WHERE j >= shards GROUP BY doc_id)
+      SELECT doc_id, (n + 8)::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, crc) - 1 AS slot, grown_shard FROM sums JOIN placed USING (doc_id)""",
     "op3_chat": rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
         UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
       SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
@@ -112,6 +138,7 @@ ORACLES: dict[str, str] = {
       gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM windows JOIN twice USING (h))),
       kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM words) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
       SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM words LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op8_license_scans": _licence_sql(),
     "op9_exact_dedup": f"""WITH t AS (SELECT doc_id, {_NORM} AS norm FROM documents)
       SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256 FROM t""",
     "op10_decontamination": rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '{_ALNUM}') AS w FROM documents), b AS (SELECT item_id, regexp_extract_all({_FOLD}, '{_ALNUM}') AS w FROM benchmark),
