@@ -33,7 +33,7 @@ MU = 4.0
 #: Classes whose counts are summed together.
 PART = 1 << 12
 #: Tokens of a mapper's batch and postings of a block.
-BATCH, BLOCK = 1 << 20, 4_000_000
+BATCH, BLOCK = 1 << 20, 1_500_000
 #: Labels (rows of 16 bytes) that may be broadcast; beyond, documents and labels are shuffled together.
 BROADCAST_ROWS = 500_000
 
@@ -87,6 +87,18 @@ def _class_counts(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return survey.where("part is null").select("ka", "kb", "n", "wanted"), out.reshape(2, CLASSES)
 
 
+def _small(x: np.ndarray) -> bytes:
+    """Non-negative integers in as few bytes each as the largest needs, behind a byte that tells how many."""
+    most = int(x.max()) if len(x) else 0
+    size = next(k for k in (1, 2, 4, 8) if most < 1 << 8 * k)
+    return bytes([size]) + x.astype(f"<u{size}").tobytes()
+
+
+def _read(x: pa.Scalar) -> np.ndarray:
+    raw = x.as_py()
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 def _summed(keys: np.ndarray, times: np.ndarray) -> np.ndarray:
     """For each key the sum of times over all that are equal to it."""
     _, which = np.unique(keys, return_inverse=True)
@@ -115,7 +127,7 @@ def _pair_blocks(rows: DataFrame, blocks: int) -> DataFrame:
             for k, own in enumerate(np.split(order, np.flatnonzero(np.diff(block[order])) + 1)):
                 first = np.flatnonzero(np.append(True, pair[own][1:] != pair[own][:-1]))
                 table = (ka.tobytes(), kb.tobytes()) if k == 0 else (b"", b"")
-                for x, v in zip(out, (int(block[own[0]]), label, pair[own][first].tobytes(), np.diff(np.append(first, len(own))).astype("<u4").tobytes(), doc[own].astype("<u4").tobytes(), times[own].astype("<u4").tobytes(), *(c[own].astype("<u4").tobytes() for c in own_counts), np.packbits(target[doc[own]]).tobytes(), *table)):
+                for x, v in zip(out, (int(block[own[0]]), label, _small(np.diff(pair[own][first], prepend=0)), _small(np.diff(np.append(first, len(own)))), _small(doc[own]), _small(times[own]), *(_small(c[own].astype(np.int64)) for c in own_counts), np.packbits(target[doc[own]]).tobytes(), *table)):
                     x.append(v)
             held.clear()
             keys.clear()
@@ -147,11 +159,11 @@ def _losses(pairs: DataFrame, unigrams) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         counts = unigrams.value
         totals = counts.sum(1)
-        cut = [(np.frombuffer(p.as_py(), np.int64), np.frombuffer(d.as_py(), "<u4"), np.frombuffer(t.as_py(), "<u4")) for p, d, t in zip(table.column("pairs"), table.column("docs_of"), table.column("times"))]
+        cut = [(np.cumsum(_read(p)), _read(d), _read(t)) for p, d, t in zip(table.column("pairs"), table.column("docs_of"), table.column("times"))]
         pair = np.concatenate([np.repeat(p, d) for p, d, _ in cut])
-        times = np.concatenate([t for _, _, t in cut]).astype(float)
+        times = np.concatenate([t for _, _, t in cut]).astype(np.float32)
         target = np.concatenate([np.unpackbits(np.frombuffer(g.as_py(), np.uint8))[: len(t)] for g, (_, _, t) in zip(table.column("target"), cut)])
-        own_before, own_word = (np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column(c)]).astype(float) for c in ("own_before", "own_word"))
+        own_before, own_word = (np.concatenate([_read(x) for x in table.column(c)]).astype(np.float32) for c in ("own_before", "own_word"))
         distinct, which = np.unique(pair, return_inverse=True)
         before, word = distinct >> CLASS_BITS, distinct & (CLASSES - 1)
         loss = []
@@ -165,8 +177,8 @@ def _losses(pairs: DataFrame, unigrams) -> DataFrame:
         for r, (_, _, t) in enumerate(cut):
             own = slice(at, at + len(t))
             at += len(t)
-            docs, local = np.unique(np.frombuffer(table.column("doc")[r].as_py(), "<u4"), return_inverse=True)
-            out[0].append(docs.astype("<u4").tobytes())
+            docs, local = np.unique(_read(table.column("doc")[r]), return_inverse=True)
+            out[0].append(_small(docs))
             for x, k in ((out[1], 0), (out[2], 1)):
                 x.append(np.bincount(local, loss[k][own], len(docs)).astype("<f4").tobytes())
         return pa.table({"batch": table.column("batch"), "doc": pa.array(out[0], pa.binary()), "background": pa.array(out[1], pa.binary()), "target": pa.array(out[2], pa.binary()), "ka": table.column("ka"), "kb": table.column("kb")})
@@ -180,7 +192,7 @@ def _by_document(losses: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         ka = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("ka")])
         kb = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in table.column("kb")])
-        doc = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("doc")])
+        doc = np.concatenate([_read(x) for x in table.column("doc")])
         sums = [np.bincount(doc, np.concatenate([np.frombuffer(x.as_py(), "<f4") for x in table.column(c)]), len(ka)) for c in ("target", "background")]
         return pa.table({"ka": ka, "kb": kb, "target": sums[0], "background": sums[1]})
 
