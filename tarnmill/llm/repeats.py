@@ -57,28 +57,34 @@ def recompress(words: Words, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarr
         inner = doc[1:] == doc[:-1]
         return np.append(False, inner), np.append(inner, False)  # has a neighbour before, after
 
+    # A range must follow from the words in it alone, else equal passages would count their symbols apart.
     def before(x: np.ndarray, there: np.ndarray, far: int) -> np.ndarray:
         return np.where(there, np.roll(x, 1), far)
 
     def after(x: np.ndarray, there: np.ndarray, far: int) -> np.ndarray:
         return np.where(there, np.roll(x, -1), far)
 
-    # runs: a word, or several equal ones, between others
+    # runs: a word, or several equal ones, between others; it depends on the words next to it
     left, _ = edges()
     head = np.flatnonzero(~(left & (name == np.roll(name, 1))))
     tail = np.append(head[1:], len(name)) - 1
     times = (tail - head + 1).astype(U64)
     name, doc, low, high = np.where(times > 1, mix(name[head] * _SEEDS[0] + times), name[head]), doc[head], low[head], high[tail]
     left, right = edges()
-    low, high = before(low, left, -_FAR), after(high, right, _FAR)
+    low, high = np.where(left, low - 1, -_FAR), np.where(right, high + 1, _FAR)
     for r in range(1, rounds + 1):
         left, right = edges()
         opens = (mix(name ^ _SEEDS[r]) & U64(1)).astype(bool)
         pair = opens & right & ~np.roll(opens, -1)
         second = np.append(False, pair[:-1])
         single = ~pair & ~second
-        high = np.where(pair, np.roll(high, -1), np.where(single & opens, np.maximum(high, after(high, right, _FAR)), high))
-        low = np.where(single & ~opens, np.minimum(low, before(low, left, -_FAR)), low)
+        joins_next, joins_last = pair | (single & opens), single & ~opens
+        next_low, next_high = after(low, right, _FAR), after(high, right, _FAR)
+        last_low, last_high = before(low, left, -_FAR), before(high, left, -_FAR)
+        low, high = (
+            np.where(joins_next, np.minimum(low, next_low), np.where(joins_last, np.minimum(low, last_low), low)),
+            np.where(joins_next, np.maximum(high, next_high), np.where(joins_last, np.maximum(high, last_high), high)),
+        )
         name = np.where(pair, mix(name * _SEEDS[r] + np.roll(name, -1)), name)
         keep = ~second
         name, doc, low, high = name[keep], doc[keep], low[keep], high[keep]
