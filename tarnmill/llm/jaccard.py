@@ -40,7 +40,7 @@ from tarnmill.runtime import materialise
 NUM, DEN = 75, 100
 SHINGLE = 5
 #: Counters of the table that orders shingles, in parts that are summed apart.
-COUNTERS, PART = 1 << 20, 1 << 12
+COUNTERS, PART = 1 << 22, 1 << 12
 #: Postings of a block, a mapper's batch, and a bucket before it is dealt to several blocks.
 BLOCK, BATCH, BUCKET = 2_000_000, 1_000_000, 50_000
 PARITY = 1024
@@ -117,18 +117,25 @@ def _survey(rows: DataFrame, size: int) -> DataFrame:
     kind = rows.schema["_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, counts, some = TaskContext.get().partitionId(), np.zeros(COUNTERS, np.int64), False
+        task, counts = TaskContext.get().partitionId(), np.zeros(COUNTERS, np.int64)
+        held: list[np.ndarray] = []
+        amount, some = 0, False
         for b in batches:
             for words in scan(b.column(1), FOLDED_WORDS):
                 h, offsets = shingle_sets(words, size)
-                counts += np.bincount((h & U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                held.append((h & U64(COUNTERS - 1)).astype(np.int64))
+                amount += len(h)
                 some |= len(h) > 0
+                if amount >= BATCH:
+                    counts += np.bincount(np.concatenate(held), minlength=COUNTERS)
+                    held, amount = [], 0
                 k1, nk = set_keys(h, offsets)
                 n = len(k1)
                 none = pa.nulls(n, pa.int32())
                 bits = pa.FixedSizeListArray.from_arrays(pa.array(parities(h, offsets).ravel()), PARITY // 64).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(words.first, n), pa.array(k1), pa.array(nk), bits, none, none, pa.nulls(n, pa.binary())], names=names)
         if some:
+            counts += np.bincount(np.concatenate([*held, np.zeros(0, np.int64)]), minlength=COUNTERS)
             parts = COUNTERS // PART
             packed = [zlib.compress(c.astype("<u4").tobytes(), 1) for c in np.minimum(counts, 0xFFFFFFFF).reshape(parts, PART)]
             yield pa.RecordBatch.from_arrays([pa.nulls(parts, arrow_id), pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.list_(pa.int64())), pa.array([task] * parts, pa.int32()), pa.array(range(parts), pa.int32()), pa.array(packed, pa.binary())], names=names)
