@@ -66,8 +66,20 @@ class Weights:
         return sorted(chosen)
 
 
+    def reachable(self, line: Column, threshold: float) -> Column:
+        """Whether the template terms that a line holds (as parts of it) let its cosine reach the threshold, by the same bound."""
+        low = F.lower(line)
+        norms = []
+        for v in self.vectors:
+            held = F.lit(0.0)
+            for term in sorted(v, key=lambda t: (-v[t], t)):
+                held = held + F.when(low.contains(term), v[term] ** 2).otherwise(0.0)
+            norms.append(held)
+        return F.greatest(*norms) >= threshold**2 - 1e-9
+
+
 def score_lines(lines: DataFrame, weights: Weights, threshold: float) -> DataFrame:
-    """line, license, score: the best template of each distinct line, where its cosine reaches the threshold."""
+    """line, license, score, template: the best template of each distinct line, where its cosine reaches the threshold."""
     spark = lines.sparkSession
     entries = [(term, k, v * weights.idf[term]) for k, vector in enumerate(weights.vectors) for term, v in vector.items()]
     table = F.broadcast(spark.createDataFrame(entries, "term string, template int, weight double"))  # the templates: of fixed size
@@ -80,7 +92,7 @@ def score_lines(lines: DataFrame, weights: Weights, threshold: float) -> DataFra
     dots = met.select("line", "norm", F.explode("known").alias("k")).select("line", "norm", "k.term", "k.tf").join(table, "term").groupBy("line", "norm", "template").agg(F.sum(F.col("tf") * F.col("weight")).alias("dot"))
     cosine = F.round(F.col("dot") / F.col("norm"), 6)
     best = dots.select("line", "template", cosine.alias("score")).where(F.col("score") >= threshold).groupBy("line").agg(F.max(F.struct("score", (-F.col("template")).alias("t"))).alias("b"))
-    return best.select("line", F.col("b.score").alias("score"), (-F.col("b.t")).alias("template")).join(names, "template").select("line", "license", "score")
+    return best.select("line", F.col("b.score").alias("score"), (-F.col("b.t")).alias("template")).join(names, "template").select("line", "license", "score", "template")
 
 
 def scan_licenses(files: DataFrame, id_col: str, path: Column, text_col: str = "text", license_file: Column | None = None, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -99,10 +111,10 @@ def scan_licenses(files: DataFrame, id_col: str, path: Column, text_col: str = "
     rows = files.select(F.col(id_col).alias("_id"), path.alias("path"), F.col(text_col).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
     hint = "(?i)(?<![a-z0-9])(" + "|".join(re.escape(t) for t in weights.telling(threshold)) + ")(?![a-z0-9])"
     some = rows.where(F.col("_text").rlike(hint))
-    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(hint))
-    held = materialise(some.select("_id", "path", "_hash", F.explode(F.array_distinct(lines)).alias("line")))
+    lines = some.select("_id", "path", "_hash", F.explode(F.split("_text", "\n")).alias("line"))
+    held = materialise(lines.where(F.col("line").rlike(hint)).where(weights.reachable(F.col("line"), threshold)))
     scored = score_lines(held.select("line").distinct(), weights, threshold)
-    found = held.join(scored, "line").groupBy("_id", "path", "_hash").agg(F.max(F.struct("score", F.hash("license").alias("h"), "license")).alias("b"))
+    found = held.join(scored, "line").groupBy("_id", "path", "_hash").agg(F.max(F.struct("score", (-F.col("template")).alias("t"), "license")).alias("b"))
     own = materialise(found.select("_id", "path", "_hash", F.col("b.license").alias("own_license"), F.col("b.score").alias("own_score")))
 
     folder = F.regexp_replace("path", "/?[^/]*$", "")
