@@ -39,9 +39,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         raise RuntimeError(f"no fixed point after {most_rounds} rounds")
     hung = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = hung.select(F.col("component").alias("node"), "component").distinct()
-    alone = loops.join(around_nodes(hung), loops["u"] == F.col("_node"), "left_anti").select(F.col("u").alias("node"), F.col("u").alias("component"))
+    placed = hung.select(F.explode(F.array("node", "component")).alias("_node")).distinct()
+    alone = loops.join(placed, loops["u"] == F.col("_node"), "left_anti").select(F.col("u").alias("node"), F.col("u").alias("component"))
     return hung.unionByName(roots).unionByName(alone)
-
-
-def around_nodes(hung: DataFrame) -> DataFrame:
-    return hung.select(F.explode(F.array("node", "component")).alias("_node")).distinct()

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnmill.functions.columns import CARD_NAMESPACE, card_id
+from tarnmill.functions.columns import CARD_NAMESPACE, card_id, md5_long
 from tarnmill.operators.components import connected_components
 
 #: Parameters of the hash family and of production.
@@ -120,8 +120,6 @@ def estimate(sig_a: str | Column, sig_b: str | Column) -> Column:
 
 def bands(df: DataFrame, id_col: str, sig: str = "signature", b: int = BANDS, r: int = ROWS, portable: bool = False) -> DataFrame:
     """id, band_idx, bucket_key: one row per band. portable: a key that other engines can compute (slower)."""
-    from tarnmill.functions.columns import md5_long
-
     part = F.slice(sig, F.col("band_idx") * r + 1, r)
     key = md5_long(F.array_join(part.cast("array<string>"), ",")) if portable else F.xxhash64(part)
     checked = F.when(F.size(sig) >= b * r, F.sequence(F.lit(0), F.lit(b - 1))).otherwise(F.raise_error(F.lit(f"a signature is shorter than {b} x {r}")).cast("array<int>"))

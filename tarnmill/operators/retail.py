@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnmill.functions.columns import day_of_week
+from tarnmill.functions.columns import day_of_week, md5_long
 
 #: Line types that make revenue.
 REVENUE_LINES = ["SALE", "DISCOUNT", "RETURN", "VOID"]
@@ -152,15 +152,13 @@ def rounding_gap(fact: DataFrame) -> DataFrame:
 def ordered_checksum(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
     """n_rows and the md5 of all rows in order: for small tables, as one task reads them all."""
     line = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
-    rows = df.select(*dict.fromkeys([*columns, *order])).withColumn("_line", line)
-    keyed = ", ".join(order)
-    return rows.selectExpr("count(1) as n_rows", f"md5(listagg(_line, chr(10)) within group (order by {keyed})) as checksum") if len(order) == 1 else rows.withColumn("_key", F.concat_ws("\x01", *order)).selectExpr("count(1) as n_rows", "md5(listagg(_line, chr(10)) within group (order by _key)) as checksum")
+    place = F.col(order[0]) if len(order) == 1 else F.concat_ws("\x01", *order)
+    rows = df.select(line.alias("_line"), place.alias("_place"))
+    return rows.selectExpr("count(1) as n_rows", "md5(listagg(_line, chr(10)) within group (order by _place)) as checksum")
 
 
 def additive_checksum(df: DataFrame, columns: list[str]) -> DataFrame:
     """n_rows and a checksum that no order changes: the sum of 32 bits of each row's md5. Any number of tasks share it."""
-    from tarnmill.functions.columns import md5_long
-
     line = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
     return df.select(md5_long(line).alias("_m")).agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.col("_m").cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias("checksum"))
 
