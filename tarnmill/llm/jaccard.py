@@ -35,14 +35,14 @@ from pyspark.sql import types as T
 from tarnmill.llm.names import fresh
 from tarnmill.llm.wordscan import FOLDED_WORDS, U64, Words, mix, plain_words, rolled, scan
 from tarnmill.operators.components import connected_components
-from tarnmill.runtime import materialise
+from tarnmill.runtime import materialise, release
 
 NUM, DEN = 75, 100
 SHINGLE = 5
 #: Counters of the table that orders shingles, in parts that are summed apart.
 COUNTERS, PART = 1 << 22, 1 << 12
 #: Postings of a block, a mapper's batch, and a bucket before it is dealt to several blocks.
-BLOCK, BATCH, BUCKET = 2_000_000, 1_000_000, 50_000
+BLOCK, BATCH, BUCKET = 1_000_000, 500_000, 50_000
 PARITY = 1024
 #: Members that are compared with one copy of a pivot.
 FAN = 500
@@ -334,6 +334,7 @@ def _components(rows: DataFrame, classes: DataFrame, counts, blocks: int, size:
     need = needed_within(n, low, high, num, den)
     joined = mates.join(buckets, "h").withColumn("need", need).where("c >= need").select("h", "cid", "n", "c", F.ceil("need").alias("need"), "mates", F.col("p.cid").alias("b"), F.col("p.n").alias("m"), F.col("p.c").alias("cb"))
     near = materialise(joined)
+    release(mates)
 
     def fits(n1: Column, n2: Column, c: Column) -> Column:
         return (den * F.least(n1, n2) >= num * F.greatest(n1, n2)) & (c >= needed(n1, n2, num, den))
@@ -349,11 +350,13 @@ def _components(rows: DataFrame, classes: DataFrame, counts, blocks: int, size:
     placed = near.join(member, near["cid"] == member["node"], "left")
     placed = placed.select("h", "cid", "n", "c", "need", "mates", F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("component", "cid").alias("component")).alias("k"))
     placed = materialise(placed)
+    release(near)
     mixed = placed.groupBy("h").agg(F.min("k").alias("k1"), F.max("k").alias("k2")).where("k1 <> k2")
     own, rarest = Window.partitionBy("cid"), Window.partitionBy("cid").orderBy("mates", "h")
     ranks = {"rank": F.row_number().over(rarest), "held": F.count(F.lit(1)).over(own), "least": F.greatest(F.min("need").over(own), F.lit(1))}
     told = placed.join(mixed, "h").withColumns(ranks).select("h", "cid", "n", "c", "k", (F.col("k") > F.col("k1")).alias("sought"), ((F.col("k") < F.col("k2")) & (F.col("rank") <= F.col("held") - F.col("least") + 1)).alias("probing"))
     told = materialise(told)
+    release(placed)
     # only buckets in which someone looks matter; parities are joined to what is left of them
     looked = told.join(told.where("probing").select("h").distinct(), "h").join(classes.select("cid", "bits"), "cid")
     x, y = (looked.where(w).drop("sought", "probing").alias(t) for w, t in (("probing", "x"), ("sought", "y")))
@@ -362,6 +365,7 @@ def _components(rows: DataFrame, classes: DataFrame, counts, blocks: int, size:
     across = (F.col("x.h") == F.col("y.h")) & (F.col("x.k") < F.col("y.k"))
     met = x.join(y, across & fits(F.col("x.n"), F.col("y.n"), F.least("x.c", "y.c")) & alike)
     rest = materialise(met.select(F.col("y.cid").alias("a"), F.col("x.cid").alias("b")).distinct())
+    release(told)
     if rest.isEmpty():
         return first
     more = materialise(_verify(rows, rest, classes, size, num, den))
