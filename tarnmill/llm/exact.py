@@ -54,8 +54,11 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df's columns; of equal texts only the row with the smallest id (one of them, if rows repeat)."""
     hash_, sha, keep, null = names = [fresh(df, n) for n in ("_hash", "_sha", "_keep", "_null")]
-    groups = duplicate_groups(df, id_col, text_col).select(F.col("_hash").alias(hash_), F.col("_sha").alias(sha), F.col("keep_id").alias(keep), F.col("keep_id").isNull().alias(null))
+    # ids as text beside a mark for null: plain keys, so the last step finds the rows dealt as it needs them
+    def told(x: Column) -> dict[str, Column]:
+        return {keep: F.coalesce(x.cast("string"), F.lit("")), null: x.isNull()}
+
+    groups = duplicate_groups(df, id_col, text_col).withColumns({hash_: F.col("_hash"), sha: F.col("_sha"), **told(F.col("keep_id"))}).select(*names)
     norm = normalised(text_col)
-    rows = df.withColumns({hash_: F.unhex(F.md5(norm)), sha: F.sha2(norm, 256), keep: F.col(id_col), null: F.col(id_col).isNull()})
-    same = (rows[hash_] == groups[hash_]) & (rows[sha] == groups[sha]) & rows[keep].eqNullSafe(groups[keep]) & (rows[null] == groups[null])
-    return rows.join(groups, same, "left_semi").dropDuplicates(names).drop(*names)
+    rows = df.withColumns({hash_: F.unhex(F.md5(norm)), sha: F.sha2(norm, 256), **told(F.col(id_col))})
+    return rows.join(groups, names, "left_semi").dropDuplicates(names).select(*[F.col(f"`{c}`") for c in df.columns])
