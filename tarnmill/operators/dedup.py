@@ -1,8 +1,8 @@
 """Near-duplicate notices: signatures, bands, candidates, verification, clusters and stable cards.
 
 Shingle sets travel as sorted arrays of 64-bit hashes, signatures as arrays of longs. Candidates come from a
-self join on (band, bucket); a bucket shows its first CAP members only, before the join, so one bucket of n
-members makes n * CAP pairs at most.
+self join on (band, bucket). With caps a bucket shows its first CAP members only, before the join, so one bucket
+of n members makes n * CAP pairs at most; without, it makes all its pairs, and large buckets are dealt by salt.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from tarnmill.operators.components import connected_components
 PRIME = 2147483647
 HASHES, BANDS, ROWS, SEED = 256, 32, 8, 42
 BUCKET_CAP, PARTNER_CAP = 100, 200
+#: Members of a bucket that one task meets with the rest of it, where all pairs are wanted.
+DEAL = 1000
 SIZE_RATIO, CLOSING_DAYS, SCORE = 0.28, 30, 0.5
 BODY_WEIGHT, TITLE_WEIGHT = 0.7, 0.3
 
@@ -132,20 +134,33 @@ def candidate_pairs(store: DataFrame, id_col: str, bucket_cap: int | None = None
     With caps as in production: a bucket shows its first bucket_cap members (by id) to all of its members, and a
     member keeps its partner_cap smallest partners; a pair stays if either member keeps the other. Ranks are
     total, so the result never varies.
+
+    Without caps every pair of every bucket: members of large buckets are dealt to salts, each of which meets the
+    whole bucket.
     """
+    if not (bucket_cap or partner_cap):
+        return _all_pairs(store, id_col)
     shown = store
     if bucket_cap:
         shown = store.withColumn("_rn", F.row_number().over(Window.partitionBy("band_idx", "bucket_key").orderBy(id_col))).where(F.col("_rn") <= bucket_cap)
     left = store.select(F.col(id_col).alias("me"), "band_idx", "bucket_key")
     right = shown.select(F.col(id_col).alias("other"), "band_idx", "bucket_key")
-    met = left.join(right, ["band_idx", "bucket_key"])
-    met = met.where("me < other") if not (bucket_cap or partner_cap) else met.where("me <> other")
-    met = met.select("me", "other").distinct()
+    met = left.join(right, ["band_idx", "bucket_key"]).where("me <> other").select("me", "other").distinct()
     if partner_cap:
         met = met.withColumn("_rn", F.row_number().over(Window.partitionBy("me").orderBy("other"))).where(F.col("_rn") <= partner_cap)
     return met.select(F.least("me", "other").alias("id_a"), F.greatest("me", "other").alias("id_b")).distinct()
 
 
+def _all_pairs(store: DataFrame, id_col: str, deal: int = DEAL) -> DataFrame:
+    key = ["band_idx", "bucket_key"]
+    hot = store.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > deal)
+    sized = store.join(F.broadcast(hot), key, "left")  # less than one row in `deal` of the store
+    sized = sized.withColumn("_parts", F.coalesce(F.ceil(F.col("_n") / deal), F.lit(1)).cast("int"))
+    left = sized.select(F.col(id_col).alias("id_a"), *key, F.pmod(F.xxhash64(id_col), F.col("_parts")).cast("int").alias("_salt"))
+    right = sized.select(F.col(id_col).alias("id_b"), *key, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_salt"))
+    return left.join(right, [*key, "_salt"]).where("id_a < id_b").select("id_a", "id_b").distinct()
+
+
 def lookup(store: DataFrame, probe: DataFrame, id_col: str) -> DataFrame:
     """Candidates of the notices in probe (a store of the same columns): probe_id, candidate_id."""
     p = probe.select(F.col(id_col).alias("probe_id"), "band_idx", "bucket_key")

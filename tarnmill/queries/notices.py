@@ -50,13 +50,17 @@ def store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str, capped: bool = False) -> DataFrame:
-    return D.candidate_pairs(store(spark, sf_dir), "doc_id", *((20, 40) if capped else ()))
+    """Candidates; capped: the caps that the SQL of lsh_candidates_capped shows, no other query has them."""
+    return D.candidate_pairs(materialise(store(spark, sf_dir)), "doc_id", *((20, 40) if capped else ()))
 
 
-def measured(spark: SparkSession, sf_dir: str, capped: bool = True) -> DataFrame:
-    """id_a, id_b, estimated and exact similarity of the candidates."""
-    s = materialise(signed(spark, sf_dir))
-    found = materialise(D.candidate_pairs(D.bands(s.where(F.size("tokens") > 0), "doc_id", b=NATIVE_BANDS, r=NATIVE_ROWS, portable=True), "doc_id", *((20, 40) if capped else ())))
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id_a, id_b, estimated and exact similarity of all candidates."""
+    return compared(materialise(signed(spark, sf_dir)))
+
+
+def compared(s: DataFrame) -> DataFrame:
+    found = materialise(D.candidate_pairs(materialise(D.bands(s.where(F.size("tokens") > 0), "doc_id", b=NATIVE_BANDS, r=NATIVE_ROWS, portable=True)), "doc_id"))
     a = s.select(F.col("doc_id").alias("id_a"), F.col("tokens").alias("ta"), F.col("signature").alias("sa"))
     b = s.select(F.col("doc_id").alias("id_b"), F.col("tokens").alias("tb"), F.col("signature").alias("sb"))
     both = found.join(a, "id_a").join(b, "id_b")
@@ -160,7 +164,12 @@ def verified_pairs(spark, sf_dir):
 
 
 def clustered(spark, sf_dir):
-    return D.clusters(materialise(native_edges(spark, sf_dir)), documents(spark, sf_dir), "doc_id")
+    """Equal sets meet in every band, so one of each is compared and the others hang on it."""
+    s = materialise(signed(spark, sf_dir).where(F.size("tokens") > 0).withColumn("tokens", F.sort_array("tokens")))
+    alike = materialise(s.groupBy("tokens", "signature").agg(F.min("doc_id").alias("doc_id")))
+    copies = s.join(alike.withColumnRenamed("doc_id", "id_a"), ["tokens", "signature"]).select("id_a", F.col("doc_id").alias("id_b")).where("id_a < id_b")
+    edges = compared(alike).where("exact >= 0.5").select("id_a", "id_b").unionByName(copies)
+    return D.clusters(materialise(edges), documents(spark, sf_dir), "doc_id")
 
 
 def duplicate_clusters(spark, sf_dir):
@@ -184,7 +193,7 @@ def scurve_table(spark, sf_dir):
 
 
 def per_notice(spark, sf_dir):
-    p = materialise(pairs(spark, sf_dir, capped=True))
+    p = materialise(pairs(spark, sf_dir))
     both = p.select(F.col("id_a").alias("doc_id")).unionByName(p.select(F.col("id_b").alias("doc_id")))
     n = both.groupBy("doc_id").agg(F.count(F.lit(1)).alias("candidates"))
     return documents(spark, sf_dir).select("doc_id", "source").join(n, "doc_id", "left").select("doc_id", "source", F.coalesce("candidates", F.lit(0)).alias("candidates"))

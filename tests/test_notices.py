@@ -15,6 +15,7 @@ from tarnmill.operators import dedup as D
 from tarnmill.operators import evaluate as V
 from tarnmill.operators.components import connected_components
 from tarnmill.plans.pipelines import dedup_run, dedup_with_cards
+from tarnmill.queries import notices as N
 from tarnmill.sources import readers
 from tarnmill.streaming import arrivals
 
@@ -86,6 +87,22 @@ def test_bands_and_candidates(spark):
     assert capped.count() == sum(min(10, i) for i in range(50)) and capped.agg(F.max("id_a")).first()[0] == "N009"
 
 
+def test_large_buckets_lose_no_pairs(spark, tmp_path):
+    """70 copies fill one bucket of each band: every pair of them is verified, and every one has 69 candidates."""
+    base = " ".join(f"word{i}" for i in range(40))
+    docs = [(i, base, "s") for i in range(70)] + [(100, base + " one", "s"), (200, "something else altogether", "s"), (300, None, "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    copies = {(a, b) for b in range(70) for a in range(b)}
+    found = {tuple(r) for r in N.verified_pairs(spark, str(tmp_path)).collect()}
+    assert copies <= found <= copies | {(a, 100) for a in range(70)}
+    assert found == {(r["id_a"], r["id_b"]) for r in N.jaccard_pairs(spark, str(tmp_path)).where("exact >= 0.5").collect()}
+    assert N.workload_skew(spark, str(tmp_path)).first()["total_comparisons"] >= 70 * 69
+    assert sorted(r["size"] for r in N.duplicate_clusters(spark, str(tmp_path)).collect()) == [1, 1, *([71] if len(found) > len(copies) else [1, 70])]
+    store = N.store(spark, str(tmp_path))
+    dealt = D._all_pairs(store, "doc_id", deal=7)  # ten salts
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, D.candidate_pairs(store, "doc_id").collect())) and dealt.count() >= len(copies)
+
+
 def test_components(spark):
     def found(edges):
         return {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src int, dst int")).collect()}
