@@ -24,7 +24,22 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("Proprietary", "All rights reserved"),
+    ("ISC", "Released under the ISC License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0"),
+    ("CC0-1.0", "Licensed under CC0 1.0 Universal"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
 ]
+_GNU = [("GPL-2.0", "General", "2"), ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3")]
+TEMPLATES += [(name, f"This work is licensed under the GNU {kind} Public License, version {v}") for name, kind, v in _GNU]
+TEMPLATES += [(name, f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by the Free Software Foundation, either version {v} of the License") for name, kind, v in _GNU]
+_CC = [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]
+TEMPLATES += [(f"CC-{short}-{v}", f"Licensed under CC {short} {v}") for short, _ in _CC for v in ("4.0", "3.0")]
+TEMPLATES += [(f"CC-{short}-{v}", f"This work is licensed under a Creative Commons {name} {v} {area} License") for short, name in _CC for v, area in (("4.0", "International"), ("3.0", "Unported")) if (short, v) != ("BY", "4.0")]
+#: An SPDX tag names its licence itself; templates would drown the name in the tag's own words, or match the name alone.
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*\(?([a-z0-9.+-]+(?:[ \t]+(?:OR|AND|WITH)[ \t]+\(?[a-z0-9.+-]+\)?)*)"
 #: Function words, which the first look at a line avoids.
 COMMON = set("a all an and any are as at be by can either file following form forms free from if in is it may not of or provided that the this to under use with without work you".split())
 THRESHOLD = 0.7
@@ -68,14 +83,21 @@ class Weights:
 
     def reachable(self, line: Column, threshold: float) -> Column:
         """Whether the template terms that a line holds (as parts of it) let its cosine reach the threshold, by the same bound."""
-        low = F.lower(line)
-        norms = []
-        for v in self.vectors:
-            held = F.lit(0.0)
-            for term in sorted(v, key=lambda t: (-v[t], t)):
-                held = held + F.when(low.contains(term), v[term] ** 2).otherwise(0.0)
-            norms.append(held)
-        return F.greatest(*norms) >= threshold**2 - 1e-9
+        bounds: list[dict] = []
+        for v in self.vectors:  # like templates share the larger of their parts, which bounds each of them
+            for k, held in enumerate(bounds):
+                both = {t: max(held.get(t, 0.0), v.get(t, 0.0) ** 2) for t in held.keys() | v.keys()}
+                if sum(both.values()) <= 2.0 and len(both) <= 1.25 * len(held) + 3:
+                    bounds[k] = both
+                    break
+            else:
+                bounds.append({t: x * x for t, x in v.items()})
+        parts = F.array(*[F.array(*[F.struct(F.lit(t).alias("term"), F.lit(b[t]).alias("part")) for t in sorted(b, key=lambda t: (-b[t], t))]) for b in bounds])
+
+        def some(low: Column) -> Column:
+            return F.exists(parts, lambda b: F.aggregate(b, F.lit(0.0), lambda held, x: held + F.when(F.contains(low, x["term"]), x["part"]).otherwise(0.0)) >= threshold**2 - 1e-9)
+
+        return F.element_at(F.transform(F.array(F.lower(line)), some), 1)  # the line is lowered once
 
 
 def score_lines(lines: DataFrame, weights: Weights, threshold: float) -> DataFrame:
@@ -99,7 +121,7 @@ def scan_licenses(files: DataFrame, id_col: str, path: Column, text_col: str = "
     """Per file: id, path, own_license, own_score, license, inherited_from.
 
     A file's own licence is that of its line with the highest cosine to a template (ties: the template that
-    comes first). A file without one inherits from the nearest directory above it that has a licence file
+    comes first); a line with an SPDX tag has the licence that the tag names, with score 1. A file without one inherits from the nearest directory above it that has a licence file
     (license_file: by default by name); of several in one directory the one with the smallest path counts.
     inherited_from is that directory, null where nothing is inherited.
 
@@ -109,11 +131,14 @@ def scan_licenses(files: DataFrame, id_col: str, path: Column, text_col: str = "
     """
     weights = Weights(templates)
     rows = files.select(F.col(id_col).alias("_id"), path.alias("path"), F.col(text_col).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
-    hint = "(?i)(?<![a-z0-9])(" + "|".join(re.escape(t) for t in weights.telling(threshold)) + ")(?![a-z0-9])"
+    hint = "(?i)(?<![a-z0-9])(" + "|".join(re.escape(t) for t in ["spdx", *weights.telling(threshold)]) + ")(?![a-z0-9])"
     some = rows.where(F.col("_text").rlike(hint))
     lines = some.select("_id", "path", "_hash", F.explode(F.split("_text", "\n")).alias("line"))
-    held = materialise(lines.where(F.col("line").rlike(hint)).where(weights.reachable(F.col("line"), threshold)))
+    held = materialise(lines.where(F.col("line").rlike(hint)).where(F.col("line").rlike(SPDX) | weights.reachable(F.col("line"), threshold)))
     scored = score_lines(held.select("line").distinct(), weights, threshold)
+    tagged = held.select("line", F.regexp_extract("line", SPDX, 1).alias("tag")).where("tag <> ''").distinct()
+    tags = tagged.select("line", F.regexp_replace("tag", "(?i)-(only|or-later)(?![a-z0-9.+-])", "").alias("license"), F.lit(1.0).alias("score"), F.lit(-1).alias("template"))
+    scored = scored.join(tags.select("line"), "line", "left_anti").unionByName(tags)
     found = held.join(scored, "line").groupBy("_id", "path", "_hash").agg(F.max(F.struct("score", (-F.col("template")).alias("t"), "license")).alias("b"))
     own = materialise(found.select("_id", "path", "_hash", F.col("b.license").alias("own_license"), F.col("b.score").alias("own_score")))
 

@@ -300,6 +300,22 @@ def test_licences(spark):
     assert licenses.scan_licenses(df.where("false"), "id", F.col("at")).count() == 0
 
 
+#: Statements as documents and sources carry them, and near misses.
+STATEMENTS = [
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"), ("All rights reserved.", "Proprietary"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Released under the MIT License.", "MIT"), ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+    ("Licensed under CC BY 4.0", "CC-BY-4.0"), ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"), ("Licensed under CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"), ("Licensed under CC BY-NC-ND 3.0", "CC-BY-NC-ND-3.0"), ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"),
+    ("# SPDX-License-Identifier: MIT", "MIT"), ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("SPDX-License-Identifier: LGPL-2.1-only", "LGPL-2.1"), ("SPDX-License-Identifier: AGPL-3.0", "AGPL-3.0"), ("SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"), ("SPDX-License-Identifier: CC-BY-NC-4.0", "CC-BY-NC-4.0"),
+    ("Licensed under the BSD 2-Clause License", "BSD-2-Clause"), ("Released under the ISC License", "ISC"), ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"), ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+    ("Released under the Foo License.", None), ("Licensed under the Foo License.", None), ("SPDX-License-Identifier: MIT OR Apache-2.0", "MIT OR Apache-2.0"), ("mit", None), ("Apache", None), ("isc", None), ("Licensed under the MIT License", "MIT"), ("Licensed under the ISC License", "ISC"), ("he was licensed under the 4.0 rule by nc", None),
+]
+
+
+def test_licence_statements(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(STATEMENTS)], "id long, text string")
+    got = {r["id"]: r["own_license"] for r in licenses.scan_licenses(df, "id", F.format_string("d%s/f", "id")).collect()}
+    assert [(t, got[i]) for i, (t, _) in enumerate(STATEMENTS)] == STATEMENTS
+
+
 def test_first_look_at_lines_loses_none():
     """A line without any of the telling terms stays below the threshold, whatever else of a template it holds."""
     w = licenses.Weights(licenses.TEMPLATES)
