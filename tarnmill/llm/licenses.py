@@ -44,6 +44,8 @@ SPDX = r"(?i)SPDX-License-Identifier:[ \t]*\(?([a-z0-9.+-]+(?:[ \t]+(?:OR|AND|WI
 COMMON = set("a all an and any are as at be by can either file following form forms free from if in is it may not of or provided that the this to under use with without work you".split())
 THRESHOLD = 0.7
 TERM = "[a-z0-9]+(?:[.][0-9]+)*"
+#: Where a sentence or paragraph ends; a sentence may run over lines and their comment signs.
+SENTENCE_END = r"""(?<=[.!?])["')\]]*\s+(?=[^A-Za-z0-9\n]*[A-Z])|\n[^A-Za-z0-9\n]*\n"""
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 
 
@@ -57,6 +59,7 @@ class Weights:
         self.other = math.log(1 + n) + 1
         self.idf = {term: math.log((1 + n) / (1 + k)) + 1 for term, k in df.items()}
         self.names = [name for name, _ in templates]
+        self.sizes = [sum(c.values()) for c in counts]
         self.vectors = []
         for c in counts:
             raw = {term: k * self.idf[term] for term, k in c.items()}
@@ -100,18 +103,42 @@ class Weights:
         return F.element_at(F.transform(F.array(F.lower(line)), some), 1)  # the line is lowered once
 
 
-def score_lines(lines: DataFrame, weights: Weights, threshold: float) -> DataFrame:
-    """line, license, score, template: the best template of each distinct line, where its cosine reaches the threshold."""
+def windows(units: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """unit, line: runs of as many terms of a unit as a template has, from a term of such a template on, that can reach the threshold."""
+    terms = units.select(F.col("line").alias("unit"), F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0)).alias("terms"))
+    sizes = []
+    for n in sorted(set(weights.sizes)):  # the larger parts of the templates of a size bound each of them
+        bound: dict = {}
+        for v in (v for v, k in zip(weights.vectors, weights.sizes) if k == n):
+            bound |= {t: max(bound.get(t, 0.0), x * x) for t, x in v.items()}
+        parts = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(x).alias("part")) for t, x in sorted(bound.items())])
+        sizes.append(F.struct(F.lit(n).alias("n"), F.array(*[F.lit(t) for t in sorted(bound)]).alias("known"), parts.alias("parts")))
+
+    def reaches(held: Column) -> Column:
+        return F.aggregate("parts", F.lit(0.0), lambda s, x: s + F.when(F.array_contains(held, x["term"]), x["part"]).otherwise(0.0)) >= threshold**2 - 1e-9
+
+    fit = terms.select("unit", "terms", F.explode(F.array(*sizes)).alias("s")).select("unit", "terms", "s.*").where(F.size("terms") > F.col("n")).where(reaches(F.array_intersect("terms", "known")))
+    starts = fit.select("unit", "terms", "n", "known", "parts", F.explode(F.sequence(F.lit(1), F.size("terms") - F.col("n") + 1)).alias("at")).where(F.array_contains(F.col("known"), F.element_at("terms", F.col("at"))))
+    held = F.element_at(F.transform(F.array(F.slice("terms", F.col("at"), F.col("n"))), reaches), 1)
+    return starts.where(held).select("unit", F.array_join(F.slice("terms", F.col("at"), F.col("n")), " ").alias("line")).distinct()
+
+
+def score_lines(lines: DataFrame, weights: Weights, threshold: float, same_size: bool = False) -> DataFrame:
+    """line, license, score, template: the best template of each distinct line, where its cosine reaches the threshold.
+
+    same_size: of the templates with as many terms as the line.
+    """
     spark = lines.sparkSession
-    entries = [(term, k, v * weights.idf[term]) for k, vector in enumerate(weights.vectors) for term, v in vector.items()]
-    table = F.broadcast(spark.createDataFrame(entries, "term string, template int, weight double"))  # the templates: of fixed size
+    entries = [(term, k, v * weights.idf[term], weights.sizes[k]) for k, vector in enumerate(weights.vectors) for term, v in vector.items()]
+    table = F.broadcast(spark.createDataFrame(entries, "term string, template int, weight double, size int"))  # the templates: of fixed size
     idf = F.broadcast(spark.createDataFrame(sorted(weights.idf.items()), "term string, idf double"))
     names = F.broadcast(spark.createDataFrame(list(enumerate(weights.names)), "template int, license string"))
     terms = lines.select("line", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0))).alias("term")).groupBy("line", "term").agg(F.count(F.lit(1)).alias("tf"))
     weighed = terms.join(idf, "term", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(weights.other)))
     # one pass over a line's terms gives its norm and all dot products
-    met = weighed.groupBy("line").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "tf"))).alias("known"))
-    dots = met.select("line", "norm", F.explode("known").alias("k")).select("line", "norm", "k.term", "k.tf").join(table, "term").groupBy("line", "norm", "template").agg(F.sum(F.col("tf") * F.col("weight")).alias("dot"))
+    met = weighed.groupBy("line").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.sum("tf").alias("n"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "tf"))).alias("known"))
+    shared = met.select("line", "norm", "n", F.explode("known").alias("k")).select("line", "norm", "n", "k.term", "k.tf").join(table, "term")
+    dots = (shared.where("n = size") if same_size else shared).groupBy("line", "norm", "template").agg(F.sum(F.col("tf") * F.col("weight")).alias("dot"))
     cosine = F.round(F.col("dot") / F.col("norm"), 6)
     best = dots.select("line", "template", cosine.alias("score")).where(F.col("score") >= threshold).groupBy("line").agg(F.max(F.struct("score", (-F.col("template")).alias("t"))).alias("b"))
     return best.select("line", F.col("b.score").alias("score"), (-F.col("b.t")).alias("template")).join(names, "template").select("line", "license", "score", "template")
@@ -120,8 +147,9 @@ def score_lines(lines: DataFrame, weights: Weights, threshold: float) -> DataFra
 def scan_licenses(files: DataFrame, id_col: str, path: Column, text_col: str = "text", license_file: Column | None = None, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Per file: id, path, own_license, own_score, license, inherited_from.
 
-    A file's own licence is that of its line with the highest cosine to a template (ties: the template that
-    comes first); a line with an SPDX tag has the licence that the tag names, with score 1. A file without one inherits from the nearest directory above it that has a licence file
+    A file's own licence is that of its line or sentence with the highest cosine to a template (ties: the template
+    that comes first). A sentence may run over lines; of a longer line or sentence, runs of as many terms as a
+    template has are compared with it too, so wrapped notices and embedded statements count; a line with an SPDX tag has the licence that the tag names, with score 1. A file without one inherits from the nearest directory above it that has a licence file
     (license_file: by default by name); of several in one directory the one with the smallest path counts.
     inherited_from is that directory, null where nothing is inherited.
 
@@ -133,9 +161,15 @@ def scan_licenses(files: DataFrame, id_col: str, path: Column, text_col: str = "
     rows = files.select(F.col(id_col).alias("_id"), path.alias("path"), F.col(text_col).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
     hint = "(?i)(?<![a-z0-9])(" + "|".join(re.escape(t) for t in ["spdx", *weights.telling(threshold)]) + ")(?![a-z0-9])"
     some = rows.where(F.col("_text").rlike(hint))
-    lines = some.select("_id", "path", "_hash", F.explode(F.split("_text", "\n")).alias("line"))
+    # each line, and each sentence that is not a line of its own
+    sentences = F.filter(F.split("_text", SENTENCE_END), lambda x: F.contains(x, F.lit("\n")) | ~F.contains(F.concat(F.lit("\n"), "_text", F.lit("\n")), F.concat(F.lit("\n"), x, F.lit("\n"))))
+    lines = some.select("_id", "path", "_hash", F.explode(F.concat(F.split("_text", "\n"), sentences)).alias("line"))
     held = materialise(lines.where(F.col("line").rlike(hint)).where(F.col("line").rlike(SPDX) | weights.reachable(F.col("line"), threshold)))
-    scored = score_lines(held.select("line").distinct(), weights, threshold)
+    units = held.select("line").distinct()
+    scored = score_lines(units, weights, threshold)
+    cut = materialise(windows(units.where(~F.col("line").rlike(SENTENCE_END)), weights, threshold))  # what holds several sentences is cut by them
+    inside = cut.join(score_lines(cut.select("line").distinct(), weights, threshold, same_size=True), "line").select(F.col("unit").alias("line"), "license", "score", "template")
+    scored = scored.unionByName(inside)
     tagged = held.select("line", F.regexp_extract("line", SPDX, 1).alias("tag")).where("tag <> ''").distinct()
     tags = tagged.select("line", F.regexp_replace("tag", "(?i)-(only|or-later)(?![a-z0-9.+-])", "").alias("license"), F.lit(1.0).alias("score"), F.lit(-1).alias("template"))
     scored = scored.join(tags.select("line"), "line", "left_anti").unionByName(tags)

@@ -316,6 +316,23 @@ def test_licence_statements(spark):
     assert [(t, got[i]) for i, (t, _) in enumerate(STATEMENTS)] == STATEMENTS
 
 
+#: Wrapped headers, embedded statements, and prose that is none.
+HEADERS = [
+    ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\nimport os\n", "GPL-3.0"),
+    ("/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU Affero General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */", "AGPL-3.0"),
+    ("// Licensed under the Apache\n// License, Version 2.0 (the \"License\");\n// you may not use this file\n// except in compliance with the License.\n", "Apache-2.0"),
+    ("Copyright 2019 Example Corporation. All rights reserved.", "Proprietary"), ("The parser was written in 2019. Released under the MIT License. Patches are welcome and so are reports of mistakes.", "MIT"),
+    ("this small library for reading old tables was released under the MIT License by its two authors many years ago", "MIT"), ("The photographs of this long article\nare licensed under CC BY-NC 4.0, where\nnothing else is said about them", "CC-BY-NC-4.0"),
+    ("They reserved all seats, and had the rights to use the version of this work with or without the license of the public office, as the terms are free", None), ("Er kam mit dem Zug und fuhr mit dem Bus. Sie ging mit ihm unter die Leute", None),
+]
+
+
+def test_licence_headers_and_embedded_statements(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(HEADERS)], "id long, text string")
+    got = {r["id"]: r["own_license"] for r in licenses.scan_licenses(df, "id", F.format_string("d%s/f", "id")).collect()}
+    assert [(t, got[i]) for i, (t, _) in enumerate(HEADERS)] == HEADERS
+
+
 def test_first_look_at_lines_loses_none():
     """A line without any of the telling terms stays below the threshold, whatever else of a template it holds."""
     w = licenses.Weights(licenses.TEMPLATES)
