@@ -58,7 +58,7 @@ def document_statistics(column: pa.Array) -> np.ndarray:
     for words in scan(column, FOLDED_WORDS):
         n, data = len(words.counts), words.data
         docs, count = words.docs(), words.counts.astype(float)
-        length = (words.ends() - words.starts).astype(float)
+        length = (words.ends - words.starts).astype(float)
         some = np.maximum(count, 1)
         total = np.bincount(docs, length, minlength=n)
         mean = total / some
@@ -80,7 +80,7 @@ def document_statistics(column: pa.Array) -> np.ndarray:
         names = np.add.reduceat(mix(words.hashes + within.astype(np.uint64)), fresh) if len(fresh) else np.zeros(0, np.uint64)
         lines = np.bincount(docs[fresh], minlength=n).astype(float)
         line_distinct, line_top = _distinct(docs[fresh], names, n)
-        last = data[np.maximum(words.ends() - 1, 0)] if len(docs) else data[:0]
+        last = data[words.ends - 1] if len(docs) else data[:0]
         marked = np.bincount(docs, np.isin(_CLASS[last], [7, 8]), minlength=n)
         out.append(
             np.column_stack(

@@ -3,12 +3,14 @@
 A column's texts are scanned together, straight from Arrow's data buffer: no Python object is made per
 word.  A word is named by a 64-bit hash of its bytes, so every worker names it alike.
 
-Word hash: sum of TABLE[byte] * BASE**i over the word's bytes, modulo 2**64, then mixed.  The table is
-drawn once from a fixed rule.  Null texts have no words.
+Word hash: the word's length, then its bytes eight at a time, each step mixed by a bijection of 64 bits (words
+of up to eight bytes and one length never collide); longer words than LONG go through blake2b. Other seeds
+name the same words independently, for who needs more than 64 bits. Null texts have no words.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 5  # = 5 modulo 8, so that BASE**k - 1 has few factors of two
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes of the longest words that are hashed eight bytes at a time, all words together.
+LONG = 64
 #: Bytes of text that are scanned at once (a longer text is scanned whole).
 CHUNK_BYTES = 2 << 20
 
@@ -33,51 +35,53 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _table() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
+#: Masks of the first k bytes of eight, little-endian.
+_LEADING = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
-_powers_cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n."""
-    size = max(CHUNK_BYTES, 1 << max(0, n - 1).bit_length())
-    if size not in _powers_cache:
-        _powers_cache.clear()
-        pair = []
-        for base in (_BASE, _INVERSE):
-            out = np.empty(size, U64)
-            out[0] = 1
-            done, step = 1, base
-            while done < size:
-                out[done : 2 * done] = out[:done] * U64(step)
-                done, step = 2 * done, step * step % (1 << 64)
-            pair.append(out)
-        _powers_cache[size] = (pair[0], pair[1])
-    return _powers_cache[size]
+def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of the words data[starts:ends]; each seed is another family."""
+    length = ends - starts
+    out = mix(length.astype(U64) + U64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # eight bytes from each place on
+    out = mix(out ^ (lanes[starts] & _LEADING[np.minimum(length, 8)]))
+    some = np.flatnonzero(length > 8)
+    for at in range(8, LONG, 8):
+        if not len(some):
+            break
+        out[some] = mix(out[some] ^ (lanes[starts[some] + at] & _LEADING[np.minimum(length[some] - at, 8)]))
+        some = some[length[some] > at + 8]
+    for k in np.flatnonzero(length > LONG).tolist():
+        digest = hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        out[k] = int.from_bytes(digest, "little")
+    return out
 
 
 @dataclass(frozen=True)
 class Alphabet:
-    """Which bytes make words, and the value that each byte adds to a word's hash."""
+    """Which bytes make words, and whether A-Z count as a-z."""
 
     inside: np.ndarray
-    values: np.ndarray
+    folds: bool
 
     @staticmethod
     def build(separators: list[tuple[int, int]], fold_case: bool) -> Alphabet:
         inside = np.ones(256, bool)
         for low, high in separators:
             inside[low : high + 1] = False
-        values = _table()
         if fold_case:
             inside[65:91] = True
-            values[65:91] = values[97:123]
-        values[~inside] = 0
-        return Alphabet(inside, values)
+        return Alphabet(inside, fold_case)
+
+    def folded(self, data: np.ndarray) -> np.ndarray:
+        return _LOWER[data] if self.folds else data
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
 #: Fixed values, from the contracts of the operators.
 SPACES = [(0x20, 0x20), (0x09, 0x0D)]
 NOT_ALNUM = [(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)]
@@ -89,11 +93,12 @@ FOLDED_ALNUM = Alphabet.build(NOT_ALNUM, fold_case=True)
 
 @dataclass
 class Words:
-    """Words of consecutive texts. offsets[d]:offsets[d + 1] are those of text d."""
+    """Words of consecutive texts. offsets[d]:offsets[d + 1] are those of text d, data[starts:ends] their bytes."""
 
     hashes: np.ndarray
     offsets: np.ndarray
     starts: np.ndarray
+    ends: np.ndarray
     data: np.ndarray
     first: int
     alphabet: Alphabet
@@ -106,13 +111,13 @@ class Words:
         """The text of each word."""
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)
 
-    def ends(self) -> np.ndarray:
-        """Where each word ends in data (exclusive)."""
-        inside = self.alphabet.inside[self.data]
-        stops = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
-        after = np.append(stops, len(self.data))
-        ends = after[np.searchsorted(after, self.starts, "right")] if len(self.starts) else self.starts
-        return np.minimum(ends, np.append(self.starts[1:], len(self.data)))
+    def named(self, seed: int) -> np.ndarray:
+        """The words' hashes of another family."""
+        return spelled(self.alphabet.folded(self.data), self.starts, self.ends, seed)
+
+    def bytes_of(self, k: int) -> bytes:
+        """Word k as it is compared."""
+        return self.alphabet.folded(self.data[self.starts[k] : self.ends[k]]).tobytes()
 
 
 def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -138,18 +143,16 @@ def scan(column: pa.Array, alphabet: Alphabet) -> Iterator[Words]:
         at = offsets[first : last + 1] - offsets[first]
         data = raw[offsets[first] : offsets[last]]
         inside = alphabet.inside[data]
-        begins = inside.copy()
+        begins, closes = inside.copy(), inside.copy()
         begins[1:] &= ~inside[:-1]
+        closes[:-1] &= ~inside[1:]
         heads = at[:-1][at[:-1] < len(data)]
         begins[heads] = inside[heads]  # a text's first byte begins a word, whatever the text before ends with
-        starts = np.flatnonzero(begins)
-        if len(starts):
-            power, inverse = _powers(len(data))
-            sums = np.add.reduceat(alphabet.values[data] * power[: len(data)], starts)
-            hashes = mix(sums * inverse[starts])
-        else:
-            hashes = np.zeros(0, U64)
-        yield Words(hashes, np.searchsorted(starts, at).astype(np.int64), starts, data, first, alphabet)
+        closes[heads[heads > 0] - 1] = inside[heads[heads > 0] - 1]
+        starts, ends = np.flatnonzero(begins), np.flatnonzero(closes) + 1
+        del inside, begins, closes
+        hashes = spelled(alphabet.folded(data), starts, ends)
+        yield Words(hashes, np.searchsorted(starts, at).astype(np.int64), starts, ends, data, first, alphabet)
         first = last
 
 
@@ -183,6 +186,6 @@ def plain_words(text: str | None, alphabet: Alphabet) -> list[bytes]:
     """The same words, one text at a time: for small tables and tests."""
     raw = (text or "").encode()
     table = bytes(b if alphabet.inside[b] else 0x20 for b in range(256))
-    if alphabet.values[65] == alphabet.values[97]:
+    if alphabet.folds:
         table = table[:65] + table[97:123] + table[91:]
     return [w for w in raw.translate(table).split(b" ") if w]
