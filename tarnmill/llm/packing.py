@@ -30,10 +30,12 @@ def _byte_letters() -> dict[str, int]:
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Callable[[str], bytes]:
-    """Text to ids (little-endian unsigned 32-bit) under a `tokenizers` file; special strings are plain text.
+    """Text to ids (little-endian unsigned 32-bit): those of `tokenizers` for the file, without special tokens added.
 
     A plain byte-level BPE whose merges are numbered in the order of its ids runs on the faster `tiktoken`,
-    which then gives the same ids by definition; any other file runs on `tokenizers` itself.
+    which then gives the same ids by definition; any other file runs on `tokenizers` itself. So does a text that
+    holds the string of an added token (which is that token), or on which the fast way gives up (white space
+    of about a million characters).
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -54,18 +56,30 @@ def encoder(path: str) -> Callable[[str], bytes]:
         and all(vocab.get(a + b) == vocab[a + b] and vocab[a + b] - len(letters) == k for k, (a, b) in enumerate(merges) if a + b in vocab)
         and all(a + b in vocab for a, b in merges)
     )
-    if plain:
-        import public_tokenizers
-        import tiktoken
-
-        ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items()}
-        core = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: core.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
-    return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    whole = Tokenizer.from_file(path)
+
+    def exact(text: str) -> bytes:
+        return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    if not plain:
+        return exact
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items()}
+    core = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def fast(text: str) -> bytes:
+        if any(x in text for x in special):
+            return exact(text)
+        try:
+            return core.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        except ValueError:  # its pattern ran out of room
+            return exact(text)
+
+    return fast
 
 
 def shortest_pack_first(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:

@@ -174,7 +174,6 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     want = Counter()
     for i, t, *_ in corpus():
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
@@ -197,6 +196,42 @@ def test_packing(docs, empty):
     assert crc["ids_crc32"] == zlib.crc32(np.array([*tok.encode("same", add_special_tokens=False).ids, 1] if crc["doc_tokens"] == 2 else [*tok.encode(dict(known())[33] or "", add_special_tokens=False).ids, 1], "<u4").tobytes())
 
 
+def test_ids_are_those_of_tokenizers():
+    from tokenizers import Tokenizer
+
+    tok, encode = Tokenizer.from_file(tokenizer_path()), packing.encoder(tokenizer_path())
+    texts = [t or "" for _, t, *_ in corpus()] + ["a<|endoftext|>b", "<|endoftext|>", "<|endoftext", " " * 1_000_000, " " * 5_000_000 + "x", "\n \t" * 400_000, "x" * 1_000_000]
+    for t in texts:
+        assert np.frombuffer(encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(encode("a<|endoftext|>b"), "<u4")
+
+
+def test_packing_query_against_brute_force(spark):
+    """op4 over a whole table: every column but the free choice of places, and what places must fulfil."""
+    from tokenizers import Tokenizer
+
+    from tarnmill.llm.queries import op4_packing
+    from tests.conftest import DATA
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    want = []
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect():
+        ids = [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        want.append((r["doc_id"], np.array(ids, "<u4")))
+    got = op4_packing(spark, DATA).toPandas().sort_values(["doc_id", "start"])
+    by = {k: v for k, v in got.groupby("doc_id")}
+    assert by.keys() == {k for k, _ in want}
+    for k, ids in want:
+        at = 0
+        for r in by[k].itertuples():
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    placed = got.sort_values(["sequence_id", "offset"])
+    assert (placed.offset == placed.groupby("sequence_id").length.cumsum() - placed.length).all() and placed.groupby("sequence_id").length.sum().max() <= 2048
+    assert got.length.sum() > 0.99 * 2048 * (got.sequence_id.nunique() - 1)
+
+
 def test_patterns_place_everything():
     r = random.Random(2)
     counts = {n: r.randint(1, 500) for n in range(1, 257) if r.random() < 0.6}
