@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,8 +13,9 @@ from tarnmill.functions.columns import blank_if_null
 #: Names under which dialects carry the canonical columns.
 ALIASES = {"item_code": "product_code", "quantity": "qty", "rate": "unit_price", "type": "line_type", "txn_time": "ts"}
 SALES_COLUMNS = ["bill_no", "line_no", "product_code", "qty", "unit_price", "line_type", "ts"]
-#: File name patterns and delimiters of the dialects.
-DIALECTS = [("SALES_S0[1-5]_*.csv", ","), ("SALES_S0[6-9]_*.csv", ";"), ("SALES_S1[0-2]_*.csv", ",")]
+#: Stores whose exports are delimited by semicolons (those of all others by commas), and the form of file names.
+SEMICOLON_STORES = ["S06", "S07", "S08", "S09"]
+EXPORT_NAME = r"^[^_]+_([^_]+)_(\d{8})[^/]*[.]csv$"
 MONEY = T.DecimalType(12, 2)
 
 
@@ -25,34 +28,52 @@ def matching(spark: SparkSession, path: str, pattern: str) -> list[str]:
 
 
 def sale_timestamp(raw: Column) -> Column:
-    """ISO with T, dd-mm-yyyy, or seconds since 1970 (UTC); null if none fits."""
+    """ISO with T or a space, dd-mm-yyyy, or seconds since 1970 (UTC); null if none fits."""
     epoch = F.to_timestamp_ntz(F.timestamp_seconds(F.expr("try_cast(ts as bigint)")))
-    return F.coalesce(F.try_to_timestamp(raw, F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz"), F.try_to_timestamp(raw, F.lit("dd-MM-yyyy HH:mm:ss")).cast("timestamp_ntz"), epoch)
+    shapes = [F.try_to_timestamp(raw, F.lit(shape)).cast("timestamp_ntz") for shape in ("yyyy-MM-dd'T'HH:mm:ss", "dd-MM-yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss")]
+    return F.coalesce(*shapes, epoch)
 
 
 def read_sales(spark: SparkSession, path: str) -> DataFrame:
-    """All dialects as one table: the canonical columns, store_id, sale_date (of the file's name), source_file and place.
+    """All exports of a folder as one table: the canonical columns, store_id, sale_date (of the file's name), source_file and place.
 
-    place orders the rows of a file. Names of columns are matched without regard to case or a byte-order mark;
-    blank lines are skipped. Values stay lines of text until cast here; what cannot be cast is null.
+    Each file is read by its own header, whatever the order and dialect of its columns; names are matched without
+    regard to case or a byte-order mark. place orders the rows of a file. Blank lines are skipped. Values stay
+    text until cast here; what cannot be cast is null. A file whose name tells no store and day, or whose header
+    lacks a column, is an error: no export is passed over in silence.
     """
-    parts = []
-    for pattern, sep in DIALECTS:
-        if not matching(spark, path, pattern):
-            continue
-        raw = spark.read.options(header=True, sep=sep, inferSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, pathGlobFilter=pattern).csv(path)
-        names = {c: c.lstrip("﻿").strip().lower() for c in raw.columns}
-        rows = raw.select(*[F.trim(F.col(f"`{c}`")).alias(ALIASES.get(n, n)) for c, n in names.items()], F.col("_metadata.file_name").alias("source_file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("place"))
-        parts.append(rows.select(*SALES_COLUMNS, "source_file", "place"))
-    if not parts:
+    files = matching(spark, path, "*.csv")
+    if not files:
         raise FileNotFoundError(f"no sales exports in {path}")
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    name = F.regexp_extract("source_file", r"^SALES_([^_]+)_(\d{8})", 1)
-    day = F.try_to_timestamp(F.regexp_extract("source_file", r"^SALES_([^_]+)_(\d{8})", 2), F.lit("yyyyMMdd")).cast("date")
+    names = [f.rsplit("/", 1)[1] for f in files]
+    if strange := [n for n in names if not re.match(EXPORT_NAME, n)]:
+        raise ValueError(f"files that no store claims: {strange[:5]}")
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(path)
+    lines = lines.select(F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.regexp_replace("value", "^\ufeff", "").alias("line"))
+    store = F.regexp_extract("source_file", EXPORT_NAME, 1)
+    lines = lines.withColumn("sep", F.when(store.isin(SEMICOLON_STORES), ";").otherwise(",")).where(F.trim("line") != "")
+
+    # a file's header is its first line: one small row a file
+    first = lines.where("block = 0").groupBy("source_file").agg(F.min(F.struct("row", "line", "sep")).alias("h"))
+    canonical = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
+    titles = F.transform(F.split("h.line", F.concat(F.lit("["), F.col("h.sep"), F.lit("]"))), lambda c: F.lower(F.trim(F.regexp_replace(c, '^\\s*"|"\\s*$', ""))))
+    headers = first.select("source_file", F.col("h.row").alias("header_row"), F.transform(titles, lambda c: F.coalesce(F.element_at(canonical, c), c)).alias("titles"))
+    lacking = headers.withColumn("lacking", F.array_except(F.array(*[F.lit(c) for c in SALES_COLUMNS]), "titles"))
+    said = lacking.agg(F.max(F.size("titles")), F.min(F.when(F.size("lacking") > 0, F.concat_ws(" ", "source_file", F.lit("lacks"), F.array_join("lacking", ","))))).first()
+    if said[1]:
+        raise ValueError(said[1])
+
+    width = said[0] or 1
+    schema = ", ".join(f"c{k} string" for k in range(width))
+    cells = F.when(F.col("sep") == ";", F.from_csv("line", F.lit(schema), {"sep": ";"})).otherwise(F.from_csv("line", F.lit(schema), {"sep": ","}))
+    rows = lines.join(headers, "source_file").where(F.col("row") != F.col("header_row")).withColumn("cells", cells)
+    values = F.array(*[F.trim(F.col(f"cells.c{k}")) for k in range(width)])
+    rows = rows.withColumn("values", values).select(
+        *[F.get("values", (F.array_position("titles", c) - 1).cast("int")).alias(c) for c in SALES_COLUMNS], "source_file", F.struct("block", "row").alias("place"),
+    )
+    day = F.try_to_timestamp(F.regexp_extract("source_file", EXPORT_NAME, 2), F.lit("yyyyMMdd")).cast("date")
     return rows.where("bill_no is not null and bill_no <> ''").select(
-        "bill_no", F.expr("try_cast(line_no as int)").alias("line_no"), name.alias("store_id"), day.alias("sale_date"), "product_code",
+        "bill_no", F.expr("try_cast(line_no as int)").alias("line_no"), store.alias("store_id"), day.alias("sale_date"), "product_code",
         F.expr("try_cast(qty as decimal(12,2))").alias("qty"), F.expr("try_cast(unit_price as decimal(12,2))").alias("unit_price"),
         F.upper("line_type").alias("line_type"), sale_timestamp(F.col("ts")).alias("ts"), "source_file", "place",
     )

@@ -35,28 +35,48 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old with new's rows in place of those of equal keys. Keys that repeat within new keep one row."""
-    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """old with new's rows in place of those of equal keys.
+
+    Keys that repeat within new keep their last row by the columns of order (of new, which old need not have);
+    without any, or where it ties, the other columns decide, so the choice is one.
+    """
+    order = order or []
+    both = old.withColumns({"_new": F.lit(0), **{f"_o{k}": F.lit(None).cast(new.schema[c].dataType) for k, c in enumerate(order)}})
+    both = both.unionByName(new.withColumns({"_new": F.lit(1), **{f"_o{k}": F.col(c) for k, c in enumerate(order)}}).select(*both.columns))
     rest = [F.col(c) for c in old.columns if c not in keys]
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_new"), *rest))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_new"), *[F.desc(f"_o{k}") for k in range(len(order))], *rest))
     return both.withColumn("_rank", rank).where("_rank = 1").select(*old.columns)
 
 
+def _finished(spark: SparkSession, root: str) -> list[str]:
+    """Versions below root whose writing was completed, oldest first."""
+    return [p.rsplit("/", 1)[0] for p in matching(spark, root, "v*/_SUCCESS")]
+
+
 def write_version(df: DataFrame, root: str) -> str:
-    """df as the next version below root: state can be read and replaced in one job, and readers of the last are safe."""
-    spark = df.sparkSession
-    seen = [p for p in matching(spark, root, "v*")]
-    path = f"{root}/v{len(seen) + 1:06d}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
+    """df as the next version below root: state can be read and replaced in one job, and readers of the last are safe.
+
+    A version counts once its _SUCCESS is there; what a killed write leaves is passed over, and its number too.
+    """
+    numbers = [int(p.rsplit("/", 1)[1][1:7]) for p in matching(df.sparkSession, root, "v[0-9]*")]
+    path = f"{root}/v{max(numbers, default=0) + 1:06d}-{uuid.uuid4().hex[:8]}"
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(path)
     return path
 
 
 def latest_version(spark: SparkSession, root: str) -> str | None:
-    seen = matching(spark, root, "v*")
+    seen = _finished(spark, root)
     return seen[-1] if seen else None
 
 
+def reopened_counts(spark: SparkSession, path: str, rows: int) -> dict[str, int | bool]:
+    """The restart check: the rows of a written table, counted in a session that has nothing cached, against those expected."""
+    again = spark.newSession()
+    found = again.read.parquet(path).count()
+    return {"expected": rows, "found": found, "same": found == rows}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

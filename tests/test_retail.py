@@ -42,6 +42,20 @@ def test_dialects(spark, exports):
         readers.read_sales(spark, exports + "/..")
 
 
+def test_each_export_is_read_by_its_own_header(spark, tmp_path):
+    (tmp_path / "SALES_S01_20240101.csv").write_text('bill_no,line_no,product_code,qty,unit_price,line_type,ts\nA,1,"P,1",2,10.00,SALE,2024-01-01T00:00:00\n')
+    (tmp_path / "SALES_S02_20240101.csv").write_text("note,Unit_Price,QTY,ts,line_type,product_code,line_no,bill_no\nx,7.00,3,2024-01-01 08:00:00,SALE,P2,1,B\n\n")
+    (tmp_path / "SALES_S13_20240101.csv").write_text("bill_no,line_no,item_code,rate,quantity,type,txn_time\nC,1,P3,5.00,4,SALE,1704067200\n")
+    got = {r["bill_no"]: (r["store_id"], r["product_code"], str(r["qty"]), str(r["unit_price"]), r["ts"] is not None) for r in readers.read_sales(spark, str(tmp_path)).collect()}
+    assert got == {"A": ("S01", "P,1", "2.00", "10.00", True), "B": ("S02", "P2", "3.00", "7.00", True), "C": ("S13", "P3", "4.00", "5.00", True)}
+    (tmp_path / "SALES_S14_20240101.csv").write_text("bill_no,line_no\nC,1\n")
+    with pytest.raises(ValueError, match="S14.*lacks"):
+        readers.read_sales(spark, str(tmp_path))
+    (tmp_path / "notes.csv").write_text("a\n")
+    with pytest.raises(ValueError, match="notes"):
+        readers.read_sales(spark, str(tmp_path))
+
+
 def test_fact(spark, exports, masters):
     fact = retail_build(spark, exports, *masters)
     got = {(r["bill_no"], r["line_no"]): r for r in fact.collect()}
@@ -117,6 +131,14 @@ def test_upsert_versions_and_state(spark, tmp_path):
     state = readers.read_state(spark, writers.latest_version(spark, root), "k int, v string")
     writers.write_version(writers.upserted(state, new, ["k"]), root)
     assert readers.read_state(spark, writers.latest_version(spark, root), "k int, v string").count() == 3
+    # a killed write: a newer version without _SUCCESS is not the state, and its number is not given out again
+    kept = writers.latest_version(spark, root)
+    (tmp_path / "state" / "v000003-dead").mkdir()
+    assert writers.latest_version(spark, root) == kept
+    assert "/v000004-" in writers.write_version(state, root)
+    late = spark.createDataFrame([(2, "z", 1), (2, "a", 9), (2, "m", 5)], "k int, v string, at int")
+    assert sorted(map(tuple, writers.upserted(old, late, ["k"], ["at"]).collect())) == [(1, "a"), (2, "a")]
+    assert writers.reopened_counts(spark, kept, 3) == {"expected": 3, "found": 3, "same": True}
     assert writers.summary_json(old.agg(F.count(F.lit(1)).alias("n"))) == '{\n  "n": 2\n}'
 
 
