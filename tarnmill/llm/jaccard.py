@@ -9,15 +9,17 @@ multiplied (with similarity at least t = NUM / DEN):
 * Overlaps. If c is the number of prefix shingles that two documents share, they share c + ceil(t * n) - 1
   shingles at most (n: of the larger one), and need t / (1 + t) * (n1 + n2). Pairs below are discarded; and a
   document leaves a bucket in which its own shared shingles could not suffice with any size present there.
-
 * Parities. Each shingle flips one of 1024 bits of its document; the bits in which two documents differ are no
   more than the shingles in which they do, of which links allow (1 - t) / (1 + t) * (n1 + n2).
 
-Documents with equal sets are one class. No group is expanded into all its pairs: first each class is
-compared with one pivot, the bucket mate whose prefix is shared most. Then, where a bucket still joins classes
-that are not connected, the classes of the smaller component look for the others in their rarest buckets: as
-two linked classes share at least so many, all but so many less one are enough. What the bounds leave is
-compared exactly, set by set.
+The incidence is kept as postings (shingle, class) in blocks of shingles; multiplying is joining postings on the
+shingle, and each task and then Spark sums what meets into overlap counts by pair. Documents with equal sets are
+one class. No group is expanded into all its pairs: first the incidence is multiplied by the columns of pivots
+alone, a bucket's pivot being the mate whose prefix is shared most, and each class is compared with the pivot of
+the largest overlap. Then, where a bucket still joins classes that are not connected, the rows of the smaller
+component's classes are multiplied by the others', in their rarest buckets: as two linked classes share at least
+so many, all but so many less one are enough, and the overlap counted there has a bound too. Large buckets are
+split by ranges of documents. What the bounds leave is compared exactly, set by set.
 """
 
 from __future__ import annotations
@@ -43,9 +45,11 @@ SHINGLE = 5
 COUNTERS, PART = 1 << 22, 1 << 12
 #: Postings of a block, a mapper's batch, and a bucket before it is dealt to several blocks.
 BLOCK, BATCH, BUCKET = 1_000_000, 500_000, 50_000
+#: Members of a bucket that one part of the product across components holds.
+DEAL = 5_000
 PARITY = 1024
 #: Members that are compared with one copy of a pivot.
-FAN = 500
+FAN = 200
 #: Rows of a lookup table that may be broadcast (of 48 bytes each); beyond, the texts are shuffled to it.
 BROADCAST_ROWS = 500_000
 
@@ -133,17 +137,17 @@ def _survey(rows: DataFrame, size: int) -> DataFrame:
                 n = len(k1)
                 none = pa.nulls(n, pa.int32())
                 bits = pa.FixedSizeListArray.from_arrays(pa.array(parities(h, offsets).ravel()), PARITY // 64).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(words.first, n), pa.array(k1), pa.array(nk), bits, none, none, pa.nulls(n, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(words.first, n), b.column(2).slice(words.first, n), pa.array(k1), pa.array(nk), bits, none, none, pa.nulls(n, pa.binary())], names=names)
         if some:
             counts += np.bincount(np.concatenate([*held, np.zeros(0, np.int64)]), minlength=COUNTERS)
             parts = COUNTERS // PART
             packed = [zlib.compress(c.astype("<u4").tobytes(), 1) for c in np.minimum(counts, 0xFFFFFFFF).reshape(parts, PART)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(parts, arrow_id), pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.list_(pa.int64())), pa.array([task] * parts, pa.int32()), pa.array(range(parts), pa.int32()), pa.array(packed, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(parts, arrow_id), pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.list_(pa.int64())), pa.array([task] * parts, pa.int32()), pa.array(range(parts), pa.int32()), pa.array(packed, pa.binary())], names=names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow_id = to_arrow_type(kind)
-    schema = T.StructType([T.StructField("_id", kind), T.StructField("k1", T.LongType()), T.StructField("nk", T.LongType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("task", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+    schema = T.StructType([T.StructField("_id", kind), T.StructField("_rid", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("nk", T.LongType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("task", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("counts", T.BinaryType())])
     names = schema.names
     return rows.mapInArrow(run, schema)
 
@@ -215,8 +219,8 @@ def _postings(rows: DataFrame, counts, blocks: int, size: int, num: int, den: in
     return rows.select("_id", "_text").mapInArrow(run, "block int, h binary, doc binary, k1 binary, nk binary, dealt binary")
 
 
-def _multiply(postings: DataFrame) -> DataFrame:
-    """Block by block: the postings of shingles that several classes hold."""
+def _shared(postings: DataFrame) -> DataFrame:
+    """Block by block: the postings of shingles that several classes hold; the others add nothing to any overlap."""
 
     def run(table: pa.Table) -> pa.Table:
         h, k1, nk, dealt = [], [], [], []
@@ -248,9 +252,9 @@ def _verify(rows: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, nu
     fans = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / F.lit(FAN)).cast("long").alias("fans"))
     members = pairs.join(fans, "b").selectExpr("a as cid", "b as pivot", "pmod(xxhash64(a), fans) as fan")
     pivots = fans.selectExpr("b as cid", "b as pivot", "explode(sequence(0L, fans - 1)) as fan")
-    need = materialise(members.unionByName(pivots).join(classes.select("cid", "k1", "nk", F.col("rep").alias("_id")), "cid"))
+    need = materialise(members.unionByName(pivots).join(classes.select("cid", "k1", "nk", F.col("rid").alias("_rid")), "cid"))
     small = need.count() <= BROADCAST_ROWS
-    texts = rows.join(F.broadcast(need) if small else need, "_id").select("_text", "cid", "pivot", "fan", "k1", "nk")
+    texts = rows.join(F.broadcast(need) if small else need, "_rid").select("_text", "cid", "pivot", "fan", "k1", "nk")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -258,7 +262,7 @@ def _verify(rows: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, nu
                 h, offsets = shingle_sets(words, size)
                 k1, nk = set_keys(h, offsets)
                 part = b.slice(words.first, len(k1))
-                right = np.flatnonzero((k1 == part.column(4).to_numpy()) & (nk == part.column(5).to_numpy()))  # ids may repeat
+                right = np.flatnonzero((k1 == part.column(4).to_numpy()) & (nk == part.column(5).to_numpy()))  # of rows with one number
                 packed = [h[offsets[k] : offsets[k + 1]].tobytes() for k in right]
                 yield pa.RecordBatch.from_arrays([*[part.column(c).take(pa.array(right)) for c in (1, 2, 3)], pa.array(packed, pa.binary())], names=["cid", "pivot", "fan", "shingles"])
 
@@ -290,17 +294,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Words are split at ASCII white space and A-Z lower-cased. A text with fewer words than a shingle has its
     whole sequence as its one shingle; a null or empty text has none and stays alone. Texts link when
-    den * |intersection| >= num * |union|; texts with equal sets always do. Repeated rows are equal texts.
-    Null ids are ignored where a smallest id is sought; a text that rows with null ids alone hold links with
-    equal texts only, and has a null component_id.
+    den * |intersection| >= num * |union|; texts with equal sets always do. Repeated rows are equal texts; one id
+    may stand on several texts, each of which is judged by itself. Rows with null ids are compared like all
+    others; null ids are ignored where a smallest id is sought, so component_id is null where there is no other.
     An empty table gives no rows. Other columns are ignored.
     """
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    own, named = _classified(rows, size, num, den)
+    found = own.where("nk >= 1L << 32").join(named, ["k1", "nk"]).select("_id", "nk", "component_id")
+    alone = own.where("nk < 1L << 32").select("_id", "nk", F.col("_id").alias("component_id"))
+    return found.unionByName(alone).select(F.col("_id").alias(id_col), F.shiftright("nk", 32).alias("n_shingles"), "component_id")
+
+
+def _classified(rows: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Each row's _id and set keys; and each class with its component's smallest id and whether it is the class that has it."""
+    rows = rows.withColumn("_rid", F.xxhash64("_id", "_text"))  # finds a text again, whatever its id
     survey = materialise(_survey(rows, size))
-    own = survey.where("part is null").select("_id", "k1", "nk", "bits")
-    classes = materialise(
-        own.where("nk >= 1L << 32").groupBy("k1", "nk").agg(F.min("_id").alias("rep"), F.max("bits").alias("bits")).withColumn("cid", F.monotonically_increasing_id())
-    )
+    own = survey.where("part is null").select("_id", "_rid", "k1", "nk", "bits")
+    first = F.min(F.struct(F.col("_id").isNull().alias("null"), "_id", "_rid")).alias("f")
+    classes = own.where("nk >= 1L << 32").groupBy("k1", "nk").agg(first, F.max("bits").alias("bits"))
+    classes = materialise(classes.select("k1", "nk", F.col("f._id").alias("rep"), F.col("f._rid").alias("rid"), "bits", F.monotonically_increasing_id().alias("cid")))
     prefix = F.shiftright("nk", 32) - F.ceil(num * F.shiftright("nk", 32) / F.lit(den)) + 1
     total = classes.agg(F.sum(prefix)).first()[0] or 0
     labels = None
@@ -308,18 +321,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         counts = rows.sparkSession.sparkContext.broadcast(_sum_counts(survey).astype(np.uint32))
         labels = _components(rows, classes, counts, max(16, -(-int(total) // BLOCK)), size, num, den)
     if labels is None:
-        named = classes.select("k1", "nk", F.col("rep").alias("component_id"))
-    else:
-        known = classes.join(labels, classes["cid"] == labels["node"], "left").select("k1", "nk", "rep", F.coalesce("component", "cid").alias("component"))
-        least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
-        named = known.join(least, "component").select("k1", "nk", "component_id")
-    found = own.where("nk >= 1L << 32").join(named, ["k1", "nk"]).select("_id", "nk", "component_id")
-    alone = own.where("nk < 1L << 32").select("_id", "nk", F.col("_id").alias("component_id"))
-    return found.unionByName(alone).select(F.col("_id").alias(id_col), F.shiftright("nk", 32).alias("n_shingles"), "component_id")
+        return own, classes.select("k1", "nk", F.col("rep").alias("component_id"), F.lit(True).alias("chosen"))
+    known = classes.join(labels, classes["cid"] == labels["node"], "left").select("k1", "nk", "rep", "component")
+    alone = known.where("component is null").select("k1", "nk", F.col("rep").alias("component_id"), F.lit(True).alias("chosen"))
+    linked = known.where("component is not null")
+    least = linked.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("null"), "rep", "k1", "nk")).alias("m"))
+    mine = (F.col("k1") == F.col("m.k1")) & (F.col("nk") == F.col("m.nk"))
+    return own, alone.unionByName(linked.join(least, "component").select("k1", "nk", F.col("m.rep").alias("component_id"), mine.alias("chosen")))
 
 
 def _components(rows: DataFrame, classes: DataFrame, counts, blocks: int, size: int, num: int, den: int) -> DataFrame | None:
-    shared = _multiply(_postings(rows, counts, blocks, size, num, den))
+    shared = _shared(_postings(rows, counts, blocks, size, num, den))
     per_class = shared.join(classes.select("k1", "nk", "cid"), ["k1", "nk"])
     held = F.count(F.lit(1)).over(Window.partitionBy("k1", "nk"))
     mates = materialise(per_class.withColumn("c", held).select("h", "cid", F.shiftright("nk", 32).cast("int").alias("n"), F.col("c").cast("int").alias("c")))
@@ -354,17 +366,21 @@ def _components(rows: DataFrame, classes: DataFrame, counts, blocks: int, size:
     mixed = placed.groupBy("h").agg(F.min("k").alias("k1"), F.max("k").alias("k2")).where("k1 <> k2")
     own, rarest = Window.partitionBy("cid"), Window.partitionBy("cid").orderBy("mates", "h")
     ranks = {"rank": F.row_number().over(rarest), "held": F.count(F.lit(1)).over(own), "least": F.greatest(F.min("need").over(own), F.lit(1))}
-    told = placed.join(mixed, "h").withColumns(ranks).select("h", "cid", "n", "c", "k", (F.col("k") > F.col("k1")).alias("sought"), ((F.col("k") < F.col("k2")) & (F.col("rank") <= F.col("held") - F.col("least") + 1)).alias("probing"))
+    parts = F.ceil(F.col("mates") / F.lit(DEAL)).cast("int").alias("parts")
+    told = placed.join(mixed, "h").withColumns(ranks).select("h", "cid", "n", "c", "k", "least", parts, (F.col("k") > F.col("k1")).alias("sought"), ((F.col("k") < F.col("k2")) & (F.col("rank") <= F.col("held") - F.col("least") + 1)).alias("probing"))
     told = materialise(told)
     release(placed)
     # only buckets in which someone looks matter; parities are joined to what is left of them
     looked = told.join(told.where("probing").select("h").distinct(), "h").join(classes.select("cid", "bits"), "cid")
-    x, y = (looked.where(w).drop("sought", "probing").alias(t) for w, t in (("probing", "x"), ("sought", "y")))
+    x = looked.where("probing").drop("sought", "probing").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).alias("x")
+    y = looked.where("sought").drop("sought", "probing").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
     differing = F.aggregate(F.zip_with("x.bits", "y.bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
     alike = differing * (num + den) <= (F.col("x.n") + F.col("y.n")) * (den - num)
-    across = (F.col("x.h") == F.col("y.h")) & (F.col("x.k") < F.col("y.k"))
+    across = (F.col("x.h") == F.col("y.h")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.k") < F.col("y.k"))
     met = x.join(y, across & fits(F.col("x.n"), F.col("y.n"), F.least("x.c", "y.c")) & alike)
-    rest = materialise(met.select(F.col("y.cid").alias("a"), F.col("x.cid").alias("b")).distinct())
+    # overlaps counted where x looks; it leaves out fewer buckets than it shares at least
+    overlap = met.groupBy(F.col("y.cid").alias("a"), F.col("x.cid").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"), F.col("x.least").alias("least")).agg(F.count(F.lit(1)).alias("c"))
+    rest = materialise(overlap.where(F.col("c") >= needed(F.col("n"), F.col("m"), num, den) - (F.col("least") - 1)).select("a", "b"))
     release(told)
     if rest.isEmpty():
         return first
@@ -375,18 +391,38 @@ def _components(rows: DataFrame, classes: DataFrame, counts, blocks: int, size:
     return materialise(connected_components(hung.unionByName(more), "a", "b"))
 
 
+def _with_set_keys(df: DataFrame, text_col: str, names: list[str], size: int) -> DataFrame:
+    """df and the two numbers that name each row's shingle set."""
+    k, all_names = df.columns.index(text_col), [*df.columns, *names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [set_keys(*shingle_sets(words, size)) for words in scan(b.column(k), FOLDED_WORDS)] or [(np.zeros(0, np.int64),) * 2]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.concatenate(x)) for x in zip(*parts))], names=all_names)
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(n, T.LongType()) for n in names]]))
+
+
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """df's rows without near copies: of each component the row with the smallest id (one, if rows repeat).
+    """df's rows, all columns, without near copies: of each component one row, with the smallest id.
 
-    Texts without words are linked with nothing, so all of their rows stay, as do rows with a null id in a
-    component of null ids.
+    Rows are judged by id and text together: one id on texts that are no near copies of each other loses none of
+    them. If several rows of a component have its smallest id (repeated rows, or one id on near copies), one of
+    them stays. A row with a null id stays only in a component of null ids. Texts without words are linked
+    with nothing, so all of their rows stay. An empty table gives no rows; columns may have any names.
     """
-    found = near_duplicates(df, id_col, text_col, size, num, den)
-    keep = fresh(df, "_keep")
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(keep)).distinct()
-    empty = F.coalesce(F.length(F.regexp_replace(text_col, r"[\x20\x09-\x0D]", "")), F.lit(0)) == 0
-    full = df.where(~empty).join(stay, F.col(id_col) == F.col(keep), "left_semi").dropDuplicates([id_col])
-    return full.unionByName(df.where(empty)).unionByName(df.where(~empty & F.col(id_col).isNull()).dropDuplicates([text_col]))
+    _, named = _classified(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), size, num, den)
+    k1, nk, key, null = names = [fresh(df, n) for n in ("_k1", "_nk", "_key", "_null")]
+
+    def told(x: Column) -> dict[str, Column]:
+        return {key: F.coalesce(x.cast("string"), F.lit("")), null: x.isNull()}
+
+    stay = named.where("chosen").withColumns({k1: F.col("k1"), nk: F.col("nk"), **told(F.col("component_id"))}).select(*names)
+    keyed = _with_set_keys(df, text_col, [k1, nk], size)
+    full = keyed.where(F.col(nk) >= 1 << 32).withColumns(told(F.col(id_col))).join(stay, names, "left_semi").dropDuplicates(names)
+    empty = keyed.where(F.col(nk) < 1 << 32)
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return full.select(*columns).unionByName(empty.select(*columns))
 
 
 def plain_components(docs: list[tuple], size: int = SHINGLE, num: int = NUM, den: int = DEN) -> list[tuple]:

@@ -247,16 +247,27 @@ def test_patterns_place_everything():
 
 
 def test_jaccard(docs, empty):
-    got = {r["doc_id"]: tuple(r) for r in jaccard.near_duplicates(docs).where("doc_id is not null").collect()}
+    everything = jaccard.near_duplicates(docs).collect()
+    got = {r["doc_id"]: tuple(r) for r in everything if r["doc_id"] is not None}
     want = {w[0]: w for w in jaccard.plain_components(known())}
-    assert got == want
-    assert jaccard.near_duplicates(docs).count() == len(corpus())
+    assert got == want and len(everything) == len(corpus())
     kept = jaccard.keep_one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted(k for k, n, c in want.values() if k == c)
     assert jaccard.near_duplicates(empty).count() == 0 and jaccard.keep_one_of_each(empty).count() == 0
 
 
+def test_one_of_each_is_judged_by_id_and_text(spark):
+    """One id on unrelated texts, on near copies and on repeats; null ids alone, among themselves and beside others."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(5, a), (5, b), (6, b), (6, b + " more"), (7, c), (7, c), (8, ""), (8, None), (8, ""), (None, a + " more"), (None, d), (None, d + " more"), (9, "one two")]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, _k1 int, chosen string")
+    kept = jaccard.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted(((-1 if r["doc_id"] is None else r["doc_id"]), (r["text"] or "")[:2]) for r in kept.collect())
+    assert got == [(-1, "d0"), (5, "a0"), (5, "b0"), (7, "c0"), (8, ""), (8, ""), (8, ""), (9, "on")]
+
+
 def test_jaccard_on_groups_without_a_hub(spark):
     """Chains in which only neighbours link, families of a base, and boundaries of the bound itself."""
     words = [f"w{i}" for i in range(3000)]
