@@ -161,6 +161,23 @@ def _all_pairs(store: DataFrame, id_col: str, deal: int = DEAL) -> DataFrame:
     return left.join(right, [*key, "_salt"]).where("id_a < id_b").select("id_a", "id_b").distinct()
 
 
+def similar_pairs(sets: DataFrame, id_col: str, tokens: str, num: int = 1, den: int = 2) -> DataFrame:
+    """Pairs (id_a < id_b, exact) of all rows whose token sets have a Jaccard similarity of num / den at least.
+
+    Exact, without bands: under the order of how rare tokens are, two such sets share one among the first
+    n - ceil(num * n / den) + 1 of each. Copies should be told once (by a representative), else they are all pairs.
+    """
+    each = sets.where(F.size(tokens) > 0).select(F.col(id_col).alias("_id"), F.size(tokens).alias("_n"), F.explode(tokens).alias("_t"))
+    often = each.groupBy("_t").agg(F.count(F.lit(1)).alias("_df"))
+    place = F.row_number().over(Window.partitionBy("_id").orderBy("_df", "_t"))
+    first = each.join(often, "_t").withColumn("_at", place).where(F.col("_at") <= F.col("_n") - F.ceil(F.col("_n") * num / F.lit(den)) + 1)
+    a, b = (first.select("_t", F.col("_id").alias(f"id_{x}"), F.col("_n").alias(f"n_{x}")) for x in "ab")
+    met = a.join(b, "_t").where("id_a < id_b").where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")).select("id_a", "id_b").distinct()
+    x, y = (sets.select(F.col(id_col).alias(f"id_{k}"), F.col(tokens).alias(f"t_{k}")) for k in "ab")
+    full = met.join(x, "id_a").join(y, "id_b").select("id_a", "id_b", sorted_overlap(F.col("t_a"), F.col("t_b")).alias("exact"))
+    return full.where(F.col("exact") >= num / den)
+
+
 def lookup(store: DataFrame, probe: DataFrame, id_col: str) -> DataFrame:
     """Candidates of the notices in probe (a store of the same columns): probe_id, candidate_id."""
     p = probe.select(F.col(id_col).alias("probe_id"), "band_idx", "bucket_key")

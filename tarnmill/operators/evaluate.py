@@ -42,6 +42,12 @@ def pivot_counts(df: DataFrame, row: str, column: str, values: list) -> DataFram
     return wide.withColumn("total", sum((F.col(f"`{v}`") for v in values[1:]), F.col(f"`{values[0]}`")))
 
 
+def first_per(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The first row of each group in an order that ends with all other columns, so the choice is one."""
+    rest = [c for c in df.columns if c not in by and c not in order]
+    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order, *rest))).where("_rn = 1").drop("_rn")
+
+
 def share_of_total(df: DataFrame, x: str, out: str = "share_pct") -> DataFrame:
     """Percent of the sum (of 1 at least, so that nothing divides by 0)."""
     whole = df.agg(F.greatest(F.coalesce(F.sum(x), F.lit(0)), F.lit(1)).alias("_whole"))
@@ -68,11 +74,16 @@ def label_deltas(pairs: DataFrame, deltas: list[str]) -> DataFrame:
 def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     """Area under the ROC curve by Mann and Whitney; ties count one half.
 
-    Scores are counted first, so that ranks run over distinct scores (few tasks see few rows).
+    Scores are counted first; distinct scores are dealt by ranges, and each range adds what the ranges before hold.
     """
     by = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum((~F.col(positive)).cast("long")).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = by.withColumn("w", F.col("p") * (below + F.col("q") / 2.0))
+    from tarnmill.runtime import materialise
+
+    dealt = materialise(by.repartitionByRange("s").withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.sum("q").alias("_q"))
+    earlier = sizes.select("_part", F.coalesce(F.sum("_q").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.coalesce(F.sum("q").over(Window.partitionBy("_part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    won = dealt.withColumn("_within", within).join(F.broadcast(earlier), "_part").withColumn("w", F.col("p") * (F.col("_before") + F.col("_within") + F.col("q") / 2.0))  # one row a partition
     return won.agg((F.sum("w") / (F.sum("p") * F.sum("q"))).alias("auc"), F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
 
 

@@ -1,17 +1,18 @@
-"""Notice queries: documents as notices (source as portal, the first 80 characters as title).
+"""Notice queries: documents as notices, with generated portals, preambles, values, dates and labels.
 
-Queries that an SQL engine is to reproduce hash with the first 32 bits of md5 and keep to what has no accents
-or boilerplate (clean_text without decomposition); the production path has its own queries.
+The title is the text's first sentence. The measures run on hashes of words that any SQL engine can compute
+(the first 32 bits of md5); the production path (decomposed text, 3- to 5-grams, 256 hashes, caps, guards) is
+written out in SQL step by step.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnmill.functions.columns import ascii_text, card_id, char_ngram_range, clean_text, md5_long, word_tokens
+from tarnmill.functions.columns import ascii_text, card_id, char_ngram_range, clean_text, days_apart, field_compatibility, iso_day, md5_long, word_tokens
 from tarnmill.operators import dedup as D
 from tarnmill.operators import evaluate as V
 from tarnmill.plans.pipelines import dedup_run, prepared
@@ -25,9 +26,34 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Generated fields, in the terms of both engines. Two thirds carry a portal's preamble, which is to be stripped.
+PORTAL = "CASE doc_id % 3 WHEN 0 THEN 'P001' WHEN 1 THEN 'P003' ELSE source END"
+VALUE = "CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 1000.0 * (1 + doc_id % 2) END"
+PREAMBLES = {0: ("NATIONAL PROCUREMENT AGGREGATION SERVICE\nNotes on the use of this portal.\nTERMS AND CONDITIONS\n", ""), 1: ("State Procurement Cell, where the APPLICABLE LAW\n", "\nDISCLAIMER: the cell gives no warranty")}
+
+
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir)
-    return d.select(F.col("doc_id").alias("notice_id"), F.col("source").alias("portal_id"), F.substring("text", 1, 80).alias("title"), F.col("text").alias("body"))
+    body = F.col("text")
+    for k, (before, after) in PREAMBLES.items():
+        body = F.when(F.col("doc_id") % 3 == k, F.concat(F.lit(before), "text", F.lit(after))).otherwise(body)
+    closing = F.when(F.col("doc_id") % 7 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 50).cast("int")))
+    return documents(spark, sf_dir).select(
+        F.col("doc_id").alias("notice_id"), F.expr(PORTAL).alias("portal_id"), F.regexp_extract("text", r"^[^.!?\n]*", 0).alias("title"), body.alias("body"), F.expr(VALUE).cast("double").alias("estimated_value"),
+        closing.alias("closing_date"), F.date_add(F.lit("2023-12-01").cast("date"), (F.col("doc_id") % 30).cast("int")).cast("string").alias("published_at"),
+    )
+
+
+def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the next of its language: same if their sources are. Some pairs are told wrongly, for hygiene."""
+    d = documents(spark, sf_dir).select("doc_id", "lang", "source")
+    following = Window.partitionBy("lang").orderBy("doc_id")
+    pair = d.select("doc_id", "lang", "source", F.lead("doc_id").over(following).alias("b"), F.lead("source").over(following).alias("source_b")).where("b is not null")
+    pair = pair.select(F.col("doc_id").alias("a"), "b", F.when(F.col("source") == F.col("source_b"), "same").otherwise("different").alias("label"))
+    told = F.array(
+        F.struct("a", "b"), F.struct(F.when(F.col("a") % 7 == 0, F.col("b")).alias("a"), F.col("a").alias("b")), F.struct(F.when(F.col("a") % 11 == 0, F.col("a")).alias("a"), F.col("b").alias("b")),
+        F.struct(F.when(F.col("a") % 13 == 0, F.col("a")).alias("a"), F.col("a").alias("b")), F.struct(F.when(F.col("a") % 17 == 0, F.col("a")).alias("a"), (-1 - F.col("b")).alias("b")),
+    )
+    return pair.select(F.explode(told).alias("p"), "label").where("p.a is not null").select(F.col("p.a").alias("notice_id_a"), F.col("p.b").alias("notice_id_b"), "label")
 
 
 def plain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +67,9 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("doc_id", "source", F.transform("w", md5_long).alias("tokens"))
 
 
-def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens(spark, sf_dir).select("doc_id", "source", "tokens", D.native_signature("tokens", SMALL).alias("signature"))
+def signed(spark: SparkSession, sf_dir: str, m: int = SMALL) -> DataFrame:
+    """Signatures of m hashes, computed next to the tokens in Arrow batches."""
+    return D.with_signatures(tokens(spark, sf_dir), "tokens", m=m)
 
 
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +113,7 @@ def source_profile_percentiles(spark, sf_dir):
 
 def conditional_counts(spark, sf_dir):
     d = documents(spark, sf_dir)
-    by = d.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.upper("text").contains("LICENSE").cast("long")).alias("with_phrase"), F.sum(F.regexp_replace(F.substring("text", 1, 20), "[^A-Za-z]", "").rlike("^[A-Z]+$").cast("long")).alias("upper_start"))
+    by = d.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.upper("text").contains("LICENSE").cast("long")).alias("with_phrase"), F.sum(V.is_upper(F.col("text")).cast("long")).alias("upper"), F.sum(F.col("text").rlike("(^|\\n)[^a-z\\n]*[A-Z]{2}[^a-z\\n]*(\\n|$)").cast("long")).alias("upper_line"))
     return V.share_of_total(by, "n")
 
 
@@ -101,7 +128,7 @@ def text_clean_ascii(spark, sf_dir):
 
 
 def text_clean_full(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.md5(clean_text("text")).alias("clean_md5"), F.length(clean_text("text")).alias("n_clean"))
+    return documents(spark, sf_dir).select("doc_id", F.md5(clean_text("text")).alias("clean_md5"), F.length(clean_text("text")).cast("long").alias("n_clean"))
 
 
 def word_tokens_query(spark, sf_dir):
@@ -114,11 +141,6 @@ def char_ngrams_3_5(spark, sf_dir):
     return g.select("doc_id", F.size("g").cast("long").alias("n_grams"))
 
 
-def minhash_signature_m16(spark, sf_dir):
-    s = signed(spark, sf_dir)
-    return s.select("doc_id", *[F.element_at("signature", i + 1).alias(f"h{i:02d}") for i in range(SMALL)])
-
-
 def lsh_bands(spark, sf_dir):
     return store(spark, sf_dir)
 
@@ -136,6 +158,11 @@ def lsh_lookup(spark, sf_dir):
     return D.lookup(s, s.where("doc_id % 50 = 0"), "doc_id")
 
 
+def minhash_signature_m16(spark, sf_dir):
+    s = signed(spark, sf_dir)
+    return s.select("doc_id", *[F.element_at("signature", i + 1).alias(f"h{i:02d}") for i in range(SMALL)])
+
+
 def jaccard_pairs(spark, sf_dir):
     return measured(spark, sf_dir).select("id_a", "id_b", F.round("estimated", 6).alias("estimated"), F.round("exact", 6).alias("exact"))
 
@@ -211,11 +238,70 @@ def lorenz_curve(spark, sf_dir):
     return V.lorenz(per_notice(spark, sf_dir), "candidates", "doc_id")
 
 
+#: The configurations (bands, rows) that are compared.
+SWEEP = [(64, 4), (32, 8), (16, 16), (8, 32)]
+
+
+def swept(spark, sf_dir):
+    """Recall of all similar pairs, found without bands, and exposure of neighbours in the list that are not similar."""
+    s = materialise(signed(spark, sf_dir, D.HASHES).where(F.size("tokens") > 0).withColumn("tokens", F.sort_array("tokens")))
+    one = s.groupBy("tokens").agg(F.min("doc_id").alias("doc_id")).select("doc_id")  # of equal sets one is told
+    s = materialise(s.join(one, "doc_id", "left_semi").join(documents(spark, sf_dir).select("doc_id", "lang"), "doc_id"))
+    same = D.similar_pairs(s, "doc_id", "tokens").select("id_a", "id_b")
+    beside = s.select(F.col("doc_id").alias("id_a"), F.lead("doc_id").over(Window.partitionBy("lang").orderBy("doc_id")).alias("id_b")).where("id_b is not null")
+    same = materialise(same)
+    labelled = same.withColumn("same", F.lit(True)).unionByName(beside.join(same, ["id_a", "id_b"], "left_anti").withColumn("same", F.lit(False)))
+    found = {(b, r): D.candidate_pairs(D.bands(s, "doc_id", b=b, r=r), "doc_id") for b, r in SWEEP}
+    return V.retrieval_sweep(materialise(labelled), found).select("bands", "rows", "true_pairs", "true_found", "other_pairs", "other_found", *[F.round(c, 6).alias(c) for c in ("recall", "exposure", "risk")])
+
+
 def retrieval_sweep(spark, sf_dir):
-    s = materialise(signed(spark, sf_dir).where(F.size("tokens") > 0))
-    m = measured(spark, sf_dir).select("id_a", "id_b", (F.col("exact") >= 0.5).alias("same"))
-    found = {(b, r): D.candidate_pairs(D.bands(s, "doc_id", b=b, r=r, portable=True), "doc_id") for b, r in ((8, 2), (4, 4), (2, 8))}
-    return V.retrieval_sweep(materialise(m), found).select("bands", "rows", "true_pairs", "true_found", "other_pairs", "other_found", *[F.round(c, 6).alias(c) for c in ("recall", "exposure", "risk")])
+    return swept(spark, sf_dir)
+
+
+def operating_point(spark, sf_dir):
+    return V.operating_point(swept(spark, sf_dir))
+
+
+def label_hygiene(spark, sf_dir):
+    return V.pair_hygiene(labelled_pairs(spark, sf_dir), notices(spark, sf_dir), "notice_id")
+
+
+def pair_fields(spark, sf_dir):
+    """Labelled pairs with the fields of both notices, and how far they are apart."""
+    n = notices(spark, sf_dir).select("notice_id", F.col("estimated_value").cast("decimal(12,2)").cast("string").alias("value"), F.col("closing_date").cast("string").alias("closing"), "published_at")
+    a, b = (n.select(*[F.col(c).alias(f"{c}_{k}") for c in n.columns]) for k in "ab")
+    both = labelled_pairs(spark, sf_dir).join(a, "notice_id_a").join(b, "notice_id_b")
+    compared = field_compatibility("value_a", "value_b", "closing_a", "closing_b")
+    return both.select("notice_id_a", "notice_id_b", "label", *[v.alias(k) for k, v in compared.items()], days_apart(iso_day("published_at_a"), iso_day("published_at_b")).alias("published_delta_days"))
+
+
+def field_compatibility_pairs(spark, sf_dir):
+    return pair_fields(spark, sf_dir)
+
+
+def label_delta_metrics(spark, sf_dir):
+    return rounded(V.label_deltas(pair_fields(spark, sf_dir).select("label", F.col("value_diff"), "closing_delta_days", "published_delta_days"), ["value_diff", "closing_delta_days", "published_delta_days"]))
+
+
+def first_pair_per_label(spark, sf_dir):
+    return V.first_per(labelled_pairs(spark, sf_dir), ["label"], ["notice_id_a", "notice_id_b"])
+
+
+def value_counts(spark, sf_dir):
+    return V.counts_of(documents(spark, sf_dir), "lang")
+
+
+def caps_before_after(spark, sf_dir):
+    """What caps on buckets and partners change: all candidates against those of lsh_candidates_capped."""
+    s = materialise(store(spark, sf_dir))
+
+    def metrics(pairs):
+        each = pairs.select(F.col("id_a").alias("x")).unionByName(pairs.select(F.col("id_b").alias("x"))).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+        one = each.agg(F.coalesce(F.sum("n") / 2, F.lit(0.0)).alias("pairs"), F.coalesce(F.max("n"), F.lit(0)).cast("double").alias("most"), F.count(F.lit(1)).cast("double").alias("notices"))
+        return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in one.columns])).alias("m")).select("m.*")
+
+    return V.before_after(metrics(D.candidate_pairs(s, "doc_id")), metrics(D.candidate_pairs(s, "doc_id", 20, 40)))
 
 
 def near_duplicate_notices(spark, sf_dir):
@@ -224,8 +310,24 @@ def near_duplicate_notices(spark, sf_dir):
     return found
 
 
+def near_duplicate_edges(spark, sf_dir):
+    edges, _ = dedup_run(notices(spark, sf_dir))
+    return edges.select("id_a", "id_b", F.round("score", 6).alias("score"))
+
+
+def opportunity_cards(spark, sf_dir):
+    """The production run's cards. An earlier run knew the clusters of even ids; a cluster keeps the smallest card of its members."""
+    n = notices(spark, sf_dir)
+    _, found = dedup_run(n)
+    full = materialise(found)
+    state = full.where("notice_id % 2 = 0").select("notice_id", card_id(F.col("notice_id").cast("string")).alias("card"))
+    cards, _ = D.assign_cards(full, state, "notice_id")
+    return D.card_table(cards, n, "notice_id", "portal_id", "published_at")
+
+
 def minhash_signature_m256(spark, sf_dir):
-    return prepared(notices(spark, sf_dir), "notice_id", "portal_id", "title", "body").select("notice_id", F.size("body").alias("n_shingles"), "signature")
+    ready = prepared(notices(spark, sf_dir), "notice_id", "portal_id", "title", "body")
+    return ready.select("notice_id", F.size("body").cast("long").alias("n_shingles"), F.md5(F.array_join(F.col("signature").cast("array<string>"), ",")).alias("signature_md5"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -233,7 +335,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         corpus_profile, length_distribution, source_profile_percentiles, conditional_counts, pivot_label_counts, text_clean_ascii, text_clean_full, char_ngrams_3_5, minhash_signature_m16, lsh_bands, lsh_candidates,
         lsh_candidates_capped, lsh_lookup, jaccard_pairs, minhash_estimate_error, error_by_tenth, auc_rank, verified_pairs, duplicate_clusters, card_ids, card_merge, scurve_table, workload_skew, workload_portals,
-        lorenz_curve, retrieval_sweep, near_duplicate_notices, minhash_signature_m256,
+        lorenz_curve, retrieval_sweep, operating_point, label_hygiene, field_compatibility_pairs, label_delta_metrics, first_pair_per_label, value_counts, caps_before_after, near_duplicate_notices, near_duplicate_edges,
+        opportunity_cards, minhash_signature_m256,
     )
 } | {"word_tokens": word_tokens_query}
 
@@ -259,14 +362,15 @@ met AS (SELECT DISTINCT a.doc_id AS me, b.doc_id AS other FROM store a JOIN show
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY me ORDER BY other) AS rn FROM met) WHERE rn <= 40),
 pairs AS (SELECT DISTINCT least(me, other) AS id_a, greatest(me, other) AS id_b FROM kept)"""
 _SAME = " + ".join(f"(a.h{i:02d} = b.h{i:02d})::INT" for i in range(SMALL))
-_MEASURED = f"""{_CAPPED}, sizes AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id),
+_ALL = f"{_STORE}, pairs AS ({_PAIRS.format('store')})"
+_MEASURED = f"""{_ALL}, sizes AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id),
 common AS (SELECT id_a, id_b, count(y.t) AS c FROM pairs JOIN tokens x ON x.doc_id = id_a LEFT JOIN tokens y ON y.doc_id = id_b AND y.t = x.t GROUP BY 1, 2),
 measured AS (SELECT id_a, id_b, ({_SAME}) / 16.0::DOUBLE AS estimated, c / (p.n + q.n - c)::DOUBLE AS exact
   FROM common JOIN signed a ON a.doc_id = id_a JOIN signed b ON b.doc_id = id_b JOIN sizes p ON p.doc_id = id_a JOIN sizes q ON q.doc_id = id_b)"""
 _CLUSTERED = f"""{_MEASURED}, edges AS (SELECT id_a AS u, id_b AS v FROM measured WHERE exact >= 0.5 UNION SELECT id_b, id_a FROM measured WHERE exact >= 0.5),
 reach(node, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.v, r.seen FROM reach r JOIN edges e ON r.node = e.u),
 clustered AS (SELECT node AS doc_id, min(seen) AS lead FROM reach GROUP BY node)"""
-_WORK = f"""{_CAPPED}, per AS (SELECT doc_id, source, coalesce(n, 0) AS candidates FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM (SELECT id_a AS doc_id FROM pairs UNION ALL SELECT id_b FROM pairs) GROUP BY 1) USING (doc_id)),
+_WORK = f"""{_ALL}, per AS (SELECT doc_id, source, coalesce(n, 0) AS candidates FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM (SELECT id_a AS doc_id FROM pairs UNION ALL SELECT id_b FROM pairs) GROUP BY 1) USING (doc_id)),
 placed AS (SELECT *, row_number() OVER (ORDER BY candidates DESC, doc_id) AS place FROM per), whole AS (SELECT count(*) AS n, greatest(sum(candidates), 1) AS w FROM per)"""
 
 
@@ -283,17 +387,95 @@ def _percentile(x: str, p: int) -> str:
 
 
 _STATS = "count({0}) AS n, round(avg({0}), 6) AS mean, round(stddev_pop({0}), 6) AS std, min({0}) AS min, max({0}) AS max"
-_SWEEP = f"""{_MEASURED}, {_store(4, 4, 'store4')}, {_store(2, 8, 'store2')}, found AS (
-  SELECT 8 AS bands, 2 AS rows, * FROM ({_PAIRS.format('store')}) UNION ALL SELECT 4, 4, * FROM ({_PAIRS.format('store4')}) UNION ALL SELECT 2, 8, * FROM ({_PAIRS.format('store2')})),
-counted AS (SELECT c.bands, c.rows, sum((exact >= 0.5)::INT) AS true_pairs, sum((exact >= 0.5 AND f.id_a IS NOT NULL)::INT) AS true_found, sum((exact < 0.5)::INT) AS other_pairs, sum((exact < 0.5 AND f.id_a IS NOT NULL)::INT) AS other_found
-  FROM (VALUES (8, 2), (4, 4), (2, 8)) c(bands, rows) CROSS JOIN measured m LEFT JOIN found f ON f.bands = c.bands AND f.id_a = m.id_a AND f.id_b = m.id_b GROUP BY 1, 2)"""
+_A256, _B256 = D.coefficients(D.HASHES)
+
+
+def _least(x: str) -> str:
+    """The 256 least values over a column, as one list."""
+    return "[" + ", ".join(f"min((({int(_A256[i])} * ({x} % {D.PRIME})) + {int(_B256[i])}) % {D.PRIME})" for i in range(D.HASHES)) + "]"
+
+
+_CONFIGS = ", ".join(f"({b}, {r})" for b, r in SWEEP)
+_SWEEP = f"""{_TOKENS}, equal AS (SELECT doc_id, list(t ORDER BY t) AS l FROM tokens GROUP BY doc_id), told AS (SELECT min(doc_id) AS doc_id FROM equal GROUP BY l),
+once AS MATERIALIZED (SELECT tokens.* FROM tokens JOIN told USING (doc_id)), sizes AS (SELECT doc_id, count(*) AS n FROM once GROUP BY doc_id),
+common AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, count(*) AS c FROM once a JOIN once b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+alike AS MATERIALIZED (SELECT id_a, id_b FROM common JOIN sizes p ON p.doc_id = id_a JOIN sizes q ON q.doc_id = id_b WHERE 2 * c >= p.n + q.n - c),
+beside AS (SELECT doc_id AS id_a, lead(doc_id) OVER (PARTITION BY lang ORDER BY doc_id) AS id_b FROM documents JOIN told USING (doc_id)),
+labelled AS (SELECT id_a, id_b, true AS same FROM alike UNION ALL SELECT id_a, id_b, false FROM beside ANTI JOIN alike USING (id_a, id_b) WHERE id_b IS NOT NULL),
+signed256 AS MATERIALIZED (SELECT doc_id, {_least('t')} AS s FROM once GROUP BY doc_id),
+cut AS (SELECT bands, rows, doc_id, k, list_slice(s, k * rows + 1, (k + 1) * rows) AS key FROM signed256, (VALUES {_CONFIGS}) c(bands, rows), range(64) t(k) WHERE k < bands),
+found AS (SELECT DISTINCT bands, rows, a.doc_id AS id_a, b.doc_id AS id_b FROM cut a JOIN cut b USING (bands, rows, k, key) WHERE a.doc_id < b.doc_id),
+counted AS (SELECT c.bands, c.rows, sum(same::INT) AS true_pairs, sum((same AND f.id_a IS NOT NULL)::INT) AS true_found, sum((NOT same)::INT) AS other_pairs, sum((NOT same AND f.id_a IS NOT NULL)::INT) AS other_found
+  FROM (VALUES {_CONFIGS}) c(bands, rows) CROSS JOIN labelled m LEFT JOIN found f ON f.bands = c.bands AND f.rows = c.rows AND f.id_a = m.id_a AND f.id_b = m.id_b GROUP BY 1, 2),
+sweep AS (SELECT bands, rows, true_pairs::BIGINT AS true_pairs, true_found::BIGINT AS true_found, other_pairs::BIGINT AS other_pairs, other_found::BIGINT AS other_found, round(true_found / greatest(true_pairs, 1), 6)::DOUBLE AS recall,
+  round(other_found / greatest(other_pairs, 1), 6)::DOUBLE AS exposure, round((true_pairs - true_found) * 1.0 + 0.01 * other_found * 50, 6)::DOUBLE AS risk FROM counted)"""
+
+#: Letters of the tables that decompose: each becomes its base and a mark, which is no word character.
+_ACCENTS = dict(zip("áàâäãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"))
+
+
+def _decomposed(x: str) -> str:
+    out = f"lower({x})"
+    for letter, base in _ACCENTS.items():
+        out = f"replace({out}, '{letter}', '{base} ')"
+    return rf"trim(regexp_replace(regexp_replace({out}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'), ' ')"
+
+
+def _rolled(before: str, code: str) -> str:
+    """The next rolled hash in 64-bit arithmetic, which is written out in 128 bits by halves."""
+
+    def times(x: str, factor: int) -> str:
+        return f"(((({x}) * {factor >> 32}) % 4294967296) * 4294967296 + ({x}) * {factor & 0xFFFFFFFF}) % 18446744073709551616"
+
+    def folded(x: str) -> str:
+        return f"xor(({x})::UBIGINT, (({x}) // 4294967296)::UBIGINT)::HUGEINT"
+
+    return f"(SELECT {folded('z')} FROM (SELECT {times('y', 0xD6E8FEB86659FD93)} AS z FROM (SELECT {folded('x')} AS y FROM (SELECT ({times(before, 0x9E3779B97F4A7C15)} + {code} + 1) % 18446744073709551616 AS x))))"
+
+
+_FIELDS = f"""fields AS (SELECT doc_id AS id, {PORTAL} AS portal, {VALUE} AS value, CASE WHEN doc_id % 7 <> 0 THEN DATE '2024-01-01' + (doc_id % 50)::INT END AS closing, DATE '2023-12-01' + (doc_id % 30)::INT AS published FROM documents)"""
+#: The production path. Preambles and disclaimers are what notices() adds, so here the text is taken as it was.
+_PRODUCTION = rf"""{_FIELDS}, parts AS (SELECT doc_id AS id, 0 AS part, {_decomposed('text')} AS clean FROM documents UNION ALL SELECT doc_id, 1, {_decomposed("regexp_extract(text, '^[^.!?' || chr(10) || ']*', 0)")} FROM documents),
+letters AS (SELECT id, part, n, unnest(codes) AS u, generate_subscripts(codes, 1) AS i FROM (SELECT id, part, length(clean) AS n, list_transform(string_split(clean, ''), lambda c: unicode(c)::HUGEINT) AS codes FROM parts WHERE clean <> '')),
+runs AS (SELECT id, part, n, i, u, lead(u, 1) OVER w AS u2, lead(u, 2) OVER w AS u3, lead(u, 3) OVER w AS u4, lead(u, 4) OVER w AS u5 FROM letters WINDOW w AS (PARTITION BY id, part ORDER BY i)),
+r1 AS (SELECT *, {_rolled('0::HUGEINT', 'u')} AS g1 FROM runs), r2 AS (SELECT *, {_rolled('g1', 'u2')} AS g2 FROM r1), r3 AS (SELECT *, {_rolled('g2', 'u3')} AS g3 FROM r2), r4 AS (SELECT *, {_rolled('g3', 'u4')} AS g4 FROM r3), r5 AS MATERIALIZED (SELECT *, {_rolled('g4', 'u5')} AS g5 FROM r4),
+grams AS MATERIALIZED (SELECT DISTINCT id, part, g FROM (SELECT id, part, unnest(CASE WHEN n = 1 THEN [g1] WHEN n = 2 THEN [g2] ELSE [g3, g4, g5] END) AS g FROM r5 WHERE n > 2 OR i = 1) WHERE g IS NOT NULL),
+sizes AS (SELECT id, part, count(*) AS n FROM grams GROUP BY ALL),
+signatures AS MATERIALIZED (SELECT id, {_least('g::UBIGINT')} AS s FROM grams WHERE part = 0 GROUP BY id)"""
+_EDGES = f"""{_PRODUCTION}, store AS MATERIALIZED (SELECT id, k, list_slice(s, k * 8 + 1, k * 8 + 8) AS key FROM signatures, range(32) t(k)),
+shown AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, key ORDER BY id) AS rn FROM store) WHERE rn <= 100),
+met AS (SELECT DISTINCT a.id AS me, b.id AS other FROM store a JOIN shown b USING (k, key) WHERE a.id <> b.id),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY me ORDER BY other) AS rn FROM met) WHERE rn <= 200),
+candidates AS (SELECT DISTINCT least(me, other) AS id_a, greatest(me, other) AS id_b FROM kept),
+guarded AS MATERIALIZED (SELECT id_a, id_b FROM candidates JOIN sizes p ON p.id = id_a AND p.part = 0 JOIN sizes q ON q.id = id_b AND q.part = 0 JOIN fields x ON x.id = id_a JOIN fields y ON y.id = id_b
+  WHERE least(p.n, q.n) / greatest(p.n, q.n) >= 0.28 AND coalesce(abs(x.value - y.value), 0) = 0 AND coalesce(abs(x.closing - y.closing), 0) <= 30),
+common AS (SELECT id_a, id_b, sum((a.part = 0)::INT) AS body, sum((a.part = 1)::INT) AS title FROM guarded JOIN grams a ON a.id = id_a JOIN grams b ON b.id = id_b AND b.part = a.part AND b.g = a.g GROUP BY 1, 2),
+scored AS (SELECT id_a, id_b, 0.7::DOUBLE * (body / (p.n + q.n - body)::DOUBLE) + 0.3::DOUBLE * CASE WHEN t.n IS NULL AND v.n IS NULL THEN 1.0::DOUBLE ELSE title / greatest(coalesce(t.n, 0) + coalesce(v.n, 0) - title, 1)::DOUBLE END AS score
+  FROM common JOIN sizes p ON p.id = id_a AND p.part = 0 JOIN sizes q ON q.id = id_b AND q.part = 0 LEFT JOIN sizes t ON t.id = id_a AND t.part = 1 LEFT JOIN sizes v ON v.id = id_b AND v.part = 1),
+edges AS MATERIALIZED (SELECT id_a, id_b, score FROM scored WHERE score >= 0.5)"""
+_LEADS = f"""{_EDGES}, ends AS (SELECT id_a AS u, id_b AS v FROM edges UNION SELECT id_b, id_a FROM edges),
+reach(node, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.v, r.seen FROM reach r JOIN ends e ON r.node = e.u), leads AS (SELECT node AS notice_id, min(seen) AS lead FROM reach GROUP BY node)"""
+_LABELLED = """beside AS (SELECT a, b, CASE WHEN sa = sb THEN 'same' ELSE 'different' END AS label FROM (SELECT doc_id AS a, source AS sa, lead(doc_id) OVER w AS b, lead(source) OVER w AS sb FROM documents WINDOW w AS (PARTITION BY lang ORDER BY doc_id)) WHERE b IS NOT NULL),
+labelled AS (SELECT a AS notice_id_a, b AS notice_id_b, label FROM beside UNION ALL SELECT b, a, label FROM beside WHERE a % 7 = 0 UNION ALL SELECT a, b, label FROM beside WHERE a % 11 = 0 UNION ALL SELECT a, a, label FROM beside WHERE a % 13 = 0 UNION ALL SELECT a, -1 - b, label FROM beside WHERE a % 17 = 0)"""
+_APART = f"""{_FIELDS}, {_LABELLED}, apart AS (SELECT notice_id_a, notice_id_b, label, abs(x.value - y.value)::DOUBLE AS value_diff, abs(x.value - y.value) = 0 AS value_match, abs(x.closing - y.closing)::BIGINT AS closing_delta_days, abs(x.published - y.published)::BIGINT AS published_delta_days
+  FROM labelled JOIN fields x ON x.id = notice_id_a JOIN fields y ON y.id = notice_id_b)"""
+
+
+def _delta_stats(c: str) -> str:
+    return f"round(avg({c}), 6) AS mean_{c}, round(median({c}), 6)::DOUBLE AS median_{c}, max({c}) AS max_{c}, round(quantile_cont({c}, 0.95), 6)::DOUBLE AS p95_{c}"
+
+
+def _caps_metrics(pairs: str) -> str:
+    return f"SELECT unnest(['pairs', 'most', 'notices']) AS metric, unnest([sum(n) / 2, max(n)::DOUBLE, count(*)::DOUBLE]) AS value FROM (SELECT x, count(*) AS n FROM (SELECT id_a AS x FROM {pairs} UNION ALL SELECT id_b FROM {pairs}) GROUP BY x)"
+
 
 ORACLES: dict[str, str] = {
     "corpus_profile": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct FROM documents" for c in ("doc_id", "text", "lang", "source", "n_chars")),
     "length_distribution": f"SELECT {_STATS.format('n')}, {', '.join(_percentile('n', p) for p in (5, 25, 50, 75, 90, 95, 99))} FROM (SELECT length(text) AS n FROM documents)",
     "source_profile_percentiles": f"SELECT source, {_STATS.format('n_text')}, {', '.join(_percentile('n_text', p) for p in (50, 95))} FROM (SELECT source, length(text) AS n_text FROM documents) GROUP BY source",
-    "conditional_counts": """SELECT source, n, with_phrase, upper_start, round(100.0 * n / greatest(sum(n) OVER (), 1), 2)::DOUBLE AS share_pct FROM (
-        SELECT source, count(*) AS n, sum(contains(upper(text), 'LICENSE')::INT)::BIGINT AS with_phrase, sum(regexp_matches(regexp_replace(substr(text, 1, 20), '[^A-Za-z]', '', 'g'), '^[A-Z]+$')::INT)::BIGINT AS upper_start FROM documents GROUP BY source)""",
+    "conditional_counts": r"""SELECT source, n, with_phrase, "upper", upper_line, round(100.0 * n / greatest(sum(n) OVER (), 1), 2)::DOUBLE AS share_pct FROM (
+        SELECT source, count(*) AS n, sum(contains(upper(text), 'LICENSE')::INT)::BIGINT AS with_phrase, sum((text = upper(text) AND lower(text) <> upper(text))::INT)::BIGINT AS "upper",
+        sum(regexp_matches(text, '(^|\n)[^a-z\n]*[A-Z]{2}[^a-z\n]*(\n|$)')::INT)::BIGINT AS upper_line FROM documents GROUP BY source)""",
     "pivot_label_counts": "SELECT source, sum((quality = 1)::INT)::BIGINT AS same, sum((quality <> 1)::INT)::BIGINT AS different, count(*) AS total FROM labels JOIN documents USING (doc_id) GROUP BY source",
     "text_clean_ascii": f"WITH {_CLEAN} SELECT doc_id, length(clean) AS n_clean, md5(clean) AS clean_md5 FROM plain",
     "word_tokens": f"WITH {_WORDS} SELECT doc_id, count(w) AS n_tokens, coalesce(min(w), '') AS first_token FROM plain LEFT JOIN words USING (doc_id) GROUP BY doc_id",
@@ -321,6 +503,21 @@ ORACLES: dict[str, str] = {
     "workload_portals": f"""WITH {_WORK} SELECT source AS portal_id, count(*) AS notices, round(avg(candidates), 1) AS mean_candidates, median(candidates) AS median_candidates, round(quantile_cont(candidates, 0.95), 6)::DOUBLE AS p95_candidates, max(candidates) AS max_candidates,
         sum(candidates)::BIGINT AS total_candidate_work, round(100.0 * sum(candidates) / max(w), 2)::DOUBLE AS pct_of_total_work FROM per, whole GROUP BY source""",
     "lorenz_curve": f"WITH {_WORK} SELECT place, candidates AS work, round(100.0 * sum(candidates) OVER (ORDER BY place) / w, 6)::DOUBLE AS cumulative_pct FROM placed, whole",
-    "retrieval_sweep": f"""WITH {_SWEEP} SELECT bands, rows, true_pairs::BIGINT AS true_pairs, true_found::BIGINT AS true_found, other_pairs::BIGINT AS other_pairs, other_found::BIGINT AS other_found, round(true_found / greatest(true_pairs, 1), 6)::DOUBLE AS recall,
-        round(other_found / greatest(other_pairs, 1), 6)::DOUBLE AS exposure, round((true_pairs - true_found) * 1.0 + 0.01 * other_found * 50, 6)::DOUBLE AS risk FROM counted""",
+    "retrieval_sweep": f"WITH {_SWEEP} SELECT * FROM sweep",
+    "operating_point": f"WITH {_SWEEP} SELECT * FROM sweep ORDER BY recall >= 0.95 DESC, CASE WHEN recall >= 0.95 THEN -bands END NULLS FIRST, recall DESC, bands DESC LIMIT 1",
+    "label_hygiene": f"""WITH {_LABELLED}, kinds AS (SELECT notice_id_a AS a, notice_id_b AS b, count(*) AS n FROM labelled GROUP BY ALL)
+        SELECT sum(n)::BIGINT AS pairs, sum(CASE WHEN a = b THEN n ELSE 0 END)::BIGINT AS self_pairs, sum(CASE WHEN b < 0 THEN n ELSE 0 END)::BIGINT AS missing_pairs, sum(n - 1)::BIGINT AS duplicate_pairs,
+        (SELECT count(*) FROM kinds x JOIN kinds y ON x.a = y.b AND x.b = y.a AND x.a < x.b) AS reversed_pairs FROM kinds""",
+    "field_compatibility_pairs": f"WITH {_APART} SELECT * FROM apart",
+    "label_delta_metrics": f"WITH {_APART} SELECT label, count(*) AS pairs, {', '.join(_delta_stats(c) for c in ('value_diff', 'closing_delta_days', 'published_delta_days'))} FROM apart GROUP BY label",
+    "first_pair_per_label": f"WITH {_LABELLED} SELECT notice_id_a, notice_id_b, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY notice_id_a, notice_id_b) AS rn FROM labelled) WHERE rn = 1",
+    "value_counts": "SELECT lang, count(*) AS n FROM documents GROUP BY lang",
+    "caps_before_after": f"""WITH {_CAPPED}, every AS ({_PAIRS.format('store')}), b AS ({_caps_metrics('every')}), a AS ({_caps_metrics('pairs')})
+        SELECT metric, b.value AS before, a.value AS after, CASE WHEN b.value > 0 THEN printf('%+.2f%%', 100.0 * (a.value - b.value) / b.value) ELSE 'N/A' END AS change FROM b JOIN a USING (metric)""",
+    "text_clean_full": f"SELECT doc_id, length(clean) AS n_clean, md5(clean) AS clean_md5 FROM (SELECT doc_id, {_decomposed('text')} AS clean FROM documents)",
+    "minhash_signature_m256": f"WITH {_PRODUCTION} SELECT doc_id AS notice_id, coalesce(n, 0) AS n_shingles, md5(array_to_string(coalesce(s, list_resize([0], {D.HASHES}, 0)), ',')) AS signature_md5 FROM documents LEFT JOIN signatures ON signatures.id = doc_id LEFT JOIN sizes ON sizes.id = doc_id AND part = 0",
+    "near_duplicate_edges": f"WITH {_EDGES} SELECT id_a, id_b, round(score, 6) AS score FROM edges",
+    "near_duplicate_notices": f"WITH RECURSIVE {_LEADS} SELECT * FROM leads",
+    "opportunity_cards": f"""WITH RECURSIVE {_LEADS}, names AS (SELECT lead, CASE WHEN count(CASE WHEN notice_id % 2 = 0 THEN 1 END) > 0 THEN min(CASE WHEN notice_id % 2 = 0 THEN {_card('notice_id::VARCHAR')} END) ELSE {_card('lead::VARCHAR')} END AS card FROM leads GROUP BY lead)
+        SELECT 'CLUST-' || substr(card, 6) AS cluster_id, card AS stable_card_id, lead AS lead_notice_id, notice_id, portal AS portal_id, published::VARCHAR AS published_at FROM leads JOIN names USING (lead) JOIN fields ON fields.id = notice_id""",
 }
