@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnmill.functions.columns import day_of_week, md5_long
@@ -16,12 +16,12 @@ MONEY = "decimal(18,2)"
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of rows with equal keys the first in an order; other columns break its ties, so the choice is one.
 
-    An aggregate rather than a window: rows of a key are combined before the shuffle, so a key that repeats
-    without end costs a row per map task.
+    Ranked within the key: one shuffle by key and one sort. Only a key's first row of each map task is shuffled
+    (the limit on the rank goes below the exchange), so a key that repeats without end costs a row per task.
     """
-    rest = [c for c in df.columns if c not in keys]
-    first = df.groupBy(*keys).agg(F.min(F.struct(*order, *[c for c in rest if c not in order])).alias("_first"))
-    return first.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *rest))
+    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
 def interval_join(facts: DataFrame, dim: DataFrame, on: list[tuple[str, str]], at: str, start: str, end: str, how: str = "left") -> DataFrame:
@@ -64,15 +64,20 @@ def build_fact(lines: DataFrame, products: DataFrame, prices: DataFrame, order:
     lines: bill_no, line_no, store_id, sale_date, product_code, qty, unit_price, line_type, source_file, ts.
     Duplicates go before the filter on line types: a line's first copy decides what it is.
     """
-    first = keep_first(lines, ["bill_no", "line_no"], order)
+    return fact_of(keep_first(lines, ["bill_no", "line_no"], order), products, prices)
+
+
+def fact_of(first: DataFrame, products: DataFrame, prices: DataFrame | None = None) -> DataFrame:
+    """Facts of first copies. Without prices historical_price is left out: who does not read it joins nothing for it."""
     kept = first.where(F.col("line_type").isin(REVENUE_LINES))
     versions = products.select("product_key", F.col("product_code").alias("_code"), "valid_from", "valid_to")
-    with_product = interval_join(kept, versions, [("product_code", "_code")], "sale_date", "valid_from", "valid_to")
-    revisions = prices.select(F.col("product_sk").alias("_sk"), "selling_price", "effective_from", "effective_to")
-    priced = interval_join(with_product, revisions, [("product_key", "_sk")], "sale_date", "effective_from", "effective_to")
+    priced = interval_join(kept, versions, [("product_code", "_code")], "sale_date", "valid_from", "valid_to")
+    if prices is not None:
+        revisions = prices.select(F.col("product_sk").alias("_sk"), "selling_price", "effective_from", "effective_to")
+        priced = interval_join(priced, revisions, [("product_key", "_sk")], "sale_date", "effective_from", "effective_to")
     return priced.select(
         surrogate_key().alias("sales_key"), "bill_no", "line_no", F.col("store_id").alias("store_key"), "product_key", F.date_format("sale_date", "yyyyMMdd").cast("int").alias("date_key"), "sale_date",
-        F.col("qty").alias("quantity"), "unit_price", F.col("selling_price").alias("historical_price"), revenue(F.col("qty"), F.col("unit_price")).alias("revenue"), "line_type", "source_file", F.col("ts").alias("txn_time"),
+        F.col("qty").alias("quantity"), "unit_price", *([F.col("selling_price").alias("historical_price")] if prices is not None else []), revenue(F.col("qty"), F.col("unit_price")).alias("revenue"), "line_type", "source_file", F.col("ts").alias("txn_time"),
     )
 
 

@@ -16,14 +16,14 @@ from tarnmill.functions.columns import ascii_text, card_id, char_ngram_range, cl
 from tarnmill.operators import dedup as D
 from tarnmill.operators import evaluate as V
 from tarnmill.plans.pipelines import dedup_run, prepared
-from tarnmill.runtime import materialise
+from tarnmill.runtime import materialise, spread
 
 SMALL = 16
 NATIVE_BANDS, NATIVE_ROWS = 8, 2
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 #: Generated fields, in the terms of both engines. Two thirds carry a portal's preamble, which is to be stripped.

@@ -41,6 +41,23 @@ def shared_folder(spark: SparkSession) -> str:
     return str(named).rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/tarnmill-{uuid.uuid4().hex}"
+
+
+def expire(spark: SparkSession, path: str) -> None:
+    """Let what was written go when the application ends."""
+    target, files = _files(spark, path)
+    files.deleteOnExit(target)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of few, small files dealt to all cores; one that has work for them as it is stays untouched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if 2 * df.rdd.getNumPartitions() > cores else df.repartition(cores)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
@@ -48,10 +65,9 @@ def materialise(df: DataFrame) -> DataFrame:
     that depend on the run (partition numbers) are fixed. The files go when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tarnmill-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    target, files = _files(spark, path)
-    files.deleteOnExit(target)
+    expire(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
