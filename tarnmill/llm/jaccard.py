@@ -170,7 +170,11 @@ def _sum_counts(survey: DataFrame) -> np.ndarray:
 
 
 def _postings(rows: DataFrame, counts, blocks: int, size: int, num: int, den: int) -> DataFrame:
-    """Prefix shingles by block: a row holds those of one block from one batch of documents, as packed arrays."""
+    """Prefix shingles by block: a row holds those of one block from one batch of documents, as packed arrays.
+
+    A class is told by its first number alone: should two classes share it, both count as holders, which costs
+    candidates and loses none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
@@ -188,13 +192,15 @@ def _postings(rows: DataFrame, counts, blocks: int, size: int, num: int, den: in
             deal = mix(k1.view(U64)) % (often // BUCKET + 1).astype(U64)
             block = (mix(h + mix(deal) * (deal > 0)) % U64(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
-            out = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-                fresh = np.append(True, (k1[own][1:] != k1[own][:-1]) | (nk[own][1:] != nk[own][:-1]))
-                for x, v in zip(out, (int(block[own[0]]), h[own].tobytes(), (np.cumsum(fresh) - 1).astype("<u4").tobytes(), k1[own][fresh].tobytes(), nk[own][fresh].tobytes(), np.packbits(often[own] >= BUCKET).tobytes())):
+                first = np.flatnonzero(np.append(True, (k1[own][1:] != k1[own][:-1]) | (nk[own][1:] != nk[own][:-1])))
+                each = np.diff(np.append(first, len(own)))
+                often_dealt = often[own] >= BUCKET
+                for x, v in zip(out, (int(block[own[0]]), h[own].tobytes(), each.astype("<u1" if each.max() < 256 else "<u4").tobytes(), k1[own][first].tobytes(), np.packbits(often_dealt).tobytes() if often_dealt.any() else b"")):
                     x.append(v)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:]]], names=["block", "h", "doc", "k1", "nk", "dealt"])
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:]]], names=["block", "h", "each", "k1", "dealt"])
 
         amount = 0
         for b in batches:
@@ -216,35 +222,30 @@ def _postings(rows: DataFrame, counts, blocks: int, size: int, num: int, den: in
         if held:
             yield flush()
 
-    return rows.select("_id", "_text").mapInArrow(run, "block int, h binary, doc binary, k1 binary, nk binary, dealt binary")
+    return rows.select("_id", "_text").mapInArrow(run, "block int, h binary, each binary, k1 binary, dealt binary")
 
 
 def _shared(postings: DataFrame) -> DataFrame:
     """Block by block: the postings of shingles that several classes hold; the others add nothing to any overlap."""
 
     def run(table: pa.Table) -> pa.Table:
-        h, k1, nk, dealt = [], [], [], []
-        for r in zip(*(table.column(c) for c in ("h", "doc", "k1", "nk", "dealt"))):
-            a, doc, b, c, d = (x.as_py() for x in r)
-            doc = np.frombuffer(doc, "<u4")
+        h, k1, dealt = [], [], []
+        for r in zip(*(table.column(c) for c in ("h", "each", "k1", "dealt"))):
+            a, each, own, bits = (x.as_py() for x in r)
             h.append(np.frombuffer(a, np.int64))
-            k1.append(np.frombuffer(b, np.int64)[doc])
-            nk.append(np.frombuffer(c, np.int64)[doc])
-            dealt.append(np.unpackbits(np.frombuffer(d, np.uint8))[: len(doc)])
-        h, k1, nk, dealt = (np.concatenate(x) for x in (h, k1, nk, dealt))
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
-        order = order[np.append(same, False) | np.append(False, same) | (dealt[order] > 0)]
-        order = order[np.lexsort((nk[order], k1[order], h[order]))]
-        h, k1, nk, dealt = h[order], k1[order], nk[order], dealt[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (k1[1:] != k1[:-1]) | (nk[1:] != nk[:-1])
-        h, k1, nk, dealt = h[new], k1[new], nk[new], dealt[new]
+            own = np.frombuffer(own, np.int64)
+            k1.append(np.repeat(own, np.frombuffer(each, "<u1" if len(each) == len(own) else "<u4")))
+            dealt.append(np.unpackbits(np.frombuffer(bits, np.uint8))[: len(h[-1])] if bits else np.zeros(len(h[-1]), np.uint8))
+        h, k1, dealt = (np.concatenate(x) for x in (h, k1, dealt))
+        order = np.lexsort((k1, h))
+        h, k1, dealt = h[order], k1[order], dealt[order]
+        new = np.append(True, (h[1:] != h[:-1]) | (k1[1:] != k1[:-1]))
+        h, k1, dealt = h[new], k1[new], dealt[new]
         same = h[1:] == h[:-1]
         keep = np.append(same, False) | np.append(False, same) | (dealt > 0)
-        return pa.table({"h": h[keep], "k1": k1[keep], "nk": nk[keep]})
+        return pa.table({"h": h[keep], "k1": k1[keep]})
 
-    return postings.groupBy("block").applyInArrow(run, "h long, k1 long, nk long")
+    return postings.groupBy("block").applyInArrow(run, "h long, k1 long")
 
 
 def _verify(rows: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -332,9 +333,9 @@ def _classified(rows: DataFrame, size: int, num: int, den: int) -> tuple[DataFra
 
 def _components(rows: DataFrame, classes: DataFrame, counts, blocks: int, size: int, num: int, den: int) -> DataFrame | None:
     shared = _shared(_postings(rows, counts, blocks, size, num, den))
-    per_class = shared.join(classes.select("k1", "nk", "cid"), ["k1", "nk"])
-    held = F.count(F.lit(1)).over(Window.partitionBy("k1", "nk"))
-    mates = materialise(per_class.withColumn("c", held).select("h", "cid", F.shiftright("nk", 32).cast("int").alias("n"), F.col("c").cast("int").alias("c")))
+    per_class = shared.join(classes.select("k1", "cid", F.shiftright("nk", 32).cast("int").alias("n")), "k1")
+    held = F.count(F.lit(1)).over(Window.partitionBy("k1", "cid"))
+    mates = materialise(per_class.withColumn("c", held.cast("int")).select("h", "cid", "n", "c"))
 
     # what a bucket's sizes leave possible; its pivot is the class whose prefix is shared most
     n, share = F.col("n"), F.col("c") / (F.col("n") - F.ceil(num * F.col("n") / F.lit(den)) + 1)
