@@ -40,20 +40,33 @@ TEMPLATES += [(f"CC-{short}-{v}", f"Licensed under CC {short} {v}") for short, _
 TEMPLATES += [(f"CC-{short}-{v}", f"This work is licensed under a Creative Commons {name} {v} {area} License") for short, name in _CC for v, area in (("4.0", "International"), ("3.0", "Unported")) if (short, v) != ("BY", "4.0")]
 #: An SPDX tag names its licence itself; templates would drown the name in the tag's own words, or match the name alone.
 SPDX = r"(?i)SPDX-License-Identifier:[ \t]*\(?([a-z0-9.+-]+(?:[ \t]+(?:OR|AND|WITH)[ \t]+\(?[a-z0-9.+-]+\)?)*)"
-#: Function words, which the first look at a line avoids.
+#: Function words, which are no terms.
 COMMON = set("a all an and any are as at be by can either file following form forms free from if in is it may not of or provided that the this to under use with without work you".split())
+#: Terms that are words of prose in some language; texts are looked for by them last.
+PROSE = {"mit", "nd", "sa", "nc", "source", "general", "public", "code", "version", "v"}
 THRESHOLD = 0.7
 TERM = "[a-z0-9]+(?:[.][0-9]+)*"
-#: Where a sentence or paragraph ends; a sentence may run over lines and their comment signs.
-SENTENCE_END = r"""(?<=[.!?])["')\]]*\s+(?=[^A-Za-z0-9\n]*[A-Z])|\n[^A-Za-z0-9\n]*\n"""
+#: A sentence ends at a mark before a capital, or at a line without letters; it may run over lines and their comment signs.
+SENTENCE = r"""([.!?])["')\]]*\s+([^A-Za-z0-9\n]*[A-Z])"""
+PARAGRAPH = r"\n[^A-Za-z0-9\n]*\n"
+CUT = "\x1e"
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 
 
+def _terms(text: str) -> list[str]:
+    return [t for t in re.findall(TERM, text.lower()) if t not in COMMON]
+
+
+def terms_of(text: str | Column) -> Column:
+    found = F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+    return F.filter(found, lambda t: ~t.isin(*sorted(COMMON)))
+
+
 class Weights:
     """TF-IDF of the templates: document frequencies over templates; a term of no template weighs as the rarest would."""
 
     def __init__(self, templates: list[tuple[str, str]]):
-        counts = [Counter(re.findall(TERM, t.lower())) for _, t in templates]
+        counts = [Counter(_terms(t)) for _, t in templates]
         df = Counter(term for c in counts for term in c)
         n = len(templates)
         self.other = math.log(1 + n) + 1
@@ -67,65 +80,63 @@ class Weights:
             self.vectors.append({term: v / norm for term, v in raw.items()})
 
     def telling(self, threshold: float) -> list[str]:
-        """Terms of which every line of at least this cosine holds one.
+        """Terms of which every text that shares two terms of a template and has at least this cosine holds one.
 
-        By Cauchy and Schwarz a line's cosine is at most the norm of the template's part that it shares. Terms are
-        taken, long ones before short ones before function words (in the order of how rare they are in prose), until what is left of each template stays below the threshold.
+        By Cauchy and Schwarz a text's cosine is at most the norm of the template's part that it shares. So terms
+        are taken, those that serve most templates first, until what is left of each template is one term or
+        stays below the threshold.
         """
+        def rank(t: str) -> int:
+            return 3 if t not in PROSE and t[0].isalpha() else 2 if "." in t else 1 if len(t) > 4 else 0  # short ones occur in all texts
+
         chosen: set[str] = set()
-        for v in self.vectors:
-            rest = 1 - sum(v[t] ** 2 for t in chosen & v.keys())
-            for term in sorted(v, key=lambda t: (t in COMMON, -len(t), t)):
-                if rest < (threshold - 1e-9) ** 2:
-                    break
-                if term not in chosen:
-                    chosen.add(term)
-                    rest -= v[term] ** 2
-        return sorted(chosen)
-
-
-    def reachable(self, line: Column, threshold: float) -> Column:
-        """Whether the template terms that a line holds (as parts of it) let its cosine reach the threshold, by the same bound."""
-        bounds: list[dict] = []
-        for v in self.vectors:  # like templates share the larger of their parts, which bounds each of them
-            for k, held in enumerate(bounds):
-                both = {t: max(held.get(t, 0.0), v.get(t, 0.0) ** 2) for t in held.keys() | v.keys()}
-                if sum(both.values()) <= 2.0 and len(both) <= 1.25 * len(held) + 3:
-                    bounds[k] = both
-                    break
-            else:
-                bounds.append({t: x * x for t, x in v.items()})
-        parts = F.array(*[F.array(*[F.struct(F.lit(t).alias("term"), F.lit(b[t]).alias("part")) for t in sorted(b, key=lambda t: (-b[t], t))]) for b in bounds])
-
-        def some(low: Column) -> Column:
-            return F.exists(parts, lambda b: F.aggregate(b, F.lit(0.0), lambda held, x: held + F.when(F.contains(low, x["term"]), x["part"]).otherwise(0.0)) >= threshold**2 - 1e-9)
-
-        return F.element_at(F.transform(F.array(F.lower(line)), some), 1)  # the line is lowered once
-
-
-def windows(units: DataFrame, weights: Weights, threshold: float) -> DataFrame:
-    """unit, line: runs of as many terms of a unit as a template has, from a term of such a template on, that can reach the threshold."""
-    terms = units.select(F.col("line").alias("unit"), F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0)).alias("terms"))
+        while True:
+            left = [{t: x for t, x in v.items() if t not in chosen} for v in self.vectors]
+            open_ = [v for v in left if len(v) > 1 and sum(x * x for x in v.values()) >= (threshold - 1e-9) ** 2]
+            if not open_:
+                return sorted(chosen)
+            serves: dict[str, float] = {}
+            for v in open_:
+                for t in v:
+                    serves[t] = serves.get(t, 0.0) + v[t] ** 2
+            chosen.add(max(serves, key=lambda t: (rank(t), serves[t], t)))
+
+
+def holds_one(text: Column, terms: list[str]) -> Column:
+    """Whether one of the terms occurs in the text, if only as part of a word. The text is lowered once."""
+    some = F.transform(F.array(F.lower(text)), lambda low: F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(low, t)))
+    return F.element_at(some, 1)
+
+
+def windows(units: DataFrame, weights: Weights, telling: list[str], threshold: float) -> DataFrame:
+    """unit, line: the runs of a unit of as many terms as a template has that can reach the threshold.
+
+    Such a run holds a telling term, so only runs around those are formed; the bound on the terms that a run
+    shares with any template of its size decides which are scored.
+    """
+    terms = units.select(F.col("line").alias("unit"), terms_of("line").alias("terms"))
     sizes = []
     for n in sorted(set(weights.sizes)):  # the larger parts of the templates of a size bound each of them
         bound: dict = {}
         for v in (v for v, k in zip(weights.vectors, weights.sizes) if k == n):
             bound |= {t: max(bound.get(t, 0.0), x * x) for t, x in v.items()}
         parts = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(x).alias("part")) for t, x in sorted(bound.items())])
-        sizes.append(F.struct(F.lit(n).alias("n"), F.array(*[F.lit(t) for t in sorted(bound)]).alias("known"), parts.alias("parts")))
-
-    def reaches(held: Column) -> Column:
-        return F.aggregate("parts", F.lit(0.0), lambda s, x: s + F.when(F.array_contains(held, x["term"]), x["part"]).otherwise(0.0)) >= threshold**2 - 1e-9
-
-    fit = terms.select("unit", "terms", F.explode(F.array(*sizes)).alias("s")).select("unit", "terms", "s.*").where(F.size("terms") > F.col("n")).where(reaches(F.array_intersect("terms", "known")))
-    starts = fit.select("unit", "terms", "n", "known", "parts", F.explode(F.sequence(F.lit(1), F.size("terms") - F.col("n") + 1)).alias("at")).where(F.array_contains(F.col("known"), F.element_at("terms", F.col("at"))))
-    held = F.element_at(F.transform(F.array(F.slice("terms", F.col("at"), F.col("n"))), reaches), 1)
-    return starts.where(held).select("unit", F.array_join(F.slice("terms", F.col("at"), F.col("n")), " ").alias("line")).distinct()
+        sizes.append(F.struct(F.lit(n).alias("n"), parts.alias("parts")))
+    known = F.array(*[F.lit(t) for t in telling])
+    n = F.col("n")
+    told = terms.withColumn("at", F.filter(F.sequence(F.lit(1), F.greatest(F.size("terms"), F.lit(1))), lambda i: F.array_contains(known, F.get(F.col("terms"), i - 1)))).where(F.size("at") > 0)
+    fit = told.select("unit", "terms", "at", F.explode(F.array(*sizes)).alias("s")).select("unit", "terms", "at", "s.*").where(F.size("terms") > n)
+    starts = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(F.greatest(i - n + 1, F.lit(1)), F.least(i, F.size("terms") - n + 1)))))
+    runs = fit.select("unit", "parts", "terms", "n", F.explode(starts).alias("at")).select("unit", "parts", F.slice("terms", F.col("at"), n).alias("run"))
+    share = F.aggregate("parts", F.lit(0.0), lambda held, x: held + F.when(F.array_contains(F.col("run"), x["term"]), x["part"]).otherwise(0.0))
+    return runs.where(share >= threshold**2 - 1e-9).select("unit", F.array_join("run", " ").alias("line")).distinct()
 
 
 def score_lines(lines: DataFrame, weights: Weights, threshold: float, same_size: bool = False) -> DataFrame:
     """line, license, score, template: the best template of each distinct line, where its cosine reaches the threshold.
 
+    A line that shares but one term with a template states nothing by it.
+
     same_size: of the templates with as many terms as the line.
     """
     spark = lines.sparkSession
@@ -133,12 +144,12 @@ def score_lines(lines: DataFrame, weights: Weights, threshold: float, same_size:
     table = F.broadcast(spark.createDataFrame(entries, "term string, template int, weight double, size int"))  # the templates: of fixed size
     idf = F.broadcast(spark.createDataFrame(sorted(weights.idf.items()), "term string, idf double"))
     names = F.broadcast(spark.createDataFrame(list(enumerate(weights.names)), "template int, license string"))
-    terms = lines.select("line", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0))).alias("term")).groupBy("line", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = lines.select("line", F.explode(terms_of("line")).alias("term")).groupBy("line", "term").agg(F.count(F.lit(1)).alias("tf"))
     weighed = terms.join(idf, "term", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(weights.other)))
     # one pass over a line's terms gives its norm and all dot products
     met = weighed.groupBy("line").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.sum("tf").alias("n"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "tf"))).alias("known"))
     shared = met.select("line", "norm", "n", F.explode("known").alias("k")).select("line", "norm", "n", "k.term", "k.tf").join(table, "term")
-    dots = (shared.where("n = size") if same_size else shared).groupBy("line", "norm", "template").agg(F.sum(F.col("tf") * F.col("weight")).alias("dot"))
+    dots = (shared.where("n = size") if same_size else shared).groupBy("line", "norm", "template").agg(F.sum(F.col("tf") * F.col("weight")).alias("dot"), F.count(F.lit(1)).alias("shared")).where("shared > 1")
     cosine = F.round(F.col("dot") / F.col("norm"), 6)
     best = dots.select("line", "template", cosine.alias("score")).where(F.col("score") >= threshold).groupBy("line").agg(F.max(F.struct("score", (-F.col("template")).alias("t"))).alias("b"))
     return best.select("line", F.col("b.score").alias("score"), (-F.col("b.t")).alias("template")).join(names, "template").select("line", "license", "score", "template")
@@ -149,8 +160,10 @@ def scan_licenses(files: DataFrame, id_col: str, path: Column, text_col: str = "
 
     A file's own licence is that of its line or sentence with the highest cosine to a template (ties: the template
     that comes first). A sentence may run over lines; of a longer line or sentence, runs of as many terms as a
-    template has are compared with it too, so wrapped notices and embedded statements count; a line with an SPDX tag has the licence that the tag names, with score 1. A file without one inherits from the nearest directory above it that has a licence file
-    (license_file: by default by name); of several in one directory the one with the smallest path counts.
+    template has are compared with the templates of that size too, so wrapped headers, licence files and embedded
+    statements count. A line with an SPDX tag has the licence that the tag names, with score 1. Function words are
+    no terms, and one shared term makes no statement. A file without an own licence inherits from the nearest directory above it that has a licence file
+    with one (license_file: by default by name); of several in one directory the smallest path counts.
     inherited_from is that directory, null where nothing is inherited.
 
     Null and empty texts have no own licence; a null path has no directory. Repeated rows are reported each.
@@ -158,16 +171,16 @@ def scan_licenses(files: DataFrame, id_col: str, path: Column, text_col: str = "
     them, and directories are resolved once however many files they hold.
     """
     weights = Weights(templates)
+    telling = weights.telling(threshold)
+    signs = [t for t in [*telling, "spdx-license"] if not any(o != t and o in t for o in telling)]  # one that holds another says nothing new
     rows = files.select(F.col(id_col).alias("_id"), path.alias("path"), F.col(text_col).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
-    hint = "(?i)(?<![a-z0-9])(" + "|".join(re.escape(t) for t in ["spdx", *weights.telling(threshold)]) + ")(?![a-z0-9])"
-    some = rows.where(F.col("_text").rlike(hint))
-    # each line, and each sentence that is not a line of its own
-    sentences = F.filter(F.split("_text", SENTENCE_END), lambda x: F.contains(x, F.lit("\n")) | ~F.contains(F.concat(F.lit("\n"), "_text", F.lit("\n")), F.concat(F.lit("\n"), x, F.lit("\n"))))
-    lines = some.select("_id", "path", "_hash", F.explode(F.concat(F.split("_text", "\n"), sentences)).alias("line"))
-    held = materialise(lines.where(F.col("line").rlike(hint)).where(F.col("line").rlike(SPDX) | weights.reachable(F.col("line"), threshold)))
-    units = held.select("line").distinct()
-    scored = score_lines(units, weights, threshold)
-    cut = materialise(windows(units.where(~F.col("line").rlike(SENTENCE_END)), weights, threshold))  # what holds several sentences is cut by them
+    some = rows.where(holds_one(F.col("_text"), signs))
+    sentences = F.split(F.regexp_replace(F.regexp_replace("_text", SENTENCE, f"$1{CUT}$2"), PARAGRAPH, CUT), CUT)
+    units = F.array_distinct(F.filter(F.concat(F.split("_text", "\n"), sentences), lambda x: holds_one(x, signs)))
+    held = materialise(some.select("_id", "path", "_hash", F.explode(units).alias("line")))
+    lines = held.select("line").distinct()
+    scored = score_lines(lines, weights, threshold)
+    cut = windows(lines, weights, telling, threshold)
     inside = cut.join(score_lines(cut.select("line").distinct(), weights, threshold, same_size=True), "line").select(F.col("unit").alias("line"), "license", "score", "template")
     scored = scored.unionByName(inside)
     tagged = held.select("line", F.regexp_extract("line", SPDX, 1).alias("tag")).where("tag <> ''").distinct()
@@ -183,12 +196,23 @@ def scan_licenses(files: DataFrame, id_col: str, path: Column, text_col: str = "
     parts = F.split("folder", "/")
     above = folders.select("folder", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth")).withColumn("at", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/"))
     nearest = above.join(declared, "at").groupBy("folder").agg(F.max(F.struct("depth", "at", "declared")).alias("n")).select("folder", F.col("n.at").alias("at"), F.col("n.declared").alias("declared"))
+    nearest = few(materialise(nearest))
 
     keyed = rows.select("_id", "path", "_hash", folder.alias("folder"))
-    same = keyed["_id"].eqNullSafe(own["_id"]) & keyed["path"].eqNullSafe(own["path"]) & (keyed["_hash"] == own["_hash"])
-    with_own = keyed.join(own, same, "left").select(keyed["_id"], keyed["path"], "folder", "own_license", "own_score")
+    mine = few(own).alias("o")
+    same = keyed["_id"].eqNullSafe(F.col("o._id")) & keyed["path"].eqNullSafe(F.col("o.path")) & (keyed["_hash"] == F.col("o._hash"))
+    with_own = keyed.join(mine, same, "left").select(keyed["_id"], keyed["path"], "folder", "own_license", "own_score")
     out = with_own.join(nearest, "folder", "left")
     return out.select(
         F.col("_id").alias(id_col), "path", "own_license", "own_score", F.coalesce("own_license", "declared").alias("license"),
         F.when(F.col("own_license").isNull(), F.col("at")).alias("inherited_from"),
     )
+
+
+#: Rows of a lookup table that may be broadcast; beyond, both sides are shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def few(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its rows are few."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
