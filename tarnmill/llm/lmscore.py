@@ -1,20 +1,24 @@
 """Cross-entropy difference (Moore and Lewis, 2010) of documents under two bigram models of one vocabulary.
 
-Target model: the documents labelled as wanted. Background model: all documents. Both name words by the same
-2**20 classes (hashes of lower-cased words, whatever the corpus) and are smoothed alike:
+Target model: the documents labelled as wanted. Background model: all documents. Both share the vocabulary of all
+lower-cased words, each told by a 64-bit hash, and are smoothed alike:
 
-    p(w | v) = (count(v, w) + MU * p(w)) / (count(v) + MU)        p(w) = (count(w) + 1) / (total + classes)
+    p(w | v) = (count(v, w) + MU * p(w)) / (count(v) + MU)        p(w) = (count(w) + 1) / (tokens + vocabulary)
 
 counted over all documents of the model but the one that is scored (else a model would know its own documents
-by heart), with v the word before (a class of its own at a text's start). The loss of a token is -log p(w | v); a
+by heart), with v the word before (a sign of its own at a text's start). The loss of a token is -log p(w | v); a
 document's score is its mean loss under the target model less that under the background model, so lower means
-more like the target. Counts cover every token of every document; bigram tables grow with the corpus and are
-never gathered: bigrams are dealt to blocks, each block counts its own and answers with losses summed by document.
+more like the target.
+
+Counts cover every token of every document, and tables of them are never gathered. Documents go in batches; a
+batch tells each of its words and bigrams once, with its own counts, to the block of the name. Blocks add up what
+the batches told and answer each with the sums, in the order in which it asked. With the answers a batch, whose
+tokens travel beside as numbers of its own words, scores its documents. So a word or bigram that every document
+holds costs a block one entry for each batch, however many documents there are.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,181 +26,182 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tarnmill.llm.wordscan import FOLDED_WORDS, U64, Words, mix, plain_words, scan
+from tarnmill.llm.wordscan import FOLDED_WORDS, U64, mix, plain_words, scan
 from tarnmill.runtime import materialise
 
-CLASS_BITS = 20
-CLASSES = 1 << CLASS_BITS
 MU = 4.0
-#: Classes whose counts are summed together.
-PART = 1 << 12
-#: Tokens of a mapper's batch and postings of a block.
+#: Tokens of a batch (more only where one text has more), and names that a block is meant to hold.
 BATCH, BLOCK = 1 << 20, 1_500_000
 #: Labels (rows of 16 bytes) that may be broadcast; beyond, documents and labels are shuffled together.
 BROADCAST_ROWS = 500_000
 
 
-def word_classes(words: Words) -> np.ndarray:
-    """Classes from 1; 0 is the start of a text."""
-    return np.maximum((words.hashes >> U64(64 - CLASS_BITS)).astype(np.int64), 1)
+def _small(x: np.ndarray) -> bytes:
+    """Non-negative integers in as few bytes each as the largest needs, behind a byte that tells how many."""
+    most = int(x.max()) if len(x) else 0
+    size = next(k for k in (1, 2, 4, 8) if most < 1 << 8 * k)
+    return bytes([size]) + x.astype(f"<u{size}").tobytes()
 
 
-def bigrams(words: Words) -> np.ndarray:
-    """(class before, class) of each token as one number."""
-    cls = word_classes(words)
-    before = np.roll(cls, 1)
-    before[words.offsets[:-1][words.counts > 0]] = 0
-    return (before << CLASS_BITS) | cls
+def _read(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
-def _class_counts(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """Tokens of each document, and counts of classes: [0] in all documents, [1] in the target."""
-    names = ["ka", "kb", "n", "wanted", "task", "part", "counts"]
+class Batch:
+    """Tokens of some texts as numbers of the batch's own words, from 1; 0 is the start of a text."""
+
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, counts: np.ndarray, target: np.ndarray):
+        self.words, self.tokens, self.counts, self.target = words, tokens, counts, target
+        self.doc = np.repeat(np.arange(len(counts)), counts)
+        before = np.roll(tokens, 1)
+        before[(np.cumsum(counts) - counts)[counts > 0]] = 0
+        self.before = before
+        self.pairs, self.pair = np.unique(before * (len(words) + 1) + tokens, return_inverse=True)
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, counts: np.ndarray, target: np.ndarray) -> Batch:
+        words, tokens = np.unique(hashes, return_inverse=True)
+        return cls(words, tokens + 1, counts, target)
+
+    def names(self) -> np.ndarray:
+        """One 64-bit name for each word, then for each bigram."""
+        hashes = np.concatenate([[U64(0)], self.words])
+        first, second = hashes[self.pairs // (len(self.words) + 1)], hashes[self.pairs % (len(self.words) + 1)]
+        return np.concatenate([mix(self.words ^ U64(0x6A09E667F3BCC909)), mix(mix(first + U64(0xBB67AE8584CAA73B)) * U64(0x9E3779B97F4A7C15) + second)])
+
+    def told(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often each name occurs: in all texts, in the target's."""
+        wanted = self.target[self.doc]
+        return tuple(np.concatenate([np.bincount(self.tokens - 1, w, len(self.words)), np.bincount(self.pair, w, len(self.pairs))]).astype(np.int64) for w in (None, wanted))
+
+    def losses(self, sums: list[np.ndarray], totals: Totals) -> list[np.ndarray]:
+        """Summed losses by text under the background and the target model, given the sums of the names."""
+        n, docs = len(self.words), len(self.counts)
+        if not len(self.tokens):
+            return [np.zeros(docs), np.zeros(docs)]
+        times, own_before, own_word = (self._own(x) for x in (self.pair, self.before, self.tokens))
+        out = []
+        for count, tokens, begun, member in zip(sums, totals.tokens, totals.begun, (np.ones(docs), self.target)):
+            mine = member[self.doc]
+            unigram = np.concatenate([[begun], count[:n]])
+            low = (unigram[self.tokens] - own_word * mine + 1) / (tokens + totals.vocabulary)
+            loss = -np.log((count[n:][self.pair] - times * mine + MU * low) / (unigram[self.before] - own_before * mine + MU))
+            out.append(np.bincount(self.doc, loss, docs))
+        return out
+
+    def _own(self, x: np.ndarray) -> np.ndarray:
+        """For each token, how often its text has the same x."""
+        _, which, n = np.unique(x * np.int64(len(self.counts)) + self.doc, return_inverse=True, return_counts=True)
+        return n[which]
+
+
+class Totals:
+    """Of both models: tokens, texts that have words; and the words of the shared vocabulary."""
+
+    def __init__(self, tokens: tuple[int, int], begun: tuple[int, int], vocabulary: int):
+        self.tokens, self.begun, self.vocabulary = tokens, begun, vocabulary
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Batch, np.ndarray, np.ndarray]]:
+    """Batches of about BATCH tokens, with the keys of their texts. Columns: _text, ka, kb, _target."""
+    held: list[tuple] = []
+
+    def flush() -> tuple[Batch, np.ndarray, np.ndarray]:
+        hashes, counts, ka, kb, target = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        return Batch.of(hashes, counts, target.astype(bool)), ka, kb
+
+    amount = 0
+    for b in batches:
+        for words in scan(b.column(0), FOLDED_WORDS):
+            n = len(words.counts)
+            if held and amount + len(words.hashes) > BATCH:
+                yield flush()
+                amount = 0
+            held.append((words.hashes, words.counts, *(b.column(c).slice(words.first, n).to_numpy(zero_copy_only=False) for c in (1, 2, 3))))
+            amount += len(words.hashes)
+    if held:
+        yield flush()
+
+
+def _totals(rows: DataFrame) -> Totals:
+    """Sums over all documents; the vocabulary is counted by Spark from the batches' distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, CLASSES), np.int64)
-        for b in batches:
-            target = b.column(3).to_numpy(zero_copy_only=False)
-            for words in scan(b.column(0), FOLDED_WORDS):
-                n = len(words.counts)
-                cls = word_classes(words)
-                total[0] += np.bincount(cls, minlength=CLASSES)
-                wanted = np.repeat(target[words.first : words.first + n], words.counts)
-                total[1] += np.bincount(cls[wanted], minlength=CLASSES)
-                none = pa.nulls(n, pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(words.first, n), b.column(2).slice(words.first, n), pa.array(words.counts), b.column(3).slice(words.first, n), none, none, pa.nulls(n, pa.binary())], names=names)
-        parts = 2 * CLASSES // PART
-        packed = [zlib.compress(x.astype("<u8").tobytes(), 1) for x in total.reshape(parts, PART)]
-        task = TaskContext.get().partitionId()
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.int32()), pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.bool_()), pa.array([task] * parts, pa.int32()), pa.array(range(parts), pa.int32()), pa.array(packed, pa.binary())], names=names)
+        for batch, _, _ in _batches(batches):
+            some = batch.counts > 0
+            values = [batch.counts.sum(), batch.counts[batch.target].sum(), some.sum(), some[batch.target].sum()]
+            yield pa.RecordBatch.from_arrays([*(pa.array([int(v)], pa.int64()) for v in values), pa.array([batch.words.view(np.int64)], pa.list_(pa.int64()))], names=["n", "t", "begun", "begun_t", "words"])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(x.as_py()), "<u8") for x in table.column("counts"))
-        return pa.table({"part": table.column("part")[:1], "group": table.column("group")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+    told = materialise(rows.select("_text", "ka", "kb", "_target").mapInArrow(run, "n long, t long, begun long, begun_t long, words array<long>"))
+    n, t, begun, begun_t = told.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "t", "begun", "begun_t")]).first()
+    return Totals((n, t), (begun, begun_t), told.select(F.explode("words").alias("w")).distinct().count())
 
-    survey = materialise(rows.select("_text", "ka", "kb", "_target").mapInArrow(run, "ka long, kb int, n long, wanted boolean, task int, part int, counts binary"))
-    parts = survey.where("part is not null").selectExpr("part", "cast(task div 512 as int) as group", "counts")
-    schema = "part int, group int, counts binary"
-    summed = parts.groupBy("part", "group").applyInArrow(add, schema).withColumn("group", F.lit(0)).groupBy("part").applyInArrow(add, schema)
-    out = np.zeros((2 * CLASSES // PART, PART), np.int64)
-    for part, _, packed in summed.collect():  # two tables of fixed size
-        out[part] = np.frombuffer(zlib.decompress(packed), "<u8")
-    return survey.where("part is null").select("ka", "kb", "n", "wanted"), out.reshape(2, CLASSES)
 
+_ROW = "place long, batch long, names binary, every binary, wanted binary, words binary, tokens binary, counts binary, target binary, ka binary, kb binary"
+_FIELDS = [f.split()[0] for f in _ROW.split(", ")]
 
-def _small(x: np.ndarray) -> bytes:
-    """Non-negative integers in as few bytes each as the largest needs, behind a byte that tells how many."""
-    most = int(x.max()) if len(x) else 0
-    size = next(k for k in (1, 2, 4, 8) if most < 1 << 8 * k)
-    return bytes([size]) + x.astype(f"<u{size}").tobytes()
 
+def _table(rows: list[dict]) -> list[pa.Array]:
+    return [pa.array([r.get(c) for r in rows], pa.int64() if c in ("place", "batch") else pa.binary()) for c in _FIELDS]
 
-def _read(x: pa.Scalar) -> np.ndarray:
-    raw = x.as_py()
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
+def _asked(rows: DataFrame, blocks: int) -> DataFrame:
+    """For each batch: its names and counts, in a row for each block that has any, and its tokens, in a row of its own place."""
 
-def _summed(keys: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """For each key the sum of times over all that are equal to it."""
-    _, which = np.unique(keys, return_inverse=True)
-    return np.bincount(which, times)[which]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label = TaskContext.get().partitionId() << 33
+        for k, (batch, ka, kb) in enumerate(_batches(batches)):
+            names, (every, wanted) = batch.names(), batch.told()
+            block = (names % U64(blocks)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            out = [{"place": -1 - (label + k), "batch": label + k, "words": batch.words.tobytes(), "tokens": batch.tokens.astype("<u4").tobytes(), "counts": _small(batch.counts), "target": batch.target.tobytes(), "ka": ka.tobytes(), "kb": kb.tobytes()}]
+            for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+                if len(own):
+                    out.append({"place": int(block[own[0]]), "batch": label + k, "names": names[own].tobytes(), "every": _small(every[own]), "wanted": _small(wanted[own])})
+            yield pa.RecordBatch.from_arrays(_table(out), names=_FIELDS)
 
+    return rows.select("_text", "ka", "kb", "_target").mapInArrow(run, _ROW)
 
-_BATCH = "block int, batch long, pairs binary, docs_of binary, doc binary, times binary, own_before binary, own_word binary, target binary, ka binary, kb binary"
 
+def _answered(asked: DataFrame) -> DataFrame:
+    """Rows of blocks with the sums in place of the counts; tokens pass through."""
 
-def _pair_blocks(rows: DataFrame, blocks: int) -> DataFrame:
-    """Bigrams of batches of documents by block; and each batch's table of documents, in one of its rows."""
+    def add(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        if rows[0]["place"] < 0:
+            return table
+        names = np.concatenate([np.frombuffer(r["names"], U64) for r in rows])
+        _, which = np.unique(names, return_inverse=True)
+        ends = np.cumsum([len(r["names"]) // 8 for r in rows])[:-1]
+        sums = [np.split(np.bincount(which, np.concatenate([_read(r[c]) for r in rows])).astype(np.int64)[which], ends) for c in ("every", "wanted")]
+        out = [{"place": r["place"], "batch": r["batch"], "every": _small(a), "wanted": _small(b)} for r, a, b in zip(rows, *sums)]
+        return pa.Table.from_arrays(_table(out), names=_FIELDS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        keys: list[tuple] = []
-        label = TaskContext.get().partitionId() << 33
+    return asked.groupBy("place").applyInArrow(add, _ROW)
 
-        def flush(label: int) -> pa.RecordBatch:
-            codes, times = np.unique(np.concatenate(held), return_counts=True)  # (pair, document)
-            ka, kb, target = (np.concatenate(x) for x in zip(*keys))
-            pair, doc = codes >> np.int64(20), codes & np.int64((1 << 20) - 1)
-            own_counts = [_summed(((part << 20) | doc), times) for part in (pair >> CLASS_BITS, pair & (CLASSES - 1))]
-            block = (mix(pair.view(U64)) % U64(blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            out: list[list] = [[] for _ in range(11)]
-            for k, own in enumerate(np.split(order, np.flatnonzero(np.diff(block[order])) + 1)):
-                first = np.flatnonzero(np.append(True, pair[own][1:] != pair[own][:-1]))
-                table = (ka.tobytes(), kb.tobytes()) if k == 0 else (b"", b"")
-                for x, v in zip(out, (int(block[own[0]]), label, _small(np.diff(pair[own][first], prepend=0)), _small(np.diff(np.append(first, len(own)))), _small(doc[own]), _small(times[own]), *(_small(c[own].astype(np.int64)) for c in own_counts), np.packbits(target[doc[own]]).tobytes(), *table)):
-                    x.append(v)
-            held.clear()
-            keys.clear()
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), *[pa.array(x, pa.binary()) for x in out[2:]]], names=["block", "batch", "pairs", "docs_of", "doc", "times", "own_before", "own_word", "target", "ka", "kb"])
-
-        tokens = docs = done = 0
-        for b in batches:
-            for words in scan(b.column(0), FOLDED_WORDS):
-                n = len(words.counts)
-                if not len(words.hashes):
-                    continue
-                if docs and (tokens + len(words.hashes) > BATCH or docs + n >= 1 << 20):
-                    yield flush(label + done)
-                    tokens = docs = 0
-                    done += 1
-                held.append((bigrams(words) << 20) | (words.docs() + docs))
-                keys.append(tuple(b.column(c).slice(words.first, n).to_numpy(zero_copy_only=False) for c in (1, 2, 3)))
-                tokens += len(words.hashes)
-                docs += n
-        if tokens:
-            yield flush(label + done)
-
-    return rows.select("_text", "ka", "kb", "_target").mapInArrow(run, _BATCH)
-
-
-def _losses(pairs: DataFrame, unigrams) -> DataFrame:
-    """For each batch and block: losses by document under both models, packed."""
 
-    def run(table: pa.Table) -> pa.Table:
-        counts = unigrams.value
-        totals = counts.sum(1)
-        cut = [(np.cumsum(_read(p)), _read(d), _read(t)) for p, d, t in zip(table.column("pairs"), table.column("docs_of"), table.column("times"))]
-        pair = np.concatenate([np.repeat(p, d) for p, d, _ in cut])
-        times = np.concatenate([t for _, _, t in cut]).astype(np.float32)
-        target = np.concatenate([np.unpackbits(np.frombuffer(g.as_py(), np.uint8))[: len(t)] for g, (_, _, t) in zip(table.column("target"), cut)])
-        own_before, own_word = (np.concatenate([_read(x) for x in table.column(c)]).astype(np.float32) for c in ("own_before", "own_word"))
-        distinct, which = np.unique(pair, return_inverse=True)
-        before, word = distinct >> CLASS_BITS, distinct & (CLASSES - 1)
-        loss = []
-        for k, member in enumerate((np.ones(len(times)), target)):
-            met = np.bincount(which, times * member, len(distinct))[which] - times * member
-            context = counts[k][before][which] - own_before * member
-            low = (counts[k][word][which] - own_word * member + 1) / (totals[k] - counts[k][0] + CLASSES)
-            loss.append(-np.log((met + MU * low) / (context + MU)) * times)
-        out: list[list] = [[], [], []]
-        at = 0
-        for r, (_, _, t) in enumerate(cut):
-            own = slice(at, at + len(t))
-            at += len(t)
-            docs, local = np.unique(_read(table.column("doc")[r]), return_inverse=True)
-            out[0].append(_small(docs))
-            for x, k in ((out[1], 0), (out[2], 1)):
-                x.append(np.bincount(local, loss[k][own], len(docs)).astype("<f4").tobytes())
-        return pa.table({"batch": table.column("batch"), "doc": pa.array(out[0], pa.binary()), "background": pa.array(out[1], pa.binary()), "target": pa.array(out[2], pa.binary()), "ka": table.column("ka"), "kb": table.column("kb")})
-
-    return pairs.groupBy("block").applyInArrow(run, "batch long, doc binary, background binary, target binary, ka binary, kb binary")
-
-
-def _by_document(losses: DataFrame) -> DataFrame:
-    """Sums over the blocks, batch by batch."""
+def _scored(answered: DataFrame, totals: Totals, blocks: int) -> DataFrame:
+    """Losses of each text, where a batch's tokens meet the answers to its names."""
 
     def run(table: pa.Table) -> pa.Table:
-        ka = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("ka")])
-        kb = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in table.column("kb")])
-        doc = np.concatenate([_read(x) for x in table.column("doc")])
-        sums = [np.bincount(doc, np.concatenate([np.frombuffer(x.as_py(), "<f4") for x in table.column(c)]), len(ka)) for c in ("target", "background")]
-        return pa.table({"ka": ka, "kb": kb, "target": sums[0], "background": sums[1]})
-
-    return losses.groupBy("batch").applyInArrow(run, "ka long, kb int, target double, background double")
+        rows = {r["place"]: r for r in table.to_pylist()}
+        own = rows.pop(min(rows))
+        counts = _read(own["counts"])
+        batch = Batch(np.frombuffer(own["words"], U64), np.frombuffer(own["tokens"], "<u4").astype(np.int64), counts, np.frombuffer(own["target"], bool))
+        block = (batch.names() % U64(blocks)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        sums = []
+        for c in ("every", "wanted"):
+            total = np.zeros(len(block), np.int64)
+            if len(order):
+                total[order] = np.concatenate([_read(rows[k][c]) for k in sorted(rows)])
+            sums.append(total)
+        background, target = batch.losses(sums, totals)
+        return pa.table({"ka": pa.array(np.frombuffer(own["ka"], np.int64)), "kb": pa.array(np.frombuffer(own["kb"], np.int32)), "n": pa.array(counts, pa.int64()), "target": pa.array(target, pa.float64()), "background": pa.array(background, pa.float64())})
+
+    return answered.groupBy("batch").applyInArrow(run, "ka long, kb int, n long, target double, background double")
 
 
 def score(df: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,7 +209,8 @@ def score(df: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: st
 
     wanted: the ids of the target's documents (a column named as id_col; repeats and nulls are harmless). Without
     any, the target model knows nothing but the smoothing. Null and empty texts have no tokens: their losses and
-    score are null. Repeated rows count as often as they come and score alike. An empty table gives no rows.
+    score are null. Repeated rows count as often as they come and score alike. An empty table gives no rows; other
+    columns are ignored.
     """
     ids = wanted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().withColumn("_target", F.lit(True))
     ids = materialise(ids)
@@ -214,52 +220,44 @@ def score(df: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: st
     rows = rows.join(F.broadcast(ids) if few else ids, "_id", "left").withColumn("_target", F.coalesce("_target", F.lit(False)))
     if not few:
         rows = materialise(rows)  # else both readings would shuffle the texts
-    counted, unigrams = _class_counts(rows)
-    # class 0 has no tokens; as a context it comes once in each text that has words
-    begun = counted.where("n > 0").agg(F.count(F.lit(1)), F.count(F.when(F.col("wanted"), 1))).first()
-    unigrams[:, 0] = [begun[0], begun[1]]
-    blocks = max(16, int(unigrams[0].sum()) // BLOCK + 1)
-    shared = rows.sparkSession.sparkContext.broadcast(unigrams)
-    sums = _by_document(_losses(_pair_blocks(rows, blocks), shared)).groupBy("ka", "kb").agg(F.max("target").alias("t"), F.max("background").alias("b"))
-    n = counted.groupBy("ka", "kb").agg(F.max("n").alias("n"))
-    scored = n.join(sums, ["ka", "kb"], "left")
+    totals = _totals(rows)
+    blocks = max(16, totals.tokens[0] // BLOCK + 1)
+    sums = _scored(_answered(_asked(rows, blocks)), totals, blocks)
+    scored = sums.groupBy("ka", "kb").agg(F.max("n").alias("n"), F.max("target").alias("t"), F.max("background").alias("b"))
     mean = {"target_loss": F.col("t") / F.col("n"), "background_loss": F.col("b") / F.col("n")}
     out = keyed.join(scored, ["ka", "kb"], "left").select(F.col("_id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_tokens"), *[F.when(F.col("n") > 0, v).alias(k) for k, v in mean.items()])
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def plain_scores(docs: list[tuple], wanted: set) -> dict:
-    """The same scores from plain counts, for tests: id -> (n, target_loss, background_loss)."""
-    texts = {}
-    for key, text in docs:
-        column = pa.array([text or ""], pa.string())
-        cls = [c for w in scan(column, FOLDED_WORDS) for c in word_classes(w).tolist()]
-        assert len(cls) == len(plain_words(text, FOLDED_WORDS))
-        texts[key] = cls
+    """The same scores from plain counts of words, for tests: id -> (n, target_loss, background_loss)."""
+    texts = {key: plain_words(text, FOLDED_WORDS) for key, text in docs}
+    vocabulary = len({w for own in texts.values() for w in own})
     models = []
     for members in (wanted & set(texts), set(texts)):
         uni: dict = {}
         two: dict = {}
         for key in members:
-            before = 0
-            for c in texts[key]:
-                uni[c] = uni.get(c, 0) + 1
-                two[before, c] = two.get((before, c), 0) + 1
-                before = c
+            before = None
+            for w in texts[key]:
+                uni[w] = uni.get(w, 0) + 1
+                two[before, w] = two.get((before, w), 0) + 1
+                before = w
         models.append((uni, two, sum(uni.values()), sum(1 for k in members if texts[k])))
     out = {}
-    for key, cls in texts.items():
+    for key, own in texts.items():
         losses = []
+        pairs = list(zip([None, *own[:-1]], own))
+        times: dict = {}
+        for p in pairs:
+            times[p] = times.get(p, 0) + 1
+        words = {w: own.count(w) for w in set(own)}
         for (uni, two, total, starts), member in zip(models, (key in wanted, True)):
-            before, loss = 0, 0.0
-            pairs = list(zip([0, *cls[:-1]], cls))
-            for c in cls:
-                low = (uni.get(c, 0) - cls.count(c) * member + 1) / (total + CLASSES)
-                context = uni.get(before, 0) - cls.count(before) * member if before else starts - member
-                if before == cls[-1]:  # a last word precedes nothing, in the own counts alone
-                    context += member
-                loss -= np.log((two.get((before, c), 0) - pairs.count((before, c)) * member + MU * low) / (context + MU))
-                before = c
-            losses.append(loss / len(cls) if cls else None)
-        out[key] = (len(cls), *losses)
+            loss = 0.0
+            for before, w in pairs:
+                low = (uni.get(w, 0) - words[w] * member + 1) / (total + vocabulary)
+                context = uni.get(before, 0) - (words[before] - (before == own[-1])) * member if before is not None else starts - member
+                loss -= np.log((two.get((before, w), 0) - times[before, w] * member + MU * low) / (context + MU))
+            losses.append(loss / len(own) if own else None)
+        out[key] = (len(own), *losses)
     return out
