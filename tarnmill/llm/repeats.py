@@ -7,11 +7,12 @@ worker names alike without asking. A symbol keeps the range of words on which it
 that range of words occurs again, the symbol does.
 
 1. All symbols are counted across the corpus, in blocks of names. A window of words that occurs twice holds
-   repeated symbols only. Which names repeat is told to all by a table of bits of fixed size (a full table would
-   cost candidates, never results).
-2. Windows that hold no symbol of which there is but one are the candidates. They are compared across the corpus
-   by hashes of their words, in blocks of a key that neighbouring windows mostly share: the least name of the
-   symbols near their starts. Those met twice are repeats.
+   repeated symbols only. Which names repeat is told to all by a table of bits, sized by the corpus up to a bound
+   (a full table would cost candidates, never results); a small second table tells which are very common.
+2. Windows that hold no symbol of which there is but one are the candidates. They go, as text, to blocks of a key
+   that neighbouring windows mostly share: the least name of the symbols near their starts, or the hash of the
+   window itself where that name is very common. There those of equal hashes are compared byte by byte: those met
+   twice are repeats.
 3. Each text, joined with its repeated windows, loses the words that they cover.
 """
 
@@ -29,15 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnmill.llm.wordscan import PLAIN_WORDS, U64, Words, mix, plain_words, rolled, scan
+from tarnmill.llm.wordscan import LEADING, PLAIN_WORDS, U64, Words, mix, plain_words, rolled, scan
 
 WINDOW = 35
 #: Rounds of pairing: symbols of about 5 words, which depend on about 15.
 ROUNDS = 6
-#: Bits of the table of repeated names (16 MB).
-BITS = 27
+#: Least and most bits of the table of repeated names, as powers of two (128 MB at most), and bits of that of common ones.
+BITS, COMMON_BITS = (20, 30), 20
 #: Names or windows of a block, and of a mapper's batch.
-BLOCK, BATCH = 2_000_000, 1_000_000
+BLOCK, BATCH = 1_000_000, 500_000
+#: Occurrences from which on a name is very common: its windows would fill a good part of a block.
+COMMON = BLOCK // (4 * WINDOW)
 _FAR = 1 << 40
 _SEEDS = [U64(0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64)) for k in range(32)]
 
@@ -91,8 +94,17 @@ def recompress(words: Words, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarr
     return name, low, high
 
 
-def _bit(name: np.ndarray) -> np.ndarray:
-    return (mix(name ^ _SEEDS[31]) >> U64(64 - BITS)).astype(np.int64)
+def table_bits(size: int) -> int:
+    """Bits for texts of so many bytes: eight for each symbol that they may hold (one in about 30 bytes), within bounds."""
+    return min(max(int(np.ceil(np.log2(max(size, 1) / 30 * 8))), BITS[0]), BITS[1])
+
+
+def _bit(name: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(name ^ _SEEDS[31]) >> U64(64 - bits)).astype(np.int64)
+
+
+def _set(table: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (table[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
 
 
 def candidates(words: Words, repeated: np.ndarray, window: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,14 +113,14 @@ def candidates(words: Words, repeated: np.ndarray, window: int, rounds: int) ->
     The key is the least name among the symbols near the window's start (all bits set if there is none): equal windows have
     equal keys, and neighbouring windows mostly share theirs. repeated: the table, packed.
     """
+    bits = int(np.log2(8 * len(repeated)))
     n = len(words.hashes)
     if n < window:
         return np.zeros(0, np.int64), np.zeros(0, U64)
     name, low, high = recompress(words, rounds)
     used = (high - low <= window) & (low >= 0)
     name, low, high = name[used], low[used], high[used]
-    bit = _bit(name)
-    lone = (repeated[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 0
+    lone = ~_set(repeated, _bit(name, bits))
     edge = np.zeros(n + 2, np.int64)
     np.add.at(edge, np.maximum(high[lone] - window, 0), 1)
     np.add.at(edge, low[lone] + 1, -1)
@@ -131,22 +143,22 @@ def candidates(words: Words, repeated: np.ndarray, window: int, rounds: int) ->
     return start, least[start]
 
 
-def _name_blocks(rows: DataFrame, slices: int, window: int, rounds: int) -> DataFrame:
-    """Names by block (a slice of the table of bits); each name once per batch, and whether it was met again."""
+def _name_blocks(rows: DataFrame, slices: int, bits: int, window: int, rounds: int) -> DataFrame:
+    """Names by block (a slice of the table of bits); each name once per batch, and how often it was met (255 at most)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
             names, counts = np.unique(np.concatenate(held), return_counts=True)
-            block = _bit(names) // ((1 << BITS) // slices)
+            block = _bit(names, bits) // ((1 << bits) // slices)
             order = np.argsort(block, kind="stable")
             out: tuple[list, list, list] = ([], [], [])
             for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-                for x, v in zip(out, (int(block[own[0]]), names[own].tobytes(), np.packbits(counts[own] > 1).tobytes())):
+                for x, v in zip(out, (int(block[own[0]]), names[own].tobytes(), np.minimum(counts[own], 255).astype("u1").tobytes())):
                     x.append(v)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["block", "names", "again"])
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["block", "names", "times"])
 
         amount = 0
         for b in batches:
@@ -161,32 +173,31 @@ def _name_blocks(rows: DataFrame, slices: int, window: int, rounds: int) -> Data
         if amount:
             yield flush()
 
-    return rows.select("_text").mapInArrow(run, "block int, names binary, again binary")
+    return rows.select("_text").mapInArrow(run, "block int, names binary, times binary")
 
 
-def repeated_names(rows: DataFrame, blocks: int, window: int = WINDOW, rounds: int = ROUNDS) -> np.ndarray:
-    """The table of bits: 1 for each name met twice or more (packed; 2**BITS bits in all, whatever the input)."""
-    slices = 1
-    while slices < min(blocks, 1 << 16):
+def repeated_names(rows: DataFrame, size: int, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """The tables of bits, packed: names met twice or more, by name; very common ones, by the key that they make."""
+    bits, slices = table_bits(size), 16
+    while slices < min(size // (30 * BLOCK), 1 << bits - 3):
         slices *= 2
-    width = (1 << BITS) // slices
+    width = (1 << bits) // slices
 
     def count(table: pa.Table) -> pa.Table:
         names = np.concatenate([np.frombuffer(x.as_py(), U64) for x in table.column("names")])
-        again = np.concatenate([np.unpackbits(np.frombuffer(a.as_py(), np.uint8))[: len(x.as_py()) // 8] for a, x in zip(table.column("again"), table.column("names"))])
-        order = np.argsort(names)
-        names, again = names[order], again[order] > 0
-        same = names[1:] == names[:-1]
-        again[1:] |= same
-        again[:-1] |= same
-        bits = np.zeros(width, np.uint8)
-        bits[_bit(names[again]) % width] = 1
-        return pa.table({"block": table.column("block")[:1], "bits": pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())})
-
-    out = np.zeros((slices, width // 8), np.uint8)
-    for block, bits in _name_blocks(rows, slices, window, rounds).groupBy("block").applyInArrow(count, "block int, bits binary").toLocalIterator():
-        out[block] = np.frombuffer(zlib.decompress(bits), np.uint8)
-    return out.ravel()
+        times = np.concatenate([np.frombuffer(x.as_py(), "u1") for x in table.column("times")])
+        names, which = np.unique(names, return_inverse=True)
+        times = np.bincount(which, times)
+        found = np.zeros(width, np.uint8)
+        found[_bit(names[times > 1], bits) % width] = 1
+        common = np.unique(mix(names[times >= COMMON]) >> U64(64 - COMMON_BITS)).astype("<u4")
+        return pa.table({"block": table.column("block")[:1], "bits": pa.array([zlib.compress(np.packbits(found).tobytes(), 1)], pa.binary()), "common": pa.array([common.tobytes()], pa.binary())})
+
+    out, common = np.zeros((slices, width // 8), np.uint8), np.zeros(1 << COMMON_BITS, np.uint8)
+    for block, found, many in _name_blocks(rows, slices, bits, window, rounds).groupBy("block").applyInArrow(count, "block int, bits binary, common binary").toLocalIterator():
+        out[block] = np.frombuffer(zlib.decompress(found), np.uint8)
+        common[np.frombuffer(many, "<u4")] = 1
+    return out.ravel(), np.packbits(common)
 
 
 def _ranges(owner: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
@@ -201,15 +212,44 @@ def _ranges(owner: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[byte
     return owner[head][first], [p.tobytes() for p in np.split(pairs, first[1:])]
 
 
-_BLOCK = "block int, batch long, h binary, at binary, doc binary, again binary, ka binary, kb binary, known_doc binary, known array<binary>"
+def differing(data: np.ndarray, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether the bytes at a and at b differ, pair by pair: eight at a time, all pairs together."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out = size_a != size_b
+    some, at = np.flatnonzero(~out), 0
+    while len(some):
+        x = lanes[a[some] + at] ^ lanes[b[some] + at]
+        out[some] = (x & LEADING[np.minimum(size_a[some] - at, 8)]) != 0
+        at += 8
+        some = some[~out[some] & (size_a[some] > at)]
+    return out
+
 
+def _spelled(words: Words, cover: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The covered words as bytes, a space after each; and for each word of the texts where it begins and ends there."""
+    k = np.flatnonzero(cover)
+    size = words.ends[k] - words.starts[k]
+    first = np.cumsum(size + 1) - size - 1
+    out = np.full(int((size + 1).sum()), 0x20, np.uint8)
+    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(first, size) + step] = words.data[np.repeat(words.starts[k], size) + step]
+    begin, end = np.zeros(len(cover), np.int64), np.zeros(len(cover), np.int64)
+    begin[k], end[k] = first, first + size
+    return out, begin, end
 
-def _window_blocks(rows: DataFrame, table, blocks: int, window: int, rounds: int) -> DataFrame:
-    """Candidate windows by block. What repeats within a batch is known at once, and goes on once with a mark.
 
-    One row of each batch, whichever comes first, carries its table of documents and what is known of them.
+_BLOCK = "block int, batch long, at binary, n binary, doc binary, runs binary, again binary, ka binary, kb binary, known_doc binary, known array<binary>"
+
+
+def _window_blocks(rows: DataFrame, table, common, blocks: int, window: int, rounds: int) -> DataFrame:
+    """Candidate windows by block, as runs of windows that follow one another, with their words.
+
+    What repeats within a batch is known at once, and goes on once with a mark. One row of each batch, whichever
+    comes first, carries its table of documents and what is known of them.
     """
-    names = ["block", "batch", "h", "at", "doc", "again", "ka", "kb", "known_doc", "known"]
+    names = [f.split()[0] for f in _BLOCK.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
@@ -218,25 +258,34 @@ def _window_blocks(rows: DataFrame, table, blocks: int, window: int, rounds: int
         label = TaskContext.get().partitionId() << 33
 
         def flush(label: int) -> pa.RecordBatch:
-            h, key, at, doc = (np.concatenate(x) for x in zip(*held))
+            h, key, at, doc, begin, size, text = zip(*held)
+            base = np.cumsum([0, *map(len, text)])
+            begin = np.concatenate([x + y for x, y in zip(begin, base)])
+            h, key, at, doc, size, text = (np.concatenate(x) for x in (h, key, at, doc, size, text))
             ka, kb = (np.concatenate(x) for x in zip(*keys))
             order = np.lexsort((key, h))
-            h, key, at, doc = h[order], key[order], at[order], doc[order]
+            h, key, at, doc, begin, size = (x[order] for x in (h, key, at, doc, begin, size))
             same = (h[1:] == h[:-1]) & (key[1:] == key[:-1])
+            pair = np.flatnonzero(same)
+            same[pair] = ~differing(text, begin[pair], begin[pair + 1], size[pair], size[pair + 1])
             again = np.append(same, False) | np.append(False, same)
             first = np.append(True, ~same)
             who, known = _ranges(doc[again], at[again])
-            h, key, at, doc, again = h[first], key[first], at[first], doc[first], again[first]
+            key, at, doc, begin, size, again = (x[first] for x in (key, at, doc, begin, size, again))
             block = (mix(key) % U64(blocks)).astype(np.int64)
             order = np.lexsort((at, doc, block))
             out: list[list] = [[] for _ in names]
             for k, own in enumerate(np.split(order, np.flatnonzero(np.diff(block[order])) + 1)):
+                head = np.flatnonzero(np.append(True, (doc[own][1:] != doc[own][:-1]) | (at[own][1:] != at[own][:-1] + 1)))
+                tail = np.append(head[1:], len(own)) - 1
+                runs = b"\n".join(text[x:y].tobytes() for x, y in zip(begin[own[head]].tolist(), (begin[own[tail]] + size[own[tail]]).tolist()))
                 rest = (ka.tobytes(), kb.tobytes(), who.astype("<u4").tobytes(), known) if k == 0 else (b"", b"", b"", [])
-                for x, v in zip(out, (int(block[own[0]]), label, h[own].tobytes(), at[own].astype("<u4").tobytes(), doc[own].astype("<u4").tobytes(), np.packbits(again[own]).tobytes(), *rest)):
+                values = (int(block[own[0]]), label, at[own[head]].astype("<u4").tobytes(), (tail - head + 1).astype("<u4").tobytes(), doc[own[head]].astype("<u4").tobytes(), runs, np.packbits(again[own]).tobytes(), *rest)
+                for x, v in zip(out, values):
                     x.append(v)
             held.clear()
             keys.clear()
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), *[pa.array(x, pa.binary()) for x in out[2:9]], pa.array(out[9], pa.list_(pa.binary()))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), *[pa.array(x, pa.binary()) for x in out[2:10]], pa.array(out[10], pa.list_(pa.binary()))], names=names)
 
         amount = docs = done = 0
         for b in batches:
@@ -247,7 +296,9 @@ def _window_blocks(rows: DataFrame, table, blocks: int, window: int, rounds: int
                 doc = words.docs()[start]
                 met, local = np.unique(doc, return_inverse=True)  # texts without candidates need no place
                 h = rolled(words.hashes, window)[start]
-                held.append((h, np.where(key == ~U64(0), h, key), start - words.offsets[doc], local + docs))
+                alone = (key == ~U64(0)) | _set(common.value, (key >> U64(64 - COMMON_BITS)).astype(np.int64))
+                text, begin, end = _spelled(words, covered(len(words.hashes), [_as_ranges(start)], window))
+                held.append((h, np.where(alone, h, key), start - words.offsets[doc], local + docs, begin[start], end[start + window - 1] - begin[start], text))
                 keys.append(tuple(b.column(c).slice(words.first, len(words.counts)).to_numpy(zero_copy_only=False)[met] for c in (1, 2)))
                 docs += len(met)
                 amount += len(start)
@@ -261,25 +312,65 @@ def _window_blocks(rows: DataFrame, table, blocks: int, window: int, rounds: int
     return rows.select("_text", "ka", "kb").mapInArrow(run, _BLOCK)
 
 
+def _as_ranges(start: np.ndarray) -> bytes:
+    """Ascending starts as packed ranges (first, number)."""
+    return _ranges(np.zeros(len(start), np.int64), start)[1][0]
+
+
+def _equal_windows(runs: list[bytes], n: np.ndarray, window: int) -> np.ndarray:
+    """The class of each window of the runs (n[k] windows in run k): equal classes are equal words, byte by byte."""
+    h, begin, end = [], [], []
+    column = pa.array(runs, pa.large_binary())
+    base = 0
+    for words in scan(column, PLAIN_WORDS):
+        docs = len(words.counts)
+        own = n[words.first : words.first + docs]
+        at = np.repeat(words.offsets[:-1], own) + np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+        h.append(rolled(words.hashes, window)[at])
+        begin.append(words.starts[at] + base)
+        end.append(words.ends[at + window - 1] + base)
+        base += len(words.data)
+    h, begin, end = (np.concatenate(x) for x in (h, begin, end))
+    data = np.frombuffer(b"".join(runs), np.uint8)
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    pair = np.flatnonzero(same)
+    a, b = order[pair], order[pair + 1]
+    wrong = pair[differing(data, begin[a], begin[b], (end - begin)[a], (end - begin)[b])]
+    group = np.cumsum(np.append(True, ~same)) - 1
+    total = int(group[-1]) + 1 if len(group) else 0
+    out = np.empty(len(h), np.int64)
+    by_hash = group.copy()
+    for g in np.unique(by_hash[wrong]).tolist():  # unequal words under one hash: classes by the words themselves
+        named: dict[bytes, int] = {}
+        for k in range(*np.searchsorted(by_hash, [g, g + 1]).tolist()):
+            group[k] = named.setdefault(data[begin[order[k]] : end[order[k]]].tobytes(), g if not named else total + len(named))
+        total += len(named) + 1
+    out[order] = group
+    return out
+
+
 _FOUND = "batch long, doc binary, sizes binary, ranges binary, ka binary, kb binary"
 
 
-def _repeated_windows(blocks: DataFrame) -> DataFrame:
+def _repeated_windows(blocks: DataFrame, window: int) -> DataFrame:
     """ka, kb, starts (packed ranges) of the windows that are met twice: block by block, then batch by batch."""
 
     def packed(who: np.ndarray, ranges: list[bytes]) -> tuple[bytes, bytes, bytes]:
         return who.astype("<u4").tobytes(), np.array([len(r) for r in ranges], "<u4").tobytes(), b"".join(ranges)
 
     def count(table: pa.Table) -> pa.Table:
-        n = [len(x.as_py()) // 8 for x in table.column("h")]
-        h, at, doc = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(c)]) for c, kind in (("h", U64), ("at", "<u4"), ("doc", "<u4")))
+        head, each, owner = ([np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in table.column(c)] for c in ("at", "n", "doc"))
+        n = [int(x.sum()) for x in each]
+        runs = [r for x in table.column("runs") for r in x.as_py().split(b"\n")]
+        each, head, owner = (np.concatenate(x) for x in (each, head, owner))
+        doc = np.repeat(owner, each)
+        at = np.repeat(head, each) + np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
         again = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8))[:k] for x, k in zip(table.column("again"), n)]) > 0
         row = np.repeat(np.arange(len(n)), n)
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
+        group = _equal_windows(runs, each, window)
         # a mark stands for a window that its own batch has already reported: only news for others
-        hit = order[np.append(same, False) | np.append(False, same)]
-        own = np.sort(hit[~again[hit]])
+        own = np.flatnonzero((np.bincount(group)[group] > 1) & ~again)
         out: list[tuple] = []
         for k, mine in enumerate(np.split(own, np.searchsorted(row[own], np.arange(1, len(n))))):
             who, ranges = _ranges(doc[mine].astype(np.int64), at[mine].astype(np.int64))
@@ -315,8 +406,8 @@ def _with_repeats(df: DataFrame, id_col: str, text_col: str, window: int, rounds
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(id_col, text_col).alias("ka"), F.hash(id_col, text_col).alias("kb"))
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     blocks = max(16, int(size) // (6 * BLOCK) + 1)  # about 6 bytes a word
-    table = rows.sparkSession.sparkContext.broadcast(repeated_names(rows, blocks, window, rounds))
-    met = _repeated_windows(_window_blocks(rows, table, blocks, window, rounds))
+    table, common = (rows.sparkSession.sparkContext.broadcast(x) for x in repeated_names(rows, int(size), window, rounds))
+    met = _repeated_windows(_window_blocks(rows, table, common, blocks, window, rounds), window)
     starts = met.groupBy("ka", "kb").agg(F.collect_set("starts").alias("_starts"))  # equal for repeated rows, so they stay few
     return rows.join(starts, ["ka", "kb"], "left")
 

@@ -36,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 #: Masks of the first k bytes of eight, little-endian.
-_LEADING = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+LEADING = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -46,12 +46,12 @@ def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int =
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = data
     lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # eight bytes from each place on
-    out = mix(out ^ (lanes[starts] & _LEADING[np.minimum(length, 8)]))
+    out = mix(out ^ (lanes[starts] & LEADING[np.minimum(length, 8)]))
     some = np.flatnonzero(length > 8)
     for at in range(8, LONG, 8):
         if not len(some):
             break
-        out[some] = mix(out[some] ^ (lanes[starts[some] + at] & _LEADING[np.minimum(length[some] - at, 8)]))
+        out[some] = mix(out[some] ^ (lanes[starts[some] + at] & LEADING[np.minimum(length[some] - at, 8)]))
         some = some[length[some] > at + 8]
     for k in np.flatnonzero(length > LONG).tolist():
         digest = hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
@@ -124,7 +124,7 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; nulls are empty."""
     if column.null_count:
         column = column.fill_null("")
-    wide = pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, at, data = column.buffers()
     offsets = np.frombuffer(at, np.int64 if wide else np.int32, len(column) + 1, column.offset * (8 if wide else 4)).astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
