@@ -174,11 +174,12 @@ def held_out(id_col: str):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAINING_ROWS) -> Trees:
     """Fit on the statistics of at most `rows` labelled documents that are not held out.
 
-    The bound is on labels alone: scoring covers every text. Null labels and labels without a document teach
-    nothing; without two kinds of labels every score is the share of ones (one half without labels).
+    The bound is on labels alone: scoring covers every text. A document counts once: of several labels of an id the
+    smallest, of several texts under it one. Null labels and labels without a document teach nothing; without two
+    kinds of labels every score is the share of ones (one half without labels).
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).distinct()
-    chosen = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(rows)
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.min(F.col(label_col).cast("double")).alias("_y"))
+    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_y", "_text")  # at most `rows` rows of 16 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float32()))], names=["_id", "_y", "_x"])
 
     schema = T.StructType([T.StructField("_id", joined.schema["_id"].dataType), T.StructField("_y", T.DoubleType()), T.StructField("_x", T.ArrayType(T.FloatType()))])
-    got = joined.mapInArrow(run, schema).orderBy("_id", "_y", "_x").limit(2 * rows).toArrow()
+    # one row for each chosen label, however often documents repeat its id
+    got = joined.mapInArrow(run, schema).groupBy("_id", "_y").agg(F.min("_x").alias("_x")).orderBy("_id").toArrow()
     if not got.num_rows:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     x = got.column("_x").combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1).astype(float)
@@ -220,6 +222,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """docs' rows that are not rejected."""
+    """docs' rows, all columns, whose score reaches the threshold.
+
+    Texts alone decide: null and empty texts are scored like others, null ids and repeated rows too. An empty
+    table gives no rows; columns may have any names.
+    """
     score = fresh(docs, "_score")
     return with_score(docs, train(docs, labels, id_col, text_col, label_col), text_col, score).where(F.col(score) >= threshold).drop(score)

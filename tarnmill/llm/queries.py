@@ -57,8 +57,10 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(_table(spark, sf_dir, "documents"), wanted)
 
 
-#: The documents as a tree of files: source / language / file; short ones are the licence files.
-FILE_PATH = "concat_ws('/', source, lang, if(length(text) <= 400, concat('LICENSE.', doc_id), concat(doc_id, '.txt')))"
+#: The documents as a tree of files, in the terms of both engines: every third is a licence file, at one of four levels.
+_TREE = ["source", "lang", "'m' || doc_id % 16", "'s' || doc_id % 5"]
+FILE_PATH = f"""CASE WHEN doc_id % 3 = 0 THEN CASE doc_id % 4 WHEN 0 THEN concat_ws('/', {_TREE[0]}, 'LICENSE.' || doc_id) WHEN 1 THEN concat_ws('/', {', '.join(_TREE[:2])}, 'LICENSE.' || doc_id)
+  WHEN 2 THEN concat_ws('/', {', '.join(_TREE[:3])}, 'LICENSE.' || doc_id) ELSE concat_ws('/', {', '.join(_TREE)}, 'LICENSE.' || doc_id) END ELSE concat_ws('/', {', '.join(_TREE)}, doc_id || '.txt') END"""
 
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,19 +93,29 @@ def _escaped_length(x: str) -> str:
 
 
 def _licence_sql() -> str:
-    """Every line against every template, without a first look."""
-    w = licenses.Weights(licenses.TEMPLATES)
-    idf = ", ".join(f"('{t}', {v!r}::DOUBLE)" for t, v in sorted(w.idf.items()))
-    weights = ", ".join(f"({k}, '{w.names[k]}', '{t}', {v * w.idf[t]!r}::DOUBLE)" for k, vector in enumerate(w.vectors) for t, v in sorted(vector.items()))
-    return rf"""WITH idf(term, idf) AS (VALUES {idf}), weights(template, license, term, weight) AS (VALUES {weights}),
-      files AS (SELECT doc_id, text, concat_ws('/', source, lang, CASE WHEN length(text) <= 400 THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END) AS path, concat_ws('/', source, lang) AS folder, source FROM documents),
-      held AS (SELECT DISTINCT doc_id, path, folder, line FROM (SELECT *, unnest(string_split(text, chr(10))) AS line FROM files)),
-      terms AS (SELECT line, term, count(*) AS tf FROM (SELECT line, unnest(regexp_extract_all(lower(line), '[a-z0-9]+(?:[.][0-9]+)*')) AS term FROM (SELECT DISTINCT line FROM held)) GROUP BY ALL),
-      norms AS (SELECT line, sqrt(sum((tf * coalesce(idf, {w.other!r}::DOUBLE)) * (tf * coalesce(idf, {w.other!r}::DOUBLE)))) AS norm FROM terms LEFT JOIN idf USING (term) GROUP BY line),
-      scored AS (SELECT line, template, license, round(sum(tf * weight) / norm, 6) AS score FROM terms JOIN weights USING (term) JOIN norms USING (line) GROUP BY line, template, license, norm),
-      own AS (SELECT doc_id, path, folder, license AS own_license, score AS own_score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, template) AS rn FROM held JOIN scored USING (line) WHERE score >= {licenses.THRESHOLD}) WHERE rn = 1),
-      declared AS (SELECT folder AS folder_at, arg_min(own_license, path) AS declared FROM own WHERE regexp_matches(path, '{licenses.LICENSE_FILE}') GROUP BY folder)
-      SELECT f.doc_id, f.path, own_license, own_score, coalesce(own_license, declared) AS license, CASE WHEN own_license IS NULL THEN folder_at END AS inherited_from FROM files f LEFT JOIN own USING (doc_id) LEFT JOIN declared ON folder_at = f.folder"""
+    """Weights from the templates' texts; every line, sentence and run of terms against every template, without a first look."""
+    texts = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(licenses.TEMPLATES))
+    common = ", ".join(f"'{t}'" for t in sorted(licenses.COMMON))
+    quoted = licenses.SENTENCE.replace("'", "''")
+    terms = f"list_filter(regexp_extract_all(lower({{}}), '{licenses.TERM}'), lambda t: NOT list_contains([{common}], t))"
+    return rf"""WITH templates(template, license, text) AS (VALUES {texts}),
+      tterms AS (SELECT template, term, count(*) AS tf FROM (SELECT template, unnest({terms.format('text')}) AS term FROM templates) GROUP BY ALL),
+      idf AS (SELECT term, ln((1 + (SELECT count(*) FROM templates)) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM tterms GROUP BY term), rare AS (SELECT ln(1.0::DOUBLE + count(*)) + 1 AS other FROM templates),
+      tnorms AS (SELECT template, sqrt(sum(tf * idf * tf * idf)) AS norm, sum(tf) AS size FROM tterms JOIN idf USING (term) GROUP BY template),
+      weights AS (SELECT template, term, tf * idf / norm * idf AS weight, size FROM tterms JOIN idf USING (term) JOIN tnorms USING (template)),
+      files AS (SELECT doc_id, text, {FILE_PATH} AS path FROM documents),
+      held AS MATERIALIZED (SELECT DISTINCT doc_id, unit FROM (SELECT doc_id, unnest(string_split(text, chr(10)) || string_split(regexp_replace(regexp_replace(text, '{quoted}', '' || chr(30) || '', 'g'), '{licenses.PARAGRAPH}', chr(30), 'g'), chr(30))) AS unit FROM files)),
+      units AS MATERIALIZED (SELECT unit, terms FROM (SELECT unit, {terms.format('unit')} AS terms FROM (SELECT DISTINCT unit FROM held)) WHERE list_has_any(terms, (SELECT list(term) FROM idf))),
+      runs AS (SELECT unit, size, list_slice(terms, p, p + size - 1) AS run FROM (SELECT unit, terms, size, unnest(range(1, len(terms) - size + 2)) AS p FROM units, (SELECT DISTINCT size::BIGINT AS size FROM tnorms) WHERE len(terms) > size)),
+      tried AS MATERIALIZED (SELECT row_number() OVER () AS k, * FROM (SELECT unit, NULL::BIGINT AS size, terms AS run FROM units UNION ALL SELECT unit, size, run FROM runs WHERE list_has_any(run, (SELECT list(term) FROM idf)))),
+      counted AS (SELECT k, size, term, count(*) AS tf FROM (SELECT k, size, unnest(run) AS term FROM tried) GROUP BY ALL),
+      norms AS (SELECT k, sqrt(sum(tf * coalesce(idf, other) * tf * coalesce(idf, other))) AS norm FROM counted LEFT JOIN idf USING (term), rare GROUP BY k),
+      dots AS (SELECT k, template, sum(tf * weight) AS dot FROM counted c JOIN weights w ON c.term = w.term AND (c.size IS NULL OR c.size = w.size) GROUP BY ALL HAVING count(*) > 1),
+      scored AS (SELECT unit, template, max(score) AS score FROM (SELECT unit, template, round(dot / norm, 6) AS score FROM dots JOIN norms USING (k) JOIN tried USING (k)) WHERE score >= {licenses.THRESHOLD} GROUP BY ALL),
+      own AS MATERIALIZED (SELECT doc_id, license AS own_license, score AS own_score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, template) AS rn FROM held JOIN scored USING (unit) JOIN templates USING (template)) WHERE rn = 1),
+      declared AS MATERIALIZED (SELECT spot, arg_min(own_license, path) AS declared FROM (SELECT path, own_license, regexp_replace(path, '/[^/]*$', '') AS spot FROM files JOIN own USING (doc_id) WHERE regexp_matches(path, '{licenses.LICENSE_FILE}')) GROUP BY spot),
+      nearest AS (SELECT doc_id, arg_max(spot, length(spot)) AS spot, arg_max(declared, length(spot)) AS declared FROM files JOIN declared ON starts_with(path, spot || '/') GROUP BY doc_id)
+      SELECT f.doc_id, f.path, own_license, own_score, coalesce(own_license, declared) AS license, CASE WHEN own_license IS NULL THEN spot END AS inherited_from FROM files f LEFT JOIN own USING (doc_id) LEFT JOIN nearest USING (doc_id)"""
 
 
 _SHINGLES = f"""words AS (SELECT doc_id, regexp_extract_all({_FOLD}, '{_SPACED}') AS w FROM documents),

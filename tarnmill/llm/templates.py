@@ -86,7 +86,24 @@ _LEX = re.compile(r"\s*(?:(?P<number>\d+(?:\.\d+)?)|(?P<string>'(?:\\.|[^'\\])*'
 _TAGS = re.compile(r"(\{\{.*?\}\}|\{%.*?%\}|\{#.*?#\})", re.S)
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 _COMPARE = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
-_ARITHMETIC = {"+": operator.add, "-": operator.sub, "*": operator.mul, "%": operator.mod}
+
+
+def _numbers(function: Callable) -> Callable:
+    """Arithmetic of numbers alone: texts are neither repeated nor formatted, so a template cannot grow what it is given."""
+
+    def of(a: Any, b: Any) -> Any:
+        if not all(isinstance(x, (int, float)) and abs(x) < 1 << 64 for x in (a, b)):
+            raise TemplateError("arithmetic takes numbers of at most 64 bits")
+        return function(a, b)
+
+    return of
+
+
+def _plus(a: Any, b: Any) -> Any:
+    return a + b if isinstance(a, str) and isinstance(b, str) else _numbers(operator.add)(a, b)
+
+
+_ARITHMETIC = {"+": _plus, "-": _numbers(operator.sub), "*": _numbers(operator.mul), "%": _numbers(operator.mod)}
 _WORDS = {"true": True, "false": False, "none": None, "True": True, "False": False, "None": None}
 
 
