@@ -23,7 +23,7 @@ THRESHOLD = 0.3
 
 _CLASSES = {
     "lower": [(97, 122)], "upper": [(65, 90)], "digit": [(48, 57)], "space": [(32, 32), (9, 9)], "line": [(10, 10)], "stop": [(46, 46)], "comma": [(44, 44)],
-    "bang": [(33, 33), (63, 63)], "symbol": [(35, 38), (42, 43), (60, 64), (91, 96), (123, 126)], "other": [(34, 34), (39, 41), (45, 45), (47, 47), (58, 59)], "high": [(128, 255)],
+    "bang": [(33, 33), (63, 63)], "symbol": [(35, 38), (42, 43), (60, 62), (64, 64), (91, 96), (123, 126)], "other": [(34, 34), (39, 41), (45, 45), (47, 47), (58, 59)], "high": [(128, 255)],
 }
 FEATURES = ["log_words", "log_bytes", "word_mean", "word_std", "word_max", "distinct_words", "top_word", "distinct_lines", "top_line", "line_words", "short_words", "long_words", "repeated_pairs", *_CLASSES, "marked_words"]
 
