@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnmill.functions.columns import CARD_NAMESPACE, card_id, md5_long
+from tarnmill.functions.columns import CARD_NAMESPACE, card_id, jaccard, md5_long
 from tarnmill.operators.components import connected_components
 
 #: Parameters of the hash family and of production.
@@ -24,6 +24,8 @@ HASHES, BANDS, ROWS, SEED = 256, 32, 8, 42
 BUCKET_CAP, PARTNER_CAP = 100, 200
 #: Members of a bucket that one task meets with the rest of it, where all pairs are wanted.
 DEAL = 1000
+#: Pairs that one copy of a notice's sets serves.
+FAN = 200
 SIZE_RATIO, CLOSING_DAYS, SCORE = 0.28, 30, 0.5
 BODY_WEIGHT, TITLE_WEIGHT = 0.7, 0.3
 
@@ -174,27 +176,27 @@ def similar_pairs(sets: DataFrame, id_col: str, tokens: str, num: int = 1, den:
     a, b = (first.select("_t", F.col("_id").alias(f"id_{x}"), F.col("_n").alias(f"n_{x}")) for x in "ab")
     met = a.join(b, "_t").where("id_a < id_b").where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")).select("id_a", "id_b").distinct()
     x, y = (sets.select(F.col(id_col).alias(f"id_{k}"), F.col(tokens).alias(f"t_{k}")) for k in "ab")
-    full = met.join(x, "id_a").join(y, "id_b").select("id_a", "id_b", sorted_overlap(F.col("t_a"), F.col("t_b")).alias("exact"))
+    full = met.join(x, "id_a").join(y, "id_b").select("id_a", "id_b", jaccard("t_a", "t_b").alias("exact"))
     return full.where(F.col("exact") >= num / den)
 
 
+def write_index(store: DataFrame, table: str, buckets: int) -> DataFrame:
+    """The store as a table bucketed and sorted by (band, bucket): lookups shuffle and sort the probes alone."""
+    store.write.mode("overwrite").bucketBy(buckets, "band_idx", "bucket_key").sortBy("band_idx", "bucket_key").saveAsTable(table)
+    return store.sparkSession.table(table)
+
+
 def lookup(store: DataFrame, probe: DataFrame, id_col: str) -> DataFrame:
     """Candidates of the notices in probe (a store of the same columns): probe_id, candidate_id."""
     p = probe.select(F.col(id_col).alias("probe_id"), "band_idx", "bucket_key")
     return p.join(store.select(F.col(id_col).alias("candidate_id"), "band_idx", "bucket_key"), ["band_idx", "bucket_key"]).where("probe_id <> candidate_id").select("probe_id", "candidate_id").distinct()
 
 
-def sorted_overlap(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two arrays without repeats: both empty 1, one empty 0."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1)))
-
-
 def verify(pairs: DataFrame, notices: DataFrame, id_col: str, ratio: float = SIZE_RATIO, closing: int | None = CLOSING_DAYS, score: float = SCORE) -> DataFrame:
     """Pairs (id_a, id_b, score) that stand: cheap guards on sizes and fields first, set arithmetic on what is left.
 
     notices: id, body and title (shingle arrays), and, if closing is given, estimated_value and closing_date.
-    Only sizes and fields go through the first joins; arrays are joined to the pairs that pass.
+    Only sizes and fields go through the first joins; arrays go to the pairs that pass. Arrays are sorted as unsigned.
     """
     fields = ["estimated_value", "closing_date"] if closing is not None else []
     slim = notices.select(id_col, F.size("body").alias("n"), *fields)
@@ -202,10 +204,52 @@ def verify(pairs: DataFrame, notices: DataFrame, id_col: str, ratio: float = SIZ
     guarded = pairs.join(a, "id_a").join(b, "id_b").where((F.col("n_a") > 0) & (F.col("n_b") > 0) & (F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= ratio))
     if fields:
         guarded = guarded.where("coalesce(abs(estimated_value_a - estimated_value_b), 0) = 0").where(F.coalesce(F.abs(F.datediff("closing_date_a", "closing_date_b")), F.lit(0)) <= closing)
-    sets_a, sets_b = (notices.select(F.col(id_col).alias(f"id_{s}"), F.col("body").alias(f"body_{s}"), F.col("title").alias(f"title_{s}")) for s in "ab")
-    full = guarded.select("id_a", "id_b").join(sets_a, "id_a").join(sets_b, "id_b")
-    total = BODY_WEIGHT * sorted_overlap(F.col("body_a"), F.col("body_b")) + TITLE_WEIGHT * sorted_overlap(F.col("title_a"), F.col("title_b"))
-    return full.select("id_a", "id_b", total.alias("score")).where(F.col("score") >= score)
+    return _scored(guarded.select("id_a", "id_b"), notices, id_col, score)
+
+
+def _scored(pairs: DataFrame, notices: DataFrame, id_col: str, score: float) -> DataFrame:
+    """Pairs (id_a, id_b, score) by exact set arithmetic.
+
+    A pair costs one copy of a set: id_a's sets are sent once for each FAN of its pairs, and what is joined to them
+    is id_b's. Many pairs of one notice are dealt to several tasks.
+    """
+    fans = pairs.groupBy("id_a").agg(F.ceil(F.count(F.lit(1)) / F.lit(FAN)).cast("long").alias("fans"))
+    members = pairs.join(fans, "id_a").select(F.col("id_b").alias("member"), F.col("id_a").alias("pivot"), F.pmod(F.xxhash64("id_b"), "fans").alias("fan"))
+    pivots = fans.select(F.col("id_a").alias("member"), F.col("id_a").alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("fans") - 1)).alias("fan"))
+    sets = notices.select(F.col(id_col).alias("member"), "body", "title")
+    sent = members.unionByName(pivots).join(sets, "member").withColumn("first", F.col("member") == F.col("pivot"))
+    dealt = sent.repartition("pivot", "fan").sortWithinPartitions("pivot", "fan", F.desc("first")).select("member", "pivot", "first", "body", "title")
+    kind = pairs.schema["id_a"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64),) * 2
+        for b in batches:
+            rows, scores = [], []
+            for k, first in enumerate(b.column(2).to_pylist()):
+                these = tuple(b.column(c)[k].values.to_numpy(zero_copy_only=False).view(np.uint64) for c in (3, 4))
+                if first:
+                    own = these
+                    continue
+                total = BODY_WEIGHT * _overlap(own[0], these[0]) + TITLE_WEIGHT * _overlap(own[1], these[1])
+                if total >= score:
+                    rows.append(k)
+                    scores.append(total)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(0).take(at), pa.array(scores, pa.float64())], names=["id_a", "id_b", "score"])
+
+    return dealt.mapInArrow(run, T.StructType([T.StructField("id_a", kind), T.StructField("id_b", kind), T.StructField("score", T.DoubleType())]))
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted arrays without repeats: both empty 1, one empty 0."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    if len(a) < len(b):
+        a, b = b, a
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    both = int((a[at] == b).sum())
+    return both / (len(a) + len(b) - both)
 
 
 def clusters(edges: DataFrame, notices: DataFrame, id_col: str) -> DataFrame:

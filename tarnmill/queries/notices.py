@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnmill.functions.columns import ascii_text, card_id, char_ngram_range, clean_text, days_apart, field_compatibility, iso_day, md5_long, word_tokens
+from tarnmill.functions.columns import ascii_text, card_id, char_ngram_range, clean_text, days_apart, field_compatibility, iso_day, jaccard, md5_long, word_tokens
 from tarnmill.operators import dedup as D
 from tarnmill.operators import evaluate as V
 from tarnmill.plans.pipelines import dedup_run, prepared
@@ -91,7 +91,7 @@ def compared(s: DataFrame) -> DataFrame:
     a = s.select(F.col("doc_id").alias("id_a"), F.col("tokens").alias("ta"), F.col("signature").alias("sa"))
     b = s.select(F.col("doc_id").alias("id_b"), F.col("tokens").alias("tb"), F.col("signature").alias("sb"))
     both = found.join(a, "id_a").join(b, "id_b")
-    return both.select("id_a", "id_b", D.estimate("sa", "sb").alias("estimated"), D.sorted_overlap(F.col("ta"), F.col("tb")).alias("exact"))
+    return both.select("id_a", "id_b", D.estimate("sa", "sb").alias("estimated"), jaccard("ta", "tb").alias("exact"))
 
 
 def rounded(df: DataFrame) -> DataFrame:
