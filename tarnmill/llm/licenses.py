@@ -42,12 +42,12 @@ TEMPLATES += [(f"CC-{short}-{v}", f"This work is licensed under a Creative Commo
 SPDX = r"(?i)SPDX-License-Identifier:[ \t]*\(?([a-z0-9.+-]+(?:[ \t]+(?:OR|AND|WITH)[ \t]+\(?[a-z0-9.+-]+\)?)*)"
 #: Function words, which are no terms.
 COMMON = set("a all an and any are as at be by can either file following form forms free from if in is it may not of or provided that the this to under use with without work you".split())
-#: Terms that are words of prose in some language; texts are looked for by them last.
-PROSE = {"mit", "nd", "sa", "nc", "source", "general", "public", "code", "version", "v"}
+#: Terms that are words of prose in some language. Alone or together they state no licence.
+PROSE = {"mit", "nd", "sa", "nc", "source", "general", "public", "code", "version", "v", "2", "3"}
 THRESHOLD = 0.7
 TERM = "[a-z0-9]+(?:[.][0-9]+)*"
 #: A sentence ends at a mark before a capital, or at a line without letters; it may run over lines and their comment signs.
-SENTENCE = r"""([.!?])["')\]]*\s+([^A-Za-z0-9\n]*[A-Z])"""
+SENTENCE = r"""([.!?])["')\]]*\s+([^A-Za-z0-9\n]{0,8}[A-Z])"""
 PARAGRAPH = r"\n[^A-Za-z0-9\n]*\n"
 CUT = "\x1e"
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
@@ -80,26 +80,23 @@ class Weights:
             self.vectors.append({term: v / norm for term, v in raw.items()})
 
     def telling(self, threshold: float) -> list[str]:
-        """Terms of which every text that shares two terms of a template and has at least this cosine holds one.
+        """Terms of which every text holds one that states a licence: shares two terms of a template, not of prose alone, and has at least this cosine.
 
         By Cauchy and Schwarz a text's cosine is at most the norm of the template's part that it shares. So terms
-        are taken, those that serve most templates first, until what is left of each template is one term or
-        stays below the threshold.
+        are taken, those that serve most templates first, until what is left of each template could not be a
+        statement or stays below the threshold.
         """
-        def rank(t: str) -> int:
-            return 3 if t not in PROSE and t[0].isalpha() else 2 if "." in t else 1 if len(t) > 4 else 0  # short ones occur in all texts
-
         chosen: set[str] = set()
         while True:
             left = [{t: x for t, x in v.items() if t not in chosen} for v in self.vectors]
-            open_ = [v for v in left if len(v) > 1 and sum(x * x for x in v.values()) >= (threshold - 1e-9) ** 2]
+            open_ = [v for v in left if len(v) > 1 and v.keys() - PROSE and sum(x * x for x in v.values()) >= (threshold - 1e-9) ** 2]
             if not open_:
                 return sorted(chosen)
             serves: dict[str, float] = {}
             for v in open_:
-                for t in v:
+                for t in v.keys() - PROSE:
                     serves[t] = serves.get(t, 0.0) + v[t] ** 2
-            chosen.add(max(serves, key=lambda t: (rank(t), serves[t], t)))
+            chosen.add(max(serves, key=lambda t: (t[0].isalpha(), serves[t], t)))
 
 
 def holds_one(text: Column, terms: list[str]) -> Column:
@@ -127,7 +124,8 @@ def windows(units: DataFrame, weights: Weights, telling: list[str], threshold: f
     told = terms.withColumn("at", F.filter(F.sequence(F.lit(1), F.greatest(F.size("terms"), F.lit(1))), lambda i: F.array_contains(known, F.get(F.col("terms"), i - 1)))).where(F.size("at") > 0)
     fit = told.select("unit", "terms", "at", F.explode(F.array(*sizes)).alias("s")).select("unit", "terms", "at", "s.*").where(F.size("terms") > n)
     starts = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(F.greatest(i - n + 1, F.lit(1)), F.least(i, F.size("terms") - n + 1)))))
-    runs = fit.select("unit", "parts", "terms", "n", F.explode(starts).alias("at")).select("unit", "parts", F.slice("terms", F.col("at"), n).alias("run"))
+    # a run is cut where the terms are: rows that carried all terms beside each run would grow with their square
+    runs = fit.select("unit", "parts", F.explode(F.transform(starts, lambda at: F.slice("terms", at, n))).alias("run"))
     share = F.aggregate("parts", F.lit(0.0), lambda held, x: held + F.when(F.array_contains(F.col("run"), x["term"]), x["part"]).otherwise(0.0))
     return runs.where(share >= threshold**2 - 1e-9).select("unit", F.array_join("run", " ").alias("line")).distinct()
 
@@ -135,7 +133,7 @@ def windows(units: DataFrame, weights: Weights, telling: list[str], threshold: f
 def score_lines(lines: DataFrame, weights: Weights, threshold: float, same_size: bool = False) -> DataFrame:
     """line, license, score, template: the best template of each distinct line, where its cosine reaches the threshold.
 
-    A line that shares but one term with a template states nothing by it.
+    A line that shares but one term with a template, or terms of prose alone, states nothing by it.
 
     same_size: of the templates with as many terms as the line.
     """
@@ -149,7 +147,7 @@ def score_lines(lines: DataFrame, weights: Weights, threshold: float, same_size:
     # one pass over a line's terms gives its norm and all dot products
     met = weighed.groupBy("line").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.sum("tf").alias("n"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "tf"))).alias("known"))
     shared = met.select("line", "norm", "n", F.explode("known").alias("k")).select("line", "norm", "n", "k.term", "k.tf").join(table, "term")
-    dots = (shared.where("n = size") if same_size else shared).groupBy("line", "norm", "template").agg(F.sum(F.col("tf") * F.col("weight")).alias("dot"), F.count(F.lit(1)).alias("shared")).where("shared > 1")
+    dots = (shared.where("n = size") if same_size else shared).groupBy("line", "norm", "template").agg(F.sum(F.col("tf") * F.col("weight")).alias("dot"), F.count(F.lit(1)).alias("shared"), F.max((~F.col("term").isin(*sorted(PROSE))).cast("int")).alias("tells")).where("shared > 1 and tells = 1")
     cosine = F.round(F.col("dot") / F.col("norm"), 6)
     best = dots.select("line", "template", cosine.alias("score")).where(F.col("score") >= threshold).groupBy("line").agg(F.max(F.struct("score", (-F.col("template")).alias("t"))).alias("b"))
     return best.select("line", F.col("b.score").alias("score"), (-F.col("b.t")).alias("template")).join(names, "template").select("line", "license", "score", "template")
@@ -162,7 +160,7 @@ def scan_licenses(files: DataFrame, id_col: str, path: Column, text_col: str = "
     that comes first). A sentence may run over lines; of a longer line or sentence, runs of as many terms as a
     template has are compared with the templates of that size too, so wrapped headers, licence files and embedded
     statements count. A line with an SPDX tag has the licence that the tag names, with score 1. Function words are
-    no terms, and one shared term makes no statement. A file without an own licence inherits from the nearest directory above it that has a licence file
+    no terms, and one shared term, or several of prose alone, make no statement. A file without an own licence inherits from the nearest directory above it that has a licence file
     with one (license_file: by default by name); of several in one directory the smallest path counts.
     inherited_from is that directory, null where nothing is inherited.
 

@@ -96,6 +96,7 @@ def _licence_sql() -> str:
     """Weights from the templates' texts; every line, sentence and run of terms against every template, without a first look."""
     texts = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(licenses.TEMPLATES))
     common = ", ".join(f"'{t}'" for t in sorted(licenses.COMMON))
+    prose = ", ".join(f"'{t}'" for t in sorted(licenses.PROSE))
     quoted = licenses.SENTENCE.replace("'", "''")
     terms = f"list_filter(regexp_extract_all(lower({{}}), '{licenses.TERM}'), lambda t: NOT list_contains([{common}], t))"
     return rf"""WITH templates(template, license, text) AS (VALUES {texts}),
@@ -110,7 +111,7 @@ def _licence_sql() -> str:
       tried AS MATERIALIZED (SELECT row_number() OVER () AS k, * FROM (SELECT unit, NULL::BIGINT AS size, terms AS run FROM units UNION ALL SELECT unit, size, run FROM runs WHERE list_has_any(run, (SELECT list(term) FROM idf)))),
       counted AS (SELECT k, size, term, count(*) AS tf FROM (SELECT k, size, unnest(run) AS term FROM tried) GROUP BY ALL),
       norms AS (SELECT k, sqrt(sum(tf * coalesce(idf, other) * tf * coalesce(idf, other))) AS norm FROM counted LEFT JOIN idf USING (term), rare GROUP BY k),
-      dots AS (SELECT k, template, sum(tf * weight) AS dot FROM counted c JOIN weights w ON c.term = w.term AND (c.size IS NULL OR c.size = w.size) GROUP BY ALL HAVING count(*) > 1),
+      dots AS (SELECT k, template, sum(tf * weight) AS dot FROM counted c JOIN weights w ON c.term = w.term AND (c.size IS NULL OR c.size = w.size) GROUP BY ALL HAVING count(*) > 1 AND count(CASE WHEN NOT list_contains([{prose}], c.term) THEN 1 END) > 0),
       scored AS (SELECT unit, template, max(score) AS score FROM (SELECT unit, template, round(dot / norm, 6) AS score FROM dots JOIN norms USING (k) JOIN tried USING (k)) WHERE score >= {licenses.THRESHOLD} GROUP BY ALL),
       own AS MATERIALIZED (SELECT doc_id, license AS own_license, score AS own_score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, template) AS rn FROM held JOIN scored USING (unit) JOIN templates USING (template)) WHERE rn = 1),
       declared AS MATERIALIZED (SELECT spot, arg_min(own_license, path) AS declared FROM (SELECT path, own_license, regexp_replace(path, '/[^/]*$', '') AS spot FROM files JOIN own USING (doc_id) WHERE regexp_matches(path, '{licenses.LICENSE_FILE}')) GROUP BY spot),

@@ -500,12 +500,12 @@ def test_licence_headers_and_embedded_statements(spark):
 
 
 def test_first_look_loses_none():
-    """A text without any of the telling terms shares one term with a template or stays below the threshold, whatever else of it it holds."""
+    """A text without any of the telling terms is no statement or stays below the threshold, whatever else of a template it holds."""
     w = licenses.Weights(licenses.TEMPLATES)
     telling = set(w.telling(licenses.THRESHOLD))
     for v in w.vectors:
-        rest = [x for t, x in v.items() if t not in telling]
-        assert len(rest) < 2 or sum(x * x for x in rest) < licenses.THRESHOLD**2
+        rest = {t: x for t, x in v.items() if t not in telling}
+        assert len(rest) < 2 or not rest.keys() - licenses.PROSE or sum(x * x for x in rest.values()) < licenses.THRESHOLD**2
 
 
 def test_licences_among_hot_folders_odd_names_and_levels(spark):
