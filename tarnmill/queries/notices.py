@@ -153,8 +153,19 @@ def lsh_candidates_capped(spark, sf_dir):
     return pairs(spark, sf_dir, capped=True)
 
 
+_indexes: dict[tuple[str, str], DataFrame] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store as written once by an application, which lookups probe."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = materialise(store(spark, sf_dir))
+    return _indexes[key]
+
+
 def lsh_lookup(spark, sf_dir):
-    s = materialise(store(spark, sf_dir))
+    s = index(spark, sf_dir)
     return D.lookup(s, s.where("doc_id % 50 = 0"), "doc_id")
 
 

@@ -85,6 +85,27 @@ def as_json(df: DataFrame, name: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias(name))
 
 
+def as_markdown(df: DataFrame, rows: int = 100) -> str:
+    """The first rows of a small result as a Markdown table, for reports."""
+    found = df.limit(rows).collect()
+    lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
+    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in found])
+
+
+def constraints_met(df: DataFrame, not_null: list[str], unique: list[str], references: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """constraint, violations: what a schema with keys would refuse, counted before a table is replaced."""
+    checks = [df.agg(F.coalesce(F.sum(F.col(c).isNull().cast("long")), F.lit(0)).alias("violations")).select(F.lit(f"not null {c}").alias("constraint"), "violations") for c in not_null]
+    if unique:
+        checks.append(df.groupBy(*unique).agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.count(F.lit(1)).alias("violations")).select(F.lit(f"unique {','.join(unique)}").alias("constraint"), "violations"))
+    for c, (other, key) in references.items():
+        missing = df.where(F.col(c).isNotNull()).join(other.select(F.col(key).alias(c)), c, "left_anti")
+        checks.append(missing.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(f"references {c}").alias("constraint"), "violations"))
+    out = checks[0]
+    for c in checks[1:]:
+        out = out.unionByName(c)
+    return out
+
+
 def summary_json(df: DataFrame) -> str:
     """A table of one row as indented JSON text."""
     return json.dumps(json.loads(as_json(df).first()[0]), indent=2, sort_keys=True)

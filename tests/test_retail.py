@@ -142,6 +142,13 @@ def test_upsert_versions_and_state(spark, tmp_path):
     assert writers.summary_json(old.agg(F.count(F.lit(1)).alias("n"))) == '{\n  "n": 2\n}'
 
 
+def test_reports_and_constraints(spark):
+    df = spark.createDataFrame([(1, "a|b"), (1, None), (3, "c")], "k int, v string")
+    assert writers.as_markdown(df.where("k = 1 and v is not null")) == "| k | v |\n| --- | --- |\n| 1 | a\\|b |"
+    got = {r["constraint"]: r["violations"] for r in writers.constraints_met(df, ["k", "v"], ["k"], {"k": (spark.createDataFrame([(1,)], "id int"), "id")}).collect()}
+    assert got == {"not null k": 0, "not null v": 1, "unique k": 1, "references k": 1}
+
+
 def test_date_dimension(spark):
     rows = {str(r["calendar_date"]): r for r in R.date_dimension(spark, "2024-01-01", 366).collect()}
     assert len(rows) == 366 and rows["2024-12-30"]["week"] == 1 and rows["2024-03-03"]["is_weekend"] and rows["2024-03-03"]["day_of_week"] == 0
