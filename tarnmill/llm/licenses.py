@@ -178,7 +178,7 @@ def scan_licenses(files: DataFrame, id_col: str, path: Column, text_col: str = "
     held = materialise(some.select("_id", "path", "_hash", F.explode(units).alias("line")))
     lines = held.select("line").distinct()
     scored = score_lines(lines, weights, threshold)
-    cut = windows(lines, weights, telling, threshold)
+    cut = materialise(windows(lines, weights, telling, threshold))
     inside = cut.join(score_lines(cut.select("line").distinct(), weights, threshold, same_size=True), "line").select(F.col("unit").alias("line"), "license", "score", "template")
     scored = scored.unionByName(inside)
     tagged = held.select("line", F.regexp_extract("line", SPDX, 1).alias("tag")).where("tag <> ''").distinct()
