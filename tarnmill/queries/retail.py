@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tarnmill.functions.columns import md5_long
 from tarnmill.operators import retail as R
 from tarnmill.runtime import expire, materialise, scratch, spread
-from tarnmill.sources.writers import land_partitioned
+from tarnmill.sources.readers import read_csv, read_sales, read_state
+from tarnmill.sources.writers import constraints_met, land_flat, land_partitioned, latest_version, rename_parts, reopened_counts, upserted, write_csv, write_version
 
 LINE_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 #: Line types by (return flag, line status).
@@ -213,11 +214,78 @@ def flat_scan(spark, sf_dir):
     return raw.agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("l_extendedprice").cast("decimal(12,2)")).cast("decimal(18,2)").alias("amount"))
 
 
+_exported: dict[tuple[str, str], str] = {}
+EXPORTED = "'S' || lpad(cast(l_suppkey % 13 + 1 as string), 2, '0')"
+
+
+def exported(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the lines as exports of 13 stores in their dialects, a file for each store and year; written once by an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _exported:
+        return _exported[key]
+    raw = table(spark, sf_dir, "lineitem").select("*", F.expr(EXPORTED).alias("store"), F.year("l_shipdate").alias("year"))
+    kind = F.concat("l_returnflag", "l_linestatus")
+    line_type = F.coalesce(*[F.when(kind == k, v) for k, v in LINE_TYPES.items()], F.lit("OTHER"))
+    bill, line, item = (F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey"))
+    qty, price = (F.col(c).cast("decimal(12,2)").cast("string") for c in ("l_quantity", "l_extendedprice"))
+    iso, european, epoch = F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss"), F.date_format("l_shipdate", "dd-MM-yyyy HH:mm:ss"), F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).cast("string")
+    semicolon, seconds = F.col("store").isin("S06", "S07", "S08", "S09"), F.col("store").isin("S10", "S11", "S12")
+    text = F.when(semicolon, F.concat_ws(";", bill, line, item, qty, price, F.lower(line_type), european)).when(seconds, F.concat_ws(",", epoch, price, qty, bill, line, line_type, item)).otherwise(F.concat_ws(",", bill, line, F.concat(F.lit('"'), item, F.lit('"')), qty, price, line_type, iso))
+    header = F.when(semicolon, "bill_no;line_no;item_code;quantity;rate;type;txn_time").when(seconds, "\ufeffTS,unit_price,QTY,bill_no,line_no,line_type,product_code").otherwise("bill_no,line_no,product_code,qty,unit_price,line_type,ts")
+    file = F.format_string("SALES_%s_%d0101", "store", "year").alias("file")
+    rows = raw.select(file, F.lit(1).alias("place"), text.alias("value")).unionByName(raw.select("store", "year").distinct().select(file, F.lit(0).alias("place"), header.alias("value")))
+    path = scratch(spark)
+    rows.repartition("file").sortWithinPartitions("file", "place").select("file", "value").write.partitionBy("file").text(f"{path}-parts")
+    rename_parts(spark, f"{path}-parts", path)
+    expire(spark, path)
+    _exported[key] = path
+    return path
+
+
+def sales_exports(spark, sf_dir):
+    rows = read_sales(spark, exported(spark, sf_dir))
+    return rows.select(F.col("bill_no").cast("long").alias("bill_no"), "line_no", "store_id", "sale_date", F.col("product_code").cast("long").alias("product_code"), "qty", "unit_price", "line_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("sold_at"), "source_file")
+
+
+def versioned_state(spark, sf_dir):
+    """Two versions of a state table, the second upserted from the first with a load that repeats its keys."""
+    root, orders = scratch(spark), table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(12,2)").alias("amount"))
+    write_version(orders.where("o_orderkey % 3 = 0"), root)
+    state = read_state(spark, latest_version(spark, root), "o_orderkey long, amount decimal(12,2)")
+    load = orders.where("o_orderkey % 2 = 0").select("o_orderkey", F.explode(F.array(*[F.struct((F.col("amount") + k).cast("decimal(12,2)").alias("amount"), F.lit(k).alias("at")) for k in (2, 3, 1)])).alias("x")).select("o_orderkey", "x.*")
+    write_version(upserted(state, load, ["o_orderkey"], ["at"]), root)
+    expire(spark, root)
+    return read_state(spark, latest_version(spark, root), "o_orderkey long, amount decimal(12,2)")
+
+
+def csv_round_trip(spark, sf_dir):
+    """A table written as CSV and read back with a schema."""
+    path = scratch(spark)
+    write_csv(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("decimal(12,2)").alias("o_totalprice"), "o_orderpriority"), path)
+    expire(spark, path)
+    return read_csv(spark, path, "o_orderkey long, o_custkey long, o_totalprice decimal(12,2), o_orderpriority string")
+
+
+def restart_check(spark, sf_dir):
+    """Rows of a landed table, counted when written and again by a session that has nothing cached."""
+    path = scratch(spark)
+    orders = table(spark, sf_dir, "orders")
+    land_flat(orders, path)
+    expire(spark, path)
+    found = reopened_counts(spark, path, orders.count())
+    return spark.createDataFrame([(found["expected"], found["found"], found["same"])], "expected long, found long, same boolean")
+
+
+def schema_constraints(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return constraints_met(orders, ["o_orderkey", "o_custkey"], ["o_orderkey"], {"o_custkey": (table(spark, sf_dir, "customer").where("c_custkey % 10 <> 0"), "c_custkey")})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         dedup_business_key, revenue_monthly, revenue_store_category, scd2_fact_join, price_asof_fact, price_change_topk, till_vs_catalog_revenue, federated_store_revenue, finance_reconciliation,
-        rounding_policy_gap, dim_date, dq_orphans, dq_duplicate_keys, dq_line_types, dq_null_measures, row_counts, integration_star_topk, table_checksum, fact_checksum, partition_pruned_scan, flat_scan,
+        rounding_policy_gap, dim_date, dq_orphans, dq_duplicate_keys, dq_line_types, dq_null_measures, row_counts, integration_star_topk, table_checksum, fact_checksum, partition_pruned_scan, flat_scan, sales_exports, versioned_state, csv_round_trip, restart_check, schema_constraints,
     )
 }
 
@@ -295,4 +363,11 @@ ORACLES: dict[str, str] = {
     "fact_checksum": f"""WITH {_LINES} SELECT count(*) AS n_rows, CAST(sum(CAST(CAST('0x' || substr(md5(concat_ws('|', bill_no, line_no, sale_date, product_code, qty, unit_price, line_type)), 1, 8) AS BIGINT) AS HUGEINT)) AS DECIMAL(38,0)) AS checksum FROM lines""",
     "partition_pruned_scan": "SELECT count(*) AS n_lines, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DECIMAL(18,2)) AS amount FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-03-01' AND l_shipdate < TIMESTAMP '1996-04-01'",
     "flat_scan": "SELECT count(*) AS n_lines, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DECIMAL(18,2)) AS amount FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-03-01' AND l_shipdate < TIMESTAMP '1996-04-01'",
+    "sales_exports": f"""WITH {_LINES}, coded AS (SELECT *, 'S' || lpad((l_suppkey % 13 + 1)::VARCHAR, 2, '0') AS code, year(l_shipdate) AS y FROM lines)
+        SELECT bill_no, line_no::INT AS line_no, code AS store_id, make_date(y, 1, 1) AS sale_date, product_code, qty, unit_price, line_type, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS sold_at, 'SALES_' || code || '_' || y || '0101.csv' AS source_file FROM coded""",
+    "versioned_state": "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(12,2)) + CASE WHEN o_orderkey % 2 = 0 THEN 3 ELSE 0 END AS DECIMAL(12,2)) AS amount FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0",
+    "csv_round_trip": "SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DECIMAL(12,2)) AS o_totalprice, o_orderpriority FROM orders",
+    "restart_check": "SELECT count(*) AS expected, count(*) AS found, true AS same FROM orders",
+    "schema_constraints": """SELECT 'not null o_orderkey' AS "constraint", count(*) - count(o_orderkey) AS violations FROM orders UNION ALL SELECT 'not null o_custkey', count(*) - count(o_custkey) FROM orders
+        UNION ALL SELECT 'unique o_orderkey', count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'references o_custkey', count(*) FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)""",
 }

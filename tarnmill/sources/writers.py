@@ -21,6 +21,18 @@ def land_partitioned(df: DataFrame, path: str, date_col: str = "sale_date", stor
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("store", "year", "month").parquet(path)
 
 
+def rename_parts(spark: SparkSession, written: str, path: str, ending: str = ".csv") -> None:
+    """Files of a partitioned landing (key=NAME/part-...) as path/NAME.csv: a name a file, which is to have one part."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = at(written).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(at(path))
+    for part in matching(spark, written, "*=*/part-*"):
+        name = part.rsplit("/", 2)[1].split("=", 1)[1]
+        if not files.rename(at(part), at(path, name + ending)):
+            raise FileExistsError(f"{name} has several parts")
+    files.delete(at(written), True)
+
+
 def land_flat(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
