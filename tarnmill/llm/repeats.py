@@ -240,6 +240,15 @@ def _spelled(words: Words, cover: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return out, begin, end
 
 
+def _packed(text: bytes) -> bytes:
+    """Compressed, behind its length."""
+    return len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+
+
 _BLOCK = "block int, batch long, at binary, n binary, doc binary, runs binary, again binary, ka binary, kb binary, known_doc binary, known array<binary>"
 
 
@@ -280,7 +289,7 @@ def _window_blocks(rows: DataFrame, table, common, blocks: int, window: int, rou
                 tail = np.append(head[1:], len(own)) - 1
                 runs = b"\n".join(text[x:y].tobytes() for x, y in zip(begin[own[head]].tolist(), (begin[own[tail]] + size[own[tail]]).tolist()))
                 rest = (ka.tobytes(), kb.tobytes(), who.astype("<u4").tobytes(), known) if k == 0 else (b"", b"", b"", [])
-                values = (int(block[own[0]]), label, at[own[head]].astype("<u4").tobytes(), (tail - head + 1).astype("<u4").tobytes(), doc[own[head]].astype("<u4").tobytes(), runs, np.packbits(again[own]).tobytes(), *rest)
+                values = (int(block[own[0]]), label, at[own[head]].astype("<u4").tobytes(), (tail - head + 1).astype("<u4").tobytes(), doc[own[head]].astype("<u4").tobytes(), _packed(runs), np.packbits(again[own]).tobytes(), *rest)
                 for x, v in zip(out, values):
                     x.append(v)
             held.clear()
@@ -362,7 +371,7 @@ def _repeated_windows(blocks: DataFrame, window: int) -> DataFrame:
     def count(table: pa.Table) -> pa.Table:
         head, each, owner = ([np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in table.column(c)] for c in ("at", "n", "doc"))
         n = [int(x.sum()) for x in each]
-        runs = [r for x in table.column("runs") for r in x.as_py().split(b"\n")]
+        runs = [r for x in table.column("runs") for r in _unpacked(x.as_py()).split(b"\n")]
         each, head, owner = (np.concatenate(x) for x in (each, head, owner))
         doc = np.repeat(owner, each)
         at = np.repeat(head, each) + np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
