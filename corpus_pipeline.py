@@ -15,22 +15,30 @@ from tarnmill.runtime import materialise
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose score reaches the threshold. The text decides: null and empty texts are scored like others; repeated
+    rows and null ids share their text's fate; an empty table stays empty."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for white space the row with the smallest id (a null id only where there is no other); null
+    counts as empty, so of null and empty texts one row stays. An empty table stays empty."""
     return exact.drop_exact_duplicates(docs)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.75 or more) the row with the smallest id. Rows are
+    judged by id and text; texts without words stay. An empty table stays empty."""
     return jaccard.keep_one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in which no window of the benchmark occurs; null and empty texts stay. An empty benchmark takes nothing."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the rows' tokens with their places in sequences, row by row, null text as empty. An empty table gives none."""
     return packing.pack(docs, tokenizer_path(), payload="ids_crc32")
 
 
