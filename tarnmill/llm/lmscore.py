@@ -32,20 +32,32 @@ from tarnmill.runtime import materialise
 
 MU = 4.0
 #: Tokens of a batch (more only where one text has more), and names that a block is meant to hold.
-BATCH, BLOCK = 1 << 20, 1_500_000
+BATCH, BLOCK = 1 << 20, 1_000_000
 #: Labels (rows of 16 bytes) that may be broadcast; beyond, documents and labels are shuffled together.
 BROADCAST_ROWS = 500_000
 
 
-def _small(x: np.ndarray) -> bytes:
-    """Non-negative integers in as few bytes each as the largest needs, behind a byte that tells how many."""
+def _packed(x: np.ndarray) -> bytes:
+    """Non-negative integers in as few bytes each as the largest needs, byte by byte of all, compressed."""
     most = int(x.max()) if len(x) else 0
-    size = next(k for k in (1, 2, 4, 8) if most < 1 << 8 * k)
-    return bytes([size]) + x.astype(f"<u{size}").tobytes()
+    size = next(k for k in range(1, 9) if most < 1 << 8 * k)
+    planes = np.ascontiguousarray(x.astype("<u8").view("u1").reshape(-1, 8)[:, :size].T)
+    return bytes([size]) + len(x).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if len(x) else b"")
 
 
-def _read(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+def _unpacked(raw: bytes) -> np.ndarray:
+    size, n = raw[0], int.from_bytes(raw[1:9], "little")
+    out = np.zeros((n, 8), "u1")
+    if n:
+        out[:, :size] = np.frombuffer(pa.decompress(raw[9:], decompressed_size=n * size, codec="zstd", asbytes=True), "u1").reshape(size, n).T
+    return out.view("<u8").ravel()
+
+
+def _by_block(names: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which a batch tells its names: by block, then by name; and the blocks in that order."""
+    block = names % U64(blocks)
+    order = np.lexsort((names, block))
+    return order, block[order].astype(np.int64)
 
 
 class Batch:
@@ -154,12 +166,12 @@ def _asked(rows: DataFrame, blocks: int) -> DataFrame:
         label = TaskContext.get().partitionId() << 33
         for k, (batch, ka, kb) in enumerate(_batches(batches)):
             names, (every, wanted) = batch.names(), batch.told()
-            block = (names % U64(blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            out = [{"place": -1 - (label + k), "batch": label + k, "words": batch.words.tobytes(), "tokens": batch.tokens.astype("<u4").tobytes(), "counts": _small(batch.counts), "target": batch.target.tobytes(), "ka": ka.tobytes(), "kb": kb.tobytes()}]
-            for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-                if len(own):
-                    out.append({"place": int(block[own[0]]), "batch": label + k, "names": names[own].tobytes(), "every": _small(every[own]), "wanted": _small(wanted[own])})
+            order, block = _by_block(names, blocks)
+            out = [{"place": -1 - (label + k), "batch": label + k, "words": _packed(np.diff(batch.words, prepend=U64(0))), "tokens": _packed(batch.tokens), "counts": _packed(batch.counts), "target": np.packbits(batch.target).tobytes(), "ka": ka.tobytes(), "kb": kb.tobytes()}]
+            for first, own in zip(np.flatnonzero(np.diff(block, prepend=-1)), np.split(order, np.flatnonzero(np.diff(block)) + 1)):
+                # of names in order, alike modulo the blocks, the steps say all
+                steps = np.diff(names[own] // U64(blocks), prepend=U64(0))
+                out.append({"place": int(block[first]), "batch": label + k, "names": _packed(steps), "every": _packed(every[own]), "wanted": _packed(wanted[own])})
             yield pa.RecordBatch.from_arrays(_table(out), names=_FIELDS)
 
     return rows.select("_text", "ka", "kb", "_target").mapInArrow(run, _ROW)
@@ -172,11 +184,11 @@ def _answered(asked: DataFrame) -> DataFrame:
         rows = table.to_pylist()
         if rows[0]["place"] < 0:
             return table
-        names = np.concatenate([np.frombuffer(r["names"], U64) for r in rows])
-        _, which = np.unique(names, return_inverse=True)
-        ends = np.cumsum([len(r["names"]) // 8 for r in rows])[:-1]
-        sums = [np.split(np.bincount(which, np.concatenate([_read(r[c]) for r in rows])).astype(np.int64)[which], ends) for c in ("every", "wanted")]
-        out = [{"place": r["place"], "batch": r["batch"], "every": _small(a), "wanted": _small(b)} for r, a, b in zip(rows, *sums)]
+        told = [np.cumsum(_unpacked(r["names"]), dtype=U64) for r in rows]
+        _, which = np.unique(np.concatenate(told), return_inverse=True)
+        ends = np.cumsum([len(x) for x in told])[:-1]
+        sums = [np.split(np.bincount(which, np.concatenate([_unpacked(r[c]) for r in rows])).astype(np.int64)[which], ends) for c in ("every", "wanted")]
+        out = [{"place": r["place"], "batch": r["batch"], "every": _packed(a), "wanted": _packed(b)} for r, a, b in zip(rows, *sums)]
         return pa.Table.from_arrays(_table(out), names=_FIELDS)
 
     return asked.groupBy("place").applyInArrow(add, _ROW)
@@ -188,15 +200,15 @@ def _scored(answered: DataFrame, totals: Totals, blocks: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         rows = {r["place"]: r for r in table.to_pylist()}
         own = rows.pop(min(rows))
-        counts = _read(own["counts"])
-        batch = Batch(np.frombuffer(own["words"], U64), np.frombuffer(own["tokens"], "<u4").astype(np.int64), counts, np.frombuffer(own["target"], bool))
-        block = (batch.names() % U64(blocks)).astype(np.int64)
-        order = np.argsort(block, kind="stable")
+        counts = _unpacked(own["counts"]).astype(np.int64)
+        target = np.unpackbits(np.frombuffer(own["target"], "u1"))[: len(counts)].astype(bool)
+        batch = Batch(np.cumsum(_unpacked(own["words"]), dtype=U64), _unpacked(own["tokens"]).astype(np.int64), counts, target)
+        order, _ = _by_block(batch.names(), blocks)
         sums = []
         for c in ("every", "wanted"):
-            total = np.zeros(len(block), np.int64)
+            total = np.zeros(len(order), np.int64)
             if len(order):
-                total[order] = np.concatenate([_read(rows[k][c]) for k in sorted(rows)])
+                total[order] = np.concatenate([_unpacked(rows[k][c]) for k in sorted(rows)])
             sums.append(total)
         background, target = batch.losses(sums, totals)
         return pa.table({"ka": pa.array(np.frombuffer(own["ka"], np.int64)), "kb": pa.array(np.frombuffer(own["kb"], np.int32)), "n": pa.array(counts, pa.int64()), "target": pa.array(target, pa.float64()), "background": pa.array(background, pa.float64())})
