@@ -221,7 +221,9 @@ def card_ids(spark, sf_dir):
 def card_merge(spark, sf_dir):
     """A first run knows the clusters of even ids; the full run keeps their cards, the smallest where clusters merge."""
     full = materialise(clustered(spark, sf_dir))
-    state = full.where("doc_id % 2 = 0").groupBy("lead").agg(F.min("doc_id").alias("first"), F.collect_list("doc_id").alias("ids")).select(F.explode("ids").alias("doc_id"), card_id(F.col("first").cast("string")).alias("card"))
+    even = full.where("doc_id % 2 = 0")
+    first = even.groupBy("lead").agg(F.min("doc_id").alias("first"))
+    state = even.join(first, "lead").select("doc_id", card_id(F.col("first").cast("string")).alias("card"))
     cards, _ = D.assign_cards(full, state, "doc_id")
     return cards
 
