@@ -272,7 +272,7 @@ def retrieval_sweep(spark, sf_dir):
     return swept(spark, sf_dir)
 
 
-def operating_point(spark, sf_dir):
+def retrieval_operating_point(spark, sf_dir):
     return V.operating_point(swept(spark, sf_dir))
 
 
@@ -328,7 +328,7 @@ def near_duplicate_edges(spark, sf_dir):
     return edges.select("id_a", "id_b", F.round("score", 6).alias("score"))
 
 
-def opportunity_cards(spark, sf_dir):
+def cards_of_opportunities(spark, sf_dir):
     """The production run's cards. An earlier run knew the clusters of even ids; a cluster keeps the smallest card of its members."""
     n = notices(spark, sf_dir)
     _, found = dedup_run(n)
@@ -348,8 +348,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         corpus_profile, length_distribution, source_profile_percentiles, conditional_counts, pivot_label_counts, text_clean_ascii, text_clean_full, char_ngrams_3_5, minhash_signature_m16, lsh_bands, lsh_candidates,
         lsh_candidates_capped, lsh_lookup, jaccard_pairs, minhash_estimate_error, error_by_tenth, auc_rank, verified_pairs, duplicate_clusters, card_ids, card_merge, scurve_table, workload_skew, workload_portals,
-        lorenz_curve, retrieval_sweep, operating_point, label_hygiene, field_compatibility_pairs, label_delta_metrics, first_pair_per_label, value_counts, caps_before_after, near_duplicate_notices, near_duplicate_edges,
-        opportunity_cards, minhash_signature_m256,
+        lorenz_curve, retrieval_sweep, retrieval_operating_point, label_hygiene, field_compatibility_pairs, label_delta_metrics, first_pair_per_label, value_counts, caps_before_after, near_duplicate_notices, near_duplicate_edges,
+        cards_of_opportunities, minhash_signature_m256,
     )
 } | {"word_tokens": word_tokens_query}
 
@@ -517,7 +517,7 @@ ORACLES: dict[str, str] = {
         sum(candidates)::BIGINT AS total_candidate_work, round(100.0 * sum(candidates) / max(w), 2)::DOUBLE AS pct_of_total_work FROM per, whole GROUP BY source""",
     "lorenz_curve": f"WITH {_WORK} SELECT place, candidates AS work, round(100.0 * sum(candidates) OVER (ORDER BY place) / w, 6)::DOUBLE AS cumulative_pct FROM placed, whole",
     "retrieval_sweep": f"WITH {_SWEEP} SELECT * FROM sweep",
-    "operating_point": f"WITH {_SWEEP} SELECT * FROM sweep ORDER BY recall >= 0.95 DESC, CASE WHEN recall >= 0.95 THEN -bands END NULLS FIRST, recall DESC, bands DESC LIMIT 1",
+    "retrieval_operating_point": f"WITH {_SWEEP} SELECT * FROM sweep ORDER BY recall >= 0.95 DESC, CASE WHEN recall >= 0.95 THEN -bands END NULLS FIRST, recall DESC, bands DESC LIMIT 1",
     "label_hygiene": f"""WITH {_LABELLED}, kinds AS (SELECT notice_id_a AS a, notice_id_b AS b, count(*) AS n FROM labelled GROUP BY ALL)
         SELECT sum(n)::BIGINT AS pairs, sum(CASE WHEN a = b THEN n ELSE 0 END)::BIGINT AS self_pairs, sum(CASE WHEN b < 0 THEN n ELSE 0 END)::BIGINT AS missing_pairs, sum(n - 1)::BIGINT AS duplicate_pairs,
         (SELECT count(*) FROM kinds x JOIN kinds y ON x.a = y.b AND x.b = y.a AND x.a < x.b) AS reversed_pairs FROM kinds""",
@@ -531,6 +531,6 @@ ORACLES: dict[str, str] = {
     "minhash_signature_m256": f"WITH {_PRODUCTION} SELECT doc_id AS notice_id, coalesce(n, 0) AS n_shingles, md5(array_to_string(coalesce(s, list_resize([0], {D.HASHES}, 0)), ',')) AS signature_md5 FROM documents LEFT JOIN signatures ON signatures.id = doc_id LEFT JOIN sizes ON sizes.id = doc_id AND part = 0",
     "near_duplicate_edges": f"WITH {_EDGES} SELECT id_a, id_b, round(score, 6) AS score FROM edges",
     "near_duplicate_notices": f"WITH RECURSIVE {_LEADS} SELECT * FROM leads",
-    "opportunity_cards": f"""WITH RECURSIVE {_LEADS}, names AS (SELECT lead, CASE WHEN count(CASE WHEN notice_id % 2 = 0 THEN 1 END) > 0 THEN min(CASE WHEN notice_id % 2 = 0 THEN {_card('notice_id::VARCHAR')} END) ELSE {_card('lead::VARCHAR')} END AS card FROM leads GROUP BY lead)
+    "cards_of_opportunities": f"""WITH RECURSIVE {_LEADS}, names AS (SELECT lead, CASE WHEN count(CASE WHEN notice_id % 2 = 0 THEN 1 END) > 0 THEN min(CASE WHEN notice_id % 2 = 0 THEN {_card('notice_id::VARCHAR')} END) ELSE {_card('lead::VARCHAR')} END AS card FROM leads GROUP BY lead)
         SELECT 'CLUST-' || substr(card, 6) AS cluster_id, card AS stable_card_id, lead AS lead_notice_id, notice_id, portal AS portal_id, published::VARCHAR AS published_at FROM leads JOIN names USING (lead) JOIN fields ON fields.id = notice_id""",
 }
