@@ -121,7 +121,8 @@ def windows(units: DataFrame, weights: Weights, telling: list[str], threshold: f
         sizes.append(F.struct(F.lit(n).alias("n"), parts.alias("parts")))
     known = F.array(*[F.lit(t) for t in telling])
     n = F.col("n")
-    told = terms.withColumn("at", F.filter(F.sequence(F.lit(1), F.greatest(F.size("terms"), F.lit(1))), lambda i: F.array_contains(known, F.get(F.col("terms"), i - 1)))).where(F.size("at") > 0)
+    # terms are bound once: as a column they would be worked out anew for each position
+    told = terms.withColumn("at", F.get(F.transform(F.array("terms"), lambda ts: F.filter(F.sequence(F.lit(1), F.greatest(F.size(ts), F.lit(1))), lambda i: F.array_contains(known, F.get(ts, i - 1)))), F.lit(0))).where(F.size("at") > 0)
     fit = told.select("unit", "terms", "at", F.explode(F.array(*sizes)).alias("s")).select("unit", "terms", "at", "s.*").where(F.size("terms") > n)
     starts = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(F.greatest(i - n + 1, F.lit(1)), F.least(i, F.size("terms") - n + 1)))))
     # a run is cut where the terms are: rows that carried all terms beside each run would grow with their square
