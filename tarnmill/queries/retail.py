@@ -196,7 +196,7 @@ def landed(spark: SparkSession, sf_dir: str) -> str:
         path = scratch(spark)
         s = stores(spark, sf_dir).select("store_id", F.col("region").alias("store_region"))
         rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("sale_date"), "l_suppkey", F.col("l_extendedprice").cast("decimal(12,2)").alias("amount"))
-        land_partitioned(rows.join(F.broadcast(s) if s.limit(500_001).count() <= 500_000 else s, F.col("l_suppkey") == s["store_id"]).drop("store_id", "l_suppkey"), path, "sale_date", "store_region")
+        land_partitioned(rows.join(F.broadcast(s) if s.limit(500_001).count() <= 500_000 else s, F.col("l_suppkey") == s["store_id"]).drop("store_id", "l_suppkey"), path, "sale_date", "store_region", salts=1)
         expire(spark, path)
         _landed[key] = path
     return _landed[key]

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from tarnmill.sources.readers import matching
 
 
-def land_partitioned(df: DataFrame, path: str, date_col: str = "sale_date", store_col: str = "store_id") -> None:
+def land_partitioned(df: DataFrame, path: str, date_col: str = "sale_date", store_col: str = "store_id", salts: int = 4) -> None:
     """store= / year= / month= folders. Landing a month again replaces that month alone, so a rerun changes nothing.
 
-    Rows are dealt by the folders' keys and a few salts before writing: folders get few files, large stores spread.
+    Rows are dealt by the folders' keys and a few salts before writing: folders get a file a salt at most, large stores
+    spread over the salts.
     """
     parts = df.withColumns({"store": F.col(store_col), "year": F.year(date_col), "month": F.month(date_col)})
-    dealt = parts.repartition("store", "year", "month", F.pmod(F.xxhash64(*df.columns[:2]), F.lit(4)))
+    dealt = parts.repartition("store", "year", "month", F.pmod(F.xxhash64(*df.columns[:2]), F.lit(salts)))
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("store", "year", "month").parquet(path)
 
 
