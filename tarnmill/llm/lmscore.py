@@ -167,7 +167,10 @@ def _asked(rows: DataFrame, blocks: int) -> DataFrame:
         for k, (batch, ka, kb) in enumerate(_batches(batches)):
             names, (every, wanted) = batch.names(), batch.told()
             order, block = _by_block(names, blocks)
-            out = [{"place": -1 - (label + k), "batch": label + k, "words": _packed(np.diff(batch.words, prepend=U64(0))), "tokens": _packed(batch.tokens), "counts": _packed(batch.counts), "target": np.packbits(batch.target).tobytes(), "ka": ka.tobytes(), "kb": kb.tobytes()}]
+            often = every[: len(batch.words)]  # tokens travel as ranks of their words, so that common words are small numbers
+            rank = np.empty(len(often), np.int64)
+            rank[np.argsort(-often, kind="stable")] = np.arange(len(often))
+            out = [{"place": -1 - (label + k), "batch": label + k, "every": _packed(often), "words": _packed(np.diff(batch.words, prepend=U64(0))), "tokens": _packed(rank[batch.tokens - 1]), "counts": _packed(batch.counts), "target": np.packbits(batch.target).tobytes(), "ka": ka.tobytes(), "kb": kb.tobytes()}]
             for first, own in zip(np.flatnonzero(np.diff(block, prepend=-1)), np.split(order, np.flatnonzero(np.diff(block)) + 1)):
                 # of names in order, alike modulo the blocks, the steps say all
                 steps = np.diff(names[own] // U64(blocks), prepend=U64(0))
@@ -202,7 +205,8 @@ def _scored(answered: DataFrame, totals: Totals, blocks: int) -> DataFrame:
         own = rows.pop(min(rows))
         counts = _unpacked(own["counts"]).astype(np.int64)
         target = np.unpackbits(np.frombuffer(own["target"], "u1"))[: len(counts)].astype(bool)
-        batch = Batch(np.cumsum(_unpacked(own["words"]), dtype=U64), _unpacked(own["tokens"]).astype(np.int64), counts, target)
+        by_rank = np.argsort(-_unpacked(own["every"]).astype(np.int64), kind="stable")
+        batch = Batch(np.cumsum(_unpacked(own["words"]), dtype=U64), by_rank[_unpacked(own["tokens"]).astype(np.int64)] + 1, counts, target)
         order, _ = _by_block(batch.names(), blocks)
         sums = []
         for c in ("every", "wanted"):
