@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnmill.llm.wordscan import FOLDED_WORDS, U64, mix, plain_words, scan
-from tarnmill.runtime import materialise
+from tarnmill.runtime import materialise, release
 
 MU = 4.0
 #: Tokens of a batch (more only where one text has more), and names that a block is meant to hold.
@@ -148,7 +148,9 @@ def _totals(rows: DataFrame) -> Totals:
 
     told = materialise(rows.select("_text", "ka", "kb", "_target").mapInArrow(run, "n long, t long, begun long, begun_t long, words array<long>"))
     n, t, begun, begun_t = told.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "t", "begun", "begun_t")]).first()
-    return Totals((n, t), (begun, begun_t), told.select(F.explode("words").alias("w")).distinct().count())
+    vocabulary = told.select(F.explode("words").alias("w")).distinct().count()
+    release(told)
+    return Totals((n, t), (begun, begun_t), vocabulary)
 
 
 _ROW = "place long, batch long, names binary, every binary, wanted binary, words binary, tokens binary, counts binary, target binary, ka binary, kb binary"
