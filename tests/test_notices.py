@@ -51,6 +51,15 @@ def test_grams_and_jaccard(spark):
         assert len(D.gram_hashes(text, 3, 5)) == len(grams)
 
 
+def test_gram_counts(spark):
+    """Counts of grams without their texts equal the sizes of the arrays of them."""
+    texts = ["Hello, WORLD! hello world 12", "", None, "é", "ab", "a-b", " . ", "abcabcabcabc", "\u212aelvin \u0130x", "x" * 50, "tab\tand\nline"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for low, high in ((3, 5), (1, 2), (4, 10)):
+        assert all(r[0] == r[1] for r in df.select(C.ascii_gram_count("t", low, high), F.size(C.char_ngram_range(C.ascii_text("t"), low, high))).collect())
+    assert C.count_ascii_grams("abcabcabc", 3, 5) == 9
+
+
 def test_fields(spark):
     got = spark.range(1).select(*[v.alias(k) for k, v in C.field_compatibility(F.lit("45,00,000"), F.lit("4500000"), F.lit("2024-05-15"), F.lit("2024-05-20T10:00")).items()]).first()
     assert got["value_match"] and got["value_diff"] == 0.0 and got["closing_delta_days"] == 5
@@ -73,6 +82,17 @@ def test_signatures(spark):
         one(spark, D.estimate(F.array(F.lit(1)), F.array(F.lit(1), F.lit(3))))
 
 
+def test_no_set_leaves_its_task(spark):
+    """A notice's shingles are some 20 times its text: what is written holds texts and signatures alone."""
+    from tarnmill.plans.pipelines import prepared
+
+    ready = prepared(notices(spark), "notice_id", "portal_id", "title", "body")
+    assert ready.schema["body"].dataType.simpleString() == "string" and ready.schema["signature"].dataType.simpleString() == "array<int>"
+    for r in ready.collect():
+        grams = D.gram_hashes(r["body"], 3, 5)
+        assert r["n"] == len(grams) and r["signature"] == D.signature(grams, *D.coefficients(D.HASHES)).tolist()
+
+
 def test_bands_and_candidates(spark):
     same, other = list(range(16)), list(range(100, 116))
     df = spark.createDataFrame([("A", same), ("B", same), ("C", other)], "id string, signature array<long>")
