@@ -215,6 +215,19 @@ def test_dedup_run(spark, tmp_path):
     assert cards[0] == cards[1] and cards[0]["N1"] == cards[0]["N2"] and len(set(cards[0].values())) == 5
 
 
+def test_dedup_run_has_no_caps(spark):
+    """250 different texts of one bucket: every pair is a link (caps of 100 a bucket and 200 a notice lost some). Copies hang on the smallest id."""
+    base = " ".join(f"tender{i} item{7 * i}" for i in range(40))
+    rows = [(i, "p", "Same title", f"{base} {chr(97 + i % 26)}{i}", 5.0 if i % 2 else None, None) for i in range(250)]
+    rows += [(1000 + i, "p", "Same title", rows[3][3], 5.0, None) for i in range(6)] + [(2000, "p", "Same title", rows[3][3], 9.0, None), (3000, "p", "", "", None, None), (3001, "p", None, None, None, None)]
+    df = spark.createDataFrame(rows, "notice_id long, portal_id string, title string, body string, estimated_value double, closing_date date")
+    edges, found = dedup_run(df)
+    got = sorted((r["id_a"], r["id_b"]) for r in edges.collect())
+    want = {(a, b) for b in range(250) for a in range(b)} | {(3, 1000 + i) for i in range(6)} | {(i, 2000) for i in range(0, 250, 2)}
+    assert got == sorted(want) and all(r["score"] == 1.0 for r in edges.where("id_b between 1000 and 1999").collect())
+    assert {r["lead"] for r in found.where("notice_id <= 2000").collect()} == {0} and found.where("notice_id >= 3000 and lead = notice_id").count() == 2
+
+
 def test_measures(spark):
     df = spark.createDataFrame([(i, float(i), i % 2 == 0, f"s{i % 3}") for i in range(1, 11)], "id int, x double, pos boolean, g string")
     d = V.distribution(df, "x").first()
