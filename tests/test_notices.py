@@ -165,6 +165,33 @@ def test_meetings(spark):
         assert joined == wanted
 
 
+def test_sweep_counts_pairs_where_they_meet(spark):
+    """Parts, tiles, ranges and their ends against brute force over all pairs and all neighbours."""
+    from tarnmill.operators import meetings as M
+
+    rng = np.random.RandomState(5)
+    texts = [" ".join(f"w{x}" for x in rng.choice(rng.choice([40, 300, 3000]), rng.choice([3, 30, 200]))) for _ in range(120)]
+    texts += [f"{t} more{k}" for k, t in enumerate(texts[:60])]
+    rows = [(int(i), [None, "a", "b"][i % 3], t) for i, t in enumerate(texts)]
+    sets = M.word_sets(spark.createDataFrame(rows, "id long, lang string, text string").repartition(3), "text", 1, 1)
+    tokens = {r["id"]: np.frombuffer(r["tokens"], "<u4").astype(np.int64) for r in sets.collect()}
+    configs, (a, b) = [(64, 4), (8, 32)], D.coefficients(D.HASHES)
+    signed = {i: D.signature(t, a, b) for i, t in tokens.items()}
+
+    def counted(pairs):
+        return [len(pairs), *[sum(bool((signed[i] == signed[j]).reshape(x, y).all(axis=1).any()) for i, j in pairs) for x, y in configs]]
+
+    alike = lambda i, j: 3 * len(np.intersect1d(tokens[i], tokens[j])) >= len(tokens[i]) + len(tokens[j])
+    common = M.frequent(sets)[:500]
+    one = M.shortened(sets, common)
+    agreement = M.Agreement(common, configs, D.HASHES)
+    want = counted([(i, j) for j in range(len(texts)) for i in range(j) if alike(i, j)])
+    assert want[0] >= 60
+    for part in (len(texts), 40, 7):
+        assert M.similar_found(one, agreement, part, 1).tolist() == want
+    assert M.beside_found(one, "lang", agreement).tolist() == counted([(i, i + 3) for i in range(len(texts) - 3) if not alike(i, i + 3)])
+
+
 def test_components(spark):
     def found(edges):
         return {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src int, dst int")).collect()}
