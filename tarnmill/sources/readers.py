@@ -28,9 +28,10 @@ def matching(spark: SparkSession, path: str, pattern: str) -> list[str]:
 
 
 def sale_timestamp(raw: Column) -> Column:
-    """ISO with T or a space, dd-mm-yyyy, or seconds since 1970 (UTC); null if none fits."""
+    """ISO with T or a space, dd-mm-yyyy, or seconds since 1970 (UTC); null if none fits. A shape is tried only on what it may fit: a failed try costs an exception."""
     epoch = F.to_timestamp_ntz(F.timestamp_seconds(F.expr("try_cast(ts as bigint)")))
-    shapes = [F.try_to_timestamp(raw, F.lit(shape)).cast("timestamp_ntz") for shape in ("yyyy-MM-dd'T'HH:mm:ss", "dd-MM-yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss")]
+    may = {"yyyy-MM-dd'T'HH:mm:ss": F.upper(raw).contains("T"), "dd-MM-yyyy HH:mm:ss": F.substring(raw, 3, 1) == "-", "yyyy-MM-dd HH:mm:ss": raw.contains(" ")}
+    shapes = [F.when(fits, F.try_to_timestamp(raw, F.lit(shape)).cast("timestamp_ntz")) for shape, fits in may.items()]
     return F.coalesce(*shapes, epoch)
 
 
@@ -49,15 +50,20 @@ def read_sales(spark: SparkSession, path: str) -> DataFrame:
     if strange := [n for n in names if not re.match(EXPORT_NAME, n)]:
         raise ValueError(f"files that no store claims: {strange[:5]}")
     lines = spark.read.option("pathGlobFilter", "*.csv").text(path)
-    lines = lines.select(F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.regexp_replace("value", "^\ufeff", "").alias("line"))
+    lines = lines.select(F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.when(F.col("value").startswith("\ufeff"), F.expr("substring(value, 2)")).otherwise(F.col("value")).alias("line"))
+    lines = lines.where(F.trim("line") != "")
+
+    # a file's header is its first line: one small row a file, with what its name tells; numbers are compared first, as lines would be sorted
+    few = len(files) <= 500_000
+    small = F.broadcast if few else (lambda df: df)
+    first = lines.where("block = 0").groupBy("source_file").agg(F.min("row").alias("header_row"))
+    heads = lines.where("block = 0").join(small(first), "source_file").where("row = header_row").select("source_file", "header_row", "line")
     store = F.regexp_extract("source_file", EXPORT_NAME, 1)
-    lines = lines.withColumn("sep", F.when(store.isin(SEMICOLON_STORES), ";").otherwise(",")).where(F.trim("line") != "")
-
-    # a file's header is its first line: one small row a file
-    first = lines.where("block = 0").groupBy("source_file").agg(F.min(F.struct("row", "line", "sep")).alias("h"))
+    day = F.try_to_timestamp(F.regexp_extract("source_file", EXPORT_NAME, 2), F.lit("yyyyMMdd")).cast("date")
+    heads = heads.withColumn("sep", F.when(store.isin(SEMICOLON_STORES), ";").otherwise(","))
     canonical = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
-    titles = F.transform(F.split("h.line", F.concat(F.lit("["), F.col("h.sep"), F.lit("]"))), lambda c: F.lower(F.trim(F.regexp_replace(c, '^\\s*"|"\\s*$', ""))))
-    headers = first.select("source_file", F.col("h.row").alias("header_row"), F.transform(titles, lambda c: F.coalesce(F.element_at(canonical, c), c)).alias("titles"))
+    titles = F.transform(F.split("line", F.concat(F.lit("["), F.col("sep"), F.lit("]"))), lambda c: F.lower(F.trim(F.regexp_replace(c, '^\\s*"|"\\s*$', ""))))
+    headers = heads.select("source_file", "header_row", "sep", store.alias("store_id"), day.alias("sale_date"), F.transform(titles, lambda c: F.coalesce(F.element_at(canonical, c), c)).alias("titles"))
     lacking = headers.withColumn("lacking", F.array_except(F.array(*[F.lit(c) for c in SALES_COLUMNS]), "titles"))
     said = lacking.agg(F.max(F.size("titles")), F.min(F.when(F.size("lacking") > 0, F.concat_ws(" ", "source_file", F.lit("lacks"), F.array_join("lacking", ","))))).first()
     if said[1]:
@@ -66,14 +72,15 @@ def read_sales(spark: SparkSession, path: str) -> DataFrame:
     width = said[0] or 1
     schema = ", ".join(f"c{k} string" for k in range(width))
     cells = F.when(F.col("sep") == ";", F.from_csv("line", F.lit(schema), {"sep": ";"})).otherwise(F.from_csv("line", F.lit(schema), {"sep": ","}))
-    rows = lines.join(headers, "source_file").where(F.col("row") != F.col("header_row")).withColumn("cells", cells)
+    rows = lines.join(small(headers), "source_file").where(F.col("row") != F.col("header_row"))
+    # exploding keeps what is asked of the cells behind their parsing, else each line is parsed again for every cell and filter
+    rows = rows.withColumn("cells", F.explode(F.array(cells)))
     values = F.array(*[F.trim(F.col(f"cells.c{k}")) for k in range(width)])
     rows = rows.withColumn("values", values).select(
-        *[F.get("values", (F.array_position("titles", c) - 1).cast("int")).alias(c) for c in SALES_COLUMNS], "source_file", F.struct("block", "row").alias("place"),
+        *[F.get("values", (F.array_position("titles", c) - 1).cast("int")).alias(c) for c in SALES_COLUMNS], "store_id", "sale_date", "source_file", F.struct("block", "row").alias("place"),
     )
-    day = F.try_to_timestamp(F.regexp_extract("source_file", EXPORT_NAME, 2), F.lit("yyyyMMdd")).cast("date")
     return rows.where("bill_no is not null and bill_no <> ''").select(
-        "bill_no", F.expr("try_cast(line_no as int)").alias("line_no"), store.alias("store_id"), day.alias("sale_date"), "product_code",
+        "bill_no", F.expr("try_cast(line_no as int)").alias("line_no"), "store_id", "sale_date", "product_code",
         F.expr("try_cast(qty as decimal(12,2))").alias("qty"), F.expr("try_cast(unit_price as decimal(12,2))").alias("unit_price"),
         F.upper("line_type").alias("line_type"), sale_timestamp(F.col("ts")).alias("ts"), "source_file", "place",
     )

@@ -56,6 +56,12 @@ def test_each_export_is_read_by_its_own_header(spark, tmp_path):
         readers.read_sales(spark, str(tmp_path))
 
 
+def test_each_line_is_parsed_once(spark, exports):
+    """Cells are parsed below what is asked of them; asked with them, each line was parsed anew for every cell and filter. No line is shuffled or sorted."""
+    plan = writers.plan_text(readers.read_sales(spark, exports), "simple")
+    assert plan.count("from_csv") == 2 and "SortMergeJoin" not in plan and "SortAggregate" not in plan
+
+
 def test_fact(spark, exports, masters):
     fact = retail_build(spark, exports, *masters)
     got = {(r["bill_no"], r["line_no"]): r for r in fact.collect()}
