@@ -126,6 +126,18 @@ def test_large_buckets_lose_no_pairs(spark, tmp_path):
     assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, D.candidate_pairs(store, "doc_id").collect())) and dealt.count() >= len(copies)
 
 
+def test_lookups_tell_a_candidate_once(spark, tmp_path):
+    """Copies meet in all eight bands and are told once, as the search over the store tells them, without a step that tells pairs apart."""
+    rng = np.random.RandomState(3)
+    texts = [" ".join(f"w{x}" for x in rng.choice(12, 5)) for _ in range(150)]
+    spark.createDataFrame([(i, texts[i % 75 if i % 2 else i], "s") for i in range(150)] + [(200, None, "s")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = N.lsh_lookup(spark, str(tmp_path))
+    store = N.store(spark, str(tmp_path))
+    want = D.lookup(store, store.where("doc_id % 50 = 0"), "doc_id")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() > 20
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_meetings(spark):
     """Buckets cut into parts and tiles, and copies, against brute force over all pairs."""
     from tarnmill.operators import meetings as M
