@@ -138,6 +138,51 @@ def test_lookups_tell_a_candidate_once(spark, tmp_path):
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_only_what_may_be_similar_is_compared(monkeypatch):
+    """Small buckets and large ones, parts of one, and sets of all sizes, against brute force; most pairs are settled by a bound."""
+    import pyarrow as pa
+
+    from tarnmill.operators import meetings as M
+
+    rng = np.random.default_rng(11)
+    bases = [rng.choice(3000, k, replace=False) for k in (2, 3, 40, 90, 200, 700)]
+    sets, common = [], np.arange(600)
+    for i in range(700):
+        own = bases[i % 6] if i % 5 else rng.choice(3000, rng.integers(1, 500), replace=False)
+        sets.append(np.unique(np.append(own[rng.random(len(own)) < 0.8], rng.integers(0, 3000, 1 + len(own) // 8))))
+    keys, signature = rng.integers(0, 9, (700, 2)).astype("<u4"), rng.integers(0, 3, (700, 4)).astype("<u4")
+    w, key = rng.integers(1, 4, 700), np.concatenate([np.full(300, 1), np.full(200, 2), np.sort(rng.integers(3, 30, 200))])
+    j, part = np.repeat([0, 1, 0], [300, 200, 200]), np.where((np.arange(700) >= 300) & (np.arange(700) < 500), np.arange(700) % 2, 0)
+    near, rest = zip(*[M._split(x, common, common) for x in sets])
+    columns = {
+        "band": pa.array(np.ones(700, np.int32)), "key": pa.array(key), "i": pa.array(np.zeros(700, np.int32)), "j": pa.array(j.astype(np.int32)), "part": pa.array(part.astype(np.int32)), "id": pa.array(np.arange(700) * 3), "w": pa.array(w),
+        "n": pa.array([len(x) for x in sets], pa.int32()), "keys": pa.array([x.tobytes() for x in keys]), "signature": pa.array([x.tobytes() for x in signature]), "near": pa.array(near), "rest": pa.array(rest),
+    }
+    batch = pa.RecordBatch.from_pydict(columns)
+    met = [(a, b) for a in range(700) for b in range(a + 1, 700) if key[a] == key[b] and keys[a, 0] != keys[b, 0] and (not j[a] or part[a] != part[b])]
+    common_of = [len(np.intersect1d(sets[a], sets[b])) for a, b in met]
+    similar = [c / (len(sets[a]) + len(sets[b]) - c) >= 0.5 for (a, b), c in zip(met, common_of)]
+    want: dict = {}
+    for (a, b), yes in zip(met, similar):
+        cell = int((signature[a] == signature[b]).sum()), int(yes)
+        want[cell] = want.get(cell, 0) + int(w[a] * w[b])
+    compared = []
+    for name, at in (("sure", 3), ("common", 1)):
+        monkeypatch.setattr(M.Lot, name, lambda self, *x, f=getattr(M.Lot, name), at=at: (compared.append(len(x[at - 1])), f(self, *x))[1])
+    got = M._alike(M.Lot(batch, 2, 4, 0.5), 4)
+    assert {(s, k): n for s, k, n in zip(got["same"].tolist(), got["similar"].tolist(), got["pairs"].tolist())} == want
+    assert any(similar) and sum(compared) < 2 * sum(similar) + len(met) // 4
+    edges = M._spanning(M.Lot(batch, 2, 4, 0.5), 4)
+    label = list(range(700))
+    for group in ([(a, b) for (a, b), yes in zip(met, similar) if yes], [(a // 3, b // 3) for a, b in zip(edges["id_a"].tolist(), edges["id_b"].tolist())]):
+        now = list(range(700))
+        for _ in range(30):
+            for a, b in group:
+                now[a] = now[b] = min(now[a], now[b])
+        label, before = now, label
+    assert label == before and len(edges["id_a"]) < 700
+
+
 def test_meetings(spark):
     """Buckets cut into parts and tiles, and copies, against brute force over all pairs."""
     from tarnmill.operators import meetings as M
