@@ -183,6 +183,15 @@ def test_only_what_may_be_similar_is_compared(monkeypatch):
     assert label == before and len(edges["id_a"]) < 700
 
 
+def test_a_bucket_travels_whole(spark, monkeypatch):
+    """9,000 rows of one bucket go to one task, once each, without the signatures that spanning edges do not need."""
+    from tarnmill.operators import meetings as M
+
+    monkeypatch.setitem(M.PURPOSES, "spanning", (lambda lot, m: {"id_a": np.array([len(lot.id)]), "id_b": np.array([lot.signature.size])}, "id_a long, id_b long"))
+    rows = spark.range(9_000).selectExpr("id", "1L as w", "1 as n", "cast('same' as binary) as keys", "cast('sign' as binary) as signature", "cast('' as binary) as near", "cast('' as binary) as rest")
+    assert [tuple(r) for r in M.meetings(rows, 1, 1, "spanning").collect()] == [(9_000, 0)]
+
+
 def test_meetings(spark):
     """Buckets cut into parts and tiles, and copies, against brute force over all pairs."""
     from tarnmill.operators import meetings as M
